@@ -85,6 +85,23 @@ FROM (SELECT concat('env', CAST(o_custkey % 2 AS STRING)) AS environment_id,
              count(*) AS n, sum(CAST(round(o_totalprice) AS BIGINT)) * 1000 AS b
       FROM orders JOIN customer ON c_custkey = o_custkey
       GROUP BY 1, 2, c_mktsegment, CASE WHEN c_nationkey % 2 = 0 THEN 'public' ELSE 'sales' END, concat(o_orderpriority, '/', CAST(c_nationkey AS STRING))) t""",
+    "f_table_daily": """
+SELECT environment_id, run_id, started_at, started_at AS collected_at, database_name, schema_name, table_name,
+       CAST(sum(n) OVER (PARTITION BY environment_id, database_name, table_name ORDER BY started_at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_estimate,
+       CAST(sum(b) OVER (PARTITION BY environment_id, database_name, table_name ORDER BY started_at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_size_bytes,
+       n AS n_tup_ins, n % 5 AS n_tup_upd, n % 3 AS n_tup_del, n AS seq_scan,
+       CASE WHEN day(started_at) >= 10 AND n % 2 = 0 THEN 'reset-2' ELSE 'reset-1' END AS stats_reset
+FROM (SELECT concat('env', CAST(user_id % 2 AS STRING)) AS environment_id, concat('d', CAST(day(ts) AS STRING)) AS run_id,
+             CAST(min(date_trunc('day', ts)) AS TIMESTAMP) AS started_at, concat('db', CAST(user_id % 3 AS STRING)) AS database_name,
+             CASE WHEN user_id % 4 = 0 THEN 'public' ELSE 'sales' END AS schema_name,
+             concat('t', CAST(user_id AS STRING)) AS table_name,
+             count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 100000 AS b
+      FROM events
+      GROUP BY 1, 2, 4, 5, 6) t""",
+    "f_daily_run": """
+SELECT environment_id, run_id, min(started_at) AS started_at,
+       CASE WHEN day(min(started_at)) % 8 = 0 THEN 'partial_success' WHEN day(min(started_at)) = 13 AND environment_id = 'env1' THEN 'failed' ELSE 'success' END AS status
+FROM f_table_daily GROUP BY environment_id, run_id""",
     "f_workload": """
 SELECT environment_id, run_id, day AS started_at, database_name, fingerprint,
        CAST(sum(c) OVER (PARTITION BY environment_id, database_name, fingerprint ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS calls,
@@ -205,7 +222,7 @@ JOIN orders ON o_orderkey = l_orderkey""",
     "s_constraint": f"""
 SELECT {_OBJECT},
        concat('con_', CAST(l_linenumber AS STRING)) AS constraint_name,
-       CASE l_linenumber WHEN 1 THEN 'p' WHEN 2 THEN 'f' WHEN 3 THEN 'u' WHEN 4 THEN 'f' ELSE 'c' END AS constraint_type,
+       CASE WHEN l_linenumber = 1 THEN 'p' WHEN l_linenumber = 3 THEN 'u' WHEN l_linenumber = 4 OR (l_linenumber = 2 AND pk % 3 <> 0) THEN 'f' ELSE 'c' END AS constraint_type,
        pk % 5 <> 0 AS validated,
        CASE l_linenumber WHEN 1 THEN 'id' WHEN 2 THEN concat('tbl_', CAST(o_orderkey - 32 AS STRING), '_id') WHEN 3 THEN 'id' WHEN 4 THEN 'phone_1,phone_2' ELSE '' END AS column_list,
        CASE WHEN l_linenumber = 2 AND pk % 4 <> 0 THEN {_SCHEMA_ORDERS} ELSE '' END AS referenced_schema,
@@ -258,16 +275,17 @@ FROM f_chunk GROUP BY environment_id, run_id, database_name, schema_name, hypert
     "s_policy": """
 SELECT environment_id, run_id, database_name, schema_name, hypertable_name, min(n) AS job_id, policy_type,
        concat('policy_', policy_type) AS proc_name,
-       CASE WHEN min(n) % 2 = 0 THEN '12 hours' ELSE '1 day' END AS schedule_interval,
+       CASE WHEN min(n) % 7 < 3 THEN '12 hours' ELSE '1 day' END AS schedule_interval,
        CASE policy_type WHEN 'retention' THEN concat('{"drop_after": "', CASE WHEN min(n) % 3 = 0 THEN '1 day' WHEN min(n) % 3 = 1 THEN '10 days' ELSE '14 days' END, '"}')
-            WHEN 'compression' THEN CASE WHEN min(n) % 2 = 0 THEN '{"compress_after": "7 days"}' ELSE '{"compress_after": "7 days", "compress_segmentby": "device"}' END
-            WHEN 'refresh' THEN CASE WHEN min(n) % 2 = 0 THEN '{"start_offset": "3 days", "end_offset": "1 hour"}' ELSE '{"start_offset": "2 hours", "end_offset": "1 hour"}' END
+            WHEN 'compression' THEN CASE WHEN min(n) % 3 = 0 THEN '{"compress_after": "7 days"}' ELSE '{"compress_after": "7 days", "compress_segmentby": "device"}' END
+            WHEN 'refresh' THEN CASE WHEN min(n) % 3 = 0 THEN '{"start_offset": "3 days", "end_offset": "1 hour"}' ELSE '{"start_offset": "2 hours", "end_offset": "1 hour"}' END
             ELSE '' END AS config,
        true AS scheduled, CASE WHEN min(n) % 5 = 0 THEN 'Failed' ELSE 'Success' END AS last_run_status,
-       CAST(CASE WHEN policy_type = 'compression' AND min(n) % 4 = 0 THEN 1.1 ELSE 0.0 END AS DOUBLE) AS compression_ratio
+       CAST(CASE WHEN policy_type = 'compression' AND min(n) % 5 = 1 THEN 1.1 ELSE 0.0 END AS DOUBLE) AS compression_ratio
 FROM (SELECT environment_id, run_id, database_name, schema_name, hypertable_name, dead_tuples + live_tuples AS n,
              CASE (dead_tuples + live_tuples) % 4 WHEN 0 THEN 'retention' WHEN 1 THEN 'compression' WHEN 2 THEN 'refresh' ELSE 'reorder' END AS policy_type
       FROM f_chunk WHERE live_tuples % 3 <> 0) t
+WHERE NOT (policy_type = 'retention' AND hypertable_name LIKE '%3') AND NOT (policy_type = 'compression' AND hypertable_name LIKE '%4') AND NOT (policy_type = 'reorder' AND hypertable_name LIKE '%5')
 GROUP BY environment_id, run_id, database_name, schema_name, hypertable_name, policy_type""",
     "s_cagg": """
 SELECT concat('env', CAST(s_suppkey % 2 AS STRING)) AS environment_id, 'run2001' AS run_id, concat('db', CAST(s_suppkey % 3 AS STRING)) AS database_name,
@@ -364,7 +382,7 @@ SELECT concat('camp', CAST(c_nationkey AS STRING)) AS campaign_id, concat('i', C
        CASE WHEN c_custkey % 6 = 0 THEN 'email' ELSE '' END AS column_name,
        CASE c_custkey % 3 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS privilege,
        CASE c_custkey % 5 WHEN 0 THEN 'public' WHEN 1 THEN 'direct' ELSE 'role' END AS origin_kind,
-       concat(CASE WHEN c_custkey % 7 = 0 THEN 'powerful_role,' ELSE '' END, CASE WHEN c_custkey % 8 = 0 THEN 'inactive_or_expired,' ELSE '' END, CASE WHEN c_custkey % 9 = 0 THEN 'new_since_previous' ELSE '' END) AS highlight_list,
+       concat(CASE WHEN c_custkey % 7 = 0 THEN 'powerful_role,' ELSE '' END, CASE WHEN c_custkey % 8 = 0 THEN 'inactive_or_expired,' ELSE '' END, CASE WHEN c_custkey % 5 = 1 THEN 'new_since_previous' ELSE '' END) AS highlight_list,
        c_custkey % 2 = 0 AS still_present
 FROM customer""",
     "s_decision": """
@@ -382,6 +400,18 @@ SELECT {_OBJECT}, CASE l_linenumber WHEN 1 THEN 'nr_cpf' WHEN 2 THEN 'EmailAddre
        CASE WHEN o_custkey % 2 = 0 THEN 'nivel_tabela' ELSE 'nivel_coluna' END AS access_level
 FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) l
 JOIN orders ON o_orderkey = l_orderkey""",
+    "s_twin_column": """
+SELECT DISTINCT concat('env', CAST(p_partkey % 2 AS STRING)) AS environment_id, 'run1' AS run_id, 'db0' AS database_name,
+       concat('s', CAST(p_partkey % 11 AS STRING)) AS schema_name, concat(replace(p_name, ' ', '_'), '_', CAST(p_size AS STRING)) AS table_name, column_name,
+       CASE WHEN column_name = 'id' AND p_partkey % 4 < 2 THEN 'integer' WHEN column_name = 'id' THEN 'numeric(10,2)' WHEN column_name = 'kind' AND p_partkey % 6 = 0 THEN 'uuid' ELSE 'text' END AS data_type
+FROM (SELECT p_partkey, p_name, p_size, 'id' AS column_name FROM part
+      UNION ALL SELECT p_partkey, p_name, p_size, 'name' FROM part
+      UNION ALL SELECT p_partkey, p_name, p_size, 'kind' FROM part WHERE p_size % 5 <> 0) c""",
+    "s_policy_override": """
+SELECT environment_id, schema_name, rule_id, k % 7 <> 1 AS enabled, 3 + k % 2 AS min_indexes, 1000 * (1 + k % 3) AS min_writes
+FROM (SELECT concat('env', CAST(c_custkey % 2 AS STRING)) AS environment_id, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'sales' ELSE 'public' END AS schema_name,
+             CASE WHEN c_custkey % 5 = 0 THEN 'model.type_review' ELSE 'index.write_burden' END AS rule_id, min(c_custkey) AS k
+      FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 GROUP BY 1, 2, 3) t""",
     "s_drill": """
 SELECT concat('env', CAST(c_custkey AS STRING)) AS environment_id, CASE WHEN o_orderkey IS NOT NULL THEN concat('drill', CAST(o_orderkey AS STRING)) END AS drill_id, o_orderstatus <> 'P' AS succeeded,
        CASE WHEN o_orderkey % 3 <> 0 THEN CAST(round(o_totalprice / 400) AS BIGINT) END AS rto_seconds, o_orderdate AS performed_at, o_orderkey
