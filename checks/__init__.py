@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("contracts", "rules")
+MODULES = ("contracts", "rules", "logs", "personal")
 
 
 def registries():

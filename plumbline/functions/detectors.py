@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Categories whose content can be checked.
 CONTENT_CATEGORIES = ("cpf", "cnpj", "email", "telefone", "cep", "pix")
@@ -24,73 +24,84 @@ def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def company_code(value: Column) -> Column:
+    """Upper-case text without the separators of a company number."""
+    return F.upper(F.regexp_replace(value, r"[./\-\s]", ""))
+
+
 def _at(text: Column, position: int) -> Column:
     return F.ascii(F.substring(text, position + 1, 1)) - 48
 
 
 def _check_digit(text: Column, weights: Sequence[int]) -> Column:
+    """Modulo-11 digit: 0 for a rest below 2, else 11 minus the rest."""
     total = reduce(lambda a, b: a + b, [_at(text, i) * w for i, w in enumerate(weights)])
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+    return (F.lit(11) - total % 11) % 11 % 10
 
 
-def is_cpf(value: Column) -> Column:
-    d = digits_of(value)
+def is_cpf(digits: Column) -> Column:
+    """CPF from its digits."""
     return (
-        (F.length(d) == 11)
-        & ~d.rlike(r"^(.)\1*$")
-        & (_at(d, 9) == _check_digit(d, _CPF_WEIGHTS[1:]))
-        & (_at(d, 10) == _check_digit(d, _CPF_WEIGHTS))
+        (F.length(digits) == 11)
+        & ~digits.rlike(r"^(.)\1*$")
+        & (_at(digits, 9) == _check_digit(digits, _CPF_WEIGHTS[1:]))
+        & (_at(digits, 10) == _check_digit(digits, _CPF_WEIGHTS))
     )
 
 
-def is_cnpj(value: Column) -> Column:
-    c = F.upper(F.regexp_replace(value, r"[./\-\s]", ""))
+def is_cnpj(code: Column) -> Column:
+    """CNPJ, numeric or alphanumeric, from its ``company_code``."""
     return (
-        c.rlike("^[0-9A-Z]{12}[0-9]{2}$")
-        & ~c.rlike(r"^([0-9])\1{13}$")
-        & (_at(c, 12) == _check_digit(c, _CNPJ_WEIGHTS[1:]))
-        & (_at(c, 13) == _check_digit(c, _CNPJ_WEIGHTS))
+        code.rlike("^[0-9A-Z]{12}[0-9]{2}$")
+        & ~code.rlike(r"^([0-9])\1{13}$")
+        & (_at(code, 12) == _check_digit(code, _CNPJ_WEIGHTS[1:]))
+        & (_at(code, 13) == _check_digit(code, _CNPJ_WEIGHTS))
     )
 
 
 def is_email(value: Column) -> Column:
-    v = F.trim(value)
-    return F.octet_length(v).between(5, 254) & v.rlike(
+    text = F.trim(value)
+    return F.octet_length(text).between(5, 254) & text.rlike(
         r"^[\p{L}\p{Nd}._+\-]+@[\p{L}\p{Nd}._+\-]+\.[\p{L}\p{Nd}_+\-]+$"
-    ) & v.rlike("@.{3,}$")
+    )
 
 
-def is_br_phone(value: Column) -> Column:
-    d = digits_of(value)
-    local = F.when(F.length(d).isin(12, 13) & d.startswith("55"), F.substring(d, 3, 11)).when(
-        F.length(d).isin(10, 11), d
-    )
-    return F.coalesce(local.rlike("^[1-9][1-9](?:[0-9]{8}|9[0-9]{8})$"), F.lit(False))
+def is_br_phone(digits: Column) -> Column:
+    """Phone from its digits: area code and number, optionally after 55."""
+    return digits.rlike("^(?:55)?[1-9][1-9](?:[0-9]{8}|9[0-9]{8})$")
 
 
-def is_cep(value: Column) -> Column:
-    return F.length(digits_of(value)) == 8
+def is_cep(digits: Column) -> Column:
+    return F.length(digits) == 8
 
 
-def is_pix(value: Column) -> Column:
-    uuid = F.lower(F.trim(value)).rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
-    return is_cpf(value) | is_cnpj(value) | is_email(value) | is_br_phone(value) | uuid
+def is_random_key(value: Column) -> Column:
+    return F.lower(F.trim(value)).rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 
 
-DETECTORS = {
-    "cpf": is_cpf,
-    "cnpj": is_cnpj,
-    "email": is_email,
-    "telefone": is_br_phone,
-    "cep": is_cep,
-    "pix": is_pix,
-}
+def with_validity(df: DataFrame, category: str, value: str, target: str = "valid") -> DataFrame:
+    """Rows with ``target`` telling whether the value is valid for the row's category.
 
+    The digits and each verdict are projected on their own, so a payment key,
+    which may be any of the other kinds, does not repeat their expressions.
+    """
+    kind = F.col(category)
 
-def detect(category: Column, value: Column) -> Column:
-    """True when the value is valid for the row's category."""
-    verdict = F.when(category == "cpf", is_cpf(value))
-    for name in CONTENT_CATEGORIES[1:]:
-        verdict = verdict.when(category == name, DETECTORS[name](value))
-    return verdict.otherwise(F.lit(False))
+    def only(name: str, verdict: Column) -> Column:
+        return F.when(kind.isin(name, "pix"), verdict)
+
+    prepared = df.withColumn("_digits", digits_of(F.col(value))).withColumn("_code", company_code(F.col(value)))
+    judged = (
+        prepared.withColumn("_cpf", only("cpf", is_cpf(F.col("_digits"))))
+        .withColumn("_cnpj", only("cnpj", is_cnpj(F.col("_code"))))
+        .withColumn("_email", only("email", is_email(F.col(value))))
+        .withColumn("_phone", only("telefone", is_br_phone(F.col("_digits"))))
+    )
+    verdict = (
+        F.when(kind == "cep", is_cep(F.col("_digits")))
+        .when(kind == "pix", F.col("_cpf") | F.col("_cnpj") | F.col("_email") | F.col("_phone") | is_random_key(F.col(value)))
+        .otherwise(F.coalesce("_cpf", "_cnpj", "_email", "_phone"))
+    )
+    return judged.withColumn(target, F.coalesce(verdict, F.lit(False))).drop(
+        "_digits", "_code", "_cpf", "_cnpj", "_email", "_phone"
+    )

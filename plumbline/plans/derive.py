@@ -33,11 +33,12 @@ SELECT event_id, ts,
        CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'LOG' END AS error_severity,
        concat(CASE WHEN event_type = 'view' THEN 'connection' ELSE event_type END, ' authorized: user=',
               CAST(user_id % 12 AS STRING), ' took ', CAST(CAST(round(value * 100) AS BIGINT) AS STRING),
-              ' for ', CASE WHEN user_id % 7 = 0 THEN 'batch' ELSE 'web' END) AS message,
+              ' for ', CASE WHEN user_id % 10 = 3 AND ts >= TIMESTAMP '2024-01-30 12:00:00' THEN 'canary' WHEN user_id % 10 = 4 AND ts < TIMESTAMP '2024-01-29 00:00:00' THEN 'legacy' WHEN user_id % 7 = 0 THEN 'batch' ELSE 'web' END) AS message,
+       concat('s', CAST(user_id % 2 AS STRING)) AS source,
        CASE WHEN user_id % 5 = 0 THEN '' ELSE concat('u', CAST(user_id AS STRING)) END AS role_name
 FROM events""",
     "f_log_line": """
-SELECT event_id,
+SELECT event_id, source,
        CASE WHEN event_id % 29 = 0 THEN concat('not json ', message)
             WHEN event_id % 31 = 0 THEN '   '
             ELSE concat('{"timestamp":"',
@@ -281,7 +282,7 @@ SELECT environment_id, run_id, database_name, schema_name, hypertable_name, min(
             WHEN 'refresh' THEN CASE WHEN min(n) % 3 = 0 THEN '{"start_offset": "3 days", "end_offset": "1 hour"}' ELSE '{"start_offset": "2 hours", "end_offset": "1 hour"}' END
             ELSE '' END AS config,
        true AS scheduled, CASE WHEN min(n) % 5 = 0 THEN 'Failed' ELSE 'Success' END AS last_run_status,
-       CAST(CASE WHEN policy_type = 'compression' AND min(n) % 5 = 1 THEN 1.1 ELSE 0.0 END AS DOUBLE) AS compression_ratio
+       CAST(CASE WHEN policy_type = 'compression' AND hypertable_name LIKE '%7' THEN 1.1 ELSE 0.0 END AS DOUBLE) AS compression_ratio
 FROM (SELECT environment_id, run_id, database_name, schema_name, hypertable_name, dead_tuples + live_tuples AS n,
              CASE (dead_tuples + live_tuples) % 4 WHEN 0 THEN 'retention' WHEN 1 THEN 'compression' WHEN 2 THEN 'refresh' ELSE 'reorder' END AS policy_type
       FROM f_chunk WHERE live_tuples % 3 <> 0) t
@@ -400,6 +401,26 @@ SELECT {_OBJECT}, CASE l_linenumber WHEN 1 THEN 'nr_cpf' WHEN 2 THEN 'EmailAddre
        CASE WHEN o_custkey % 2 = 0 THEN 'nivel_tabela' ELSE 'nivel_coluna' END AS access_level
 FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) l
 JOIN orders ON o_orderkey = l_orderkey""",
+    "s_contact": """
+SELECT c_custkey AS contact_id,
+       concat(lpad(CAST(c_custkey % 999 AS STRING), 3, '0'), '.', lpad(CAST(c_custkey * 7 % 1000 AS STRING), 3, '0'), '.247-', lpad(CAST(c_nationkey * 4 AS STRING), 2, '0')) AS cpf,
+       concat(CASE WHEN c_custkey % 3 = 0 THEN '04252011' ELSE '12ABC345' END, CASE WHEN c_custkey % 3 = 0 THEN '0001' ELSE '01DE' END, CASE WHEN c_custkey % 5 = 0 THEN '35' ELSE '10' END) AS cnpj,
+       CASE WHEN c_custkey % 10 = 0 THEN ' ' WHEN c_custkey % 10 = 1 THEN 'no mail' ELSE concat(lower(c_mktsegment), CAST(c_custkey AS STRING), '@example.com') END AS email,
+       CASE WHEN c_nationkey = 0 THEN NULL WHEN c_nationkey % 4 = 0 THEN concat('+55 ', CAST(11 + c_nationkey AS STRING), ' 9', lpad(CAST(c_custkey % 10000 AS STRING), 4, '1'), '-5678') ELSE concat(CAST(10 + c_nationkey AS STRING), ' 34', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'), '-7890') END AS phone,
+       concat(lpad(CAST(c_custkey % 100000 AS STRING), 5, '0'), '-', CASE WHEN c_custkey % 6 = 0 THEN '10' ELSE '100' END) AS cep,
+       CASE WHEN c_custkey % 2 = 0 THEN concat('550e8400-e29b-41d4-a716-', lpad(CAST(c_custkey AS STRING), 12, '0')) ELSE CAST(c_custkey AS STRING) END AS pix
+FROM customer""",
+    "s_column_grant": f"""
+SELECT DISTINCT {_OBJECT}, 'nr_cpf' AS column_name, concat('role_', CAST(l_suppkey AS STRING)) AS account_name, CASE WHEN l_suppkey % 5 = 0 THEN 'update' ELSE 'select' END AS privilege
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1 AND l_suppkey % 3 = 0""",
+    "s_table_grant": f"""
+SELECT {_OBJECT}, concat('role_', CAST(l_suppkey AS STRING)) AS grantee, CASE WHEN min(l_partkey) % 4 = 0 THEN 'INSERT' WHEN min(l_partkey) % 4 = 1 THEN 'insert,all' ELSE 'Select' END AS privilege_list
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+GROUP BY {_ENV_ORDERS}, {_RUN_ORDERS}, {_DB_ORDERS}, {_SCHEMA_ORDERS}, {_TABLE_ORDERS}, l_suppkey""",
+    "s_login_role": """
+SELECT DISTINCT concat('env', CAST(o_custkey % 2 AS STRING)) AS environment_id, concat('run', CAST(year(o_orderdate) AS STRING)) AS run_id,
+       concat('role_', CAST(s_suppkey AS STRING)) AS role_name, s_suppkey % 2 = 0 AS can_login
+FROM orders JOIN supplier ON s_suppkey = o_orderkey % 100""",
     "s_twin_column": """
 SELECT DISTINCT concat('env', CAST(p_partkey % 2 AS STRING)) AS environment_id, 'run1' AS run_id, 'db0' AS database_name,
        concat('s', CAST(p_partkey % 11 AS STRING)) AS schema_name, concat(replace(p_name, ' ', '_'), '_', CAST(p_size AS STRING)) AS table_name, column_name,
