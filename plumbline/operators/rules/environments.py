@@ -429,7 +429,7 @@ def query_cost_rules(s: Settings) -> list[RowRule]:
         RowRule(
             "cost.query_expensive",
             "query_deltas",
-            (share >= 0.10) & (F.col("delta_calls") >= F.col("min_calls")),
+            (share >= 0.10) & (F.col("delta_calls") >= 1000),
             F.when(share >= 0.25, "medium").otherwise("low"),
             "fingerprint",
             fingerprint,

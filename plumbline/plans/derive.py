@@ -74,7 +74,7 @@ SELECT environment_id, run_id, started_at, database_name, schema_name, table_nam
        CAST(sum(n) OVER (PARTITION BY environment_id, database_name, table_name ORDER BY started_at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_estimate,
        CAST(sum(b) OVER (PARTITION BY environment_id, database_name, table_name ORDER BY started_at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_size_bytes,
        n AS n_dead_tup,
-       CASE WHEN n % 7 = 0 THEN 'partitioned' ELSE 'table' END AS relkind,
+       CASE WHEN n % 7 = 0 THEN 'p' ELSE 'r' END AS relkind,
        n % 3 <> 0 AS has_primary_key,
        n % 4 AS column_count,
        CASE WHEN year(started_at) >= 1999 THEN 'reset-2' ELSE 'reset-1' END AS stats_reset

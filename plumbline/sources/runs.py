@@ -19,11 +19,10 @@ def _latest(runs: DataFrame) -> DataFrame:
 
 
 def latest_complete_run(runs: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Latest successful run of every environment without a failed or skipped collector."""
-    broken = coverage.where(~F.col("status").isin("success")).select("environment_id", "run_id")
-    complete = runs.where(F.col("status") == "success").join(broken, ["environment_id", "run_id"], "left_anti")
-    covered = complete.join(coverage.select("environment_id", "run_id"), ["environment_id", "run_id"], "left_semi")
-    return _latest(covered)
+    """Latest successful and successfully analysed run of every environment without a failed collector."""
+    broken = coverage.where(F.lower("status") == "failed").select("environment_id", "run_id")
+    complete = runs.where((F.col("status") == "success") & (F.col("analysis_status") == "success"))
+    return _latest(complete.join(broken, ["environment_id", "run_id"], "left_anti"))
 
 
 def previous_runs(runs: DataFrame, complete: Column | None = None) -> DataFrame:
