@@ -7,7 +7,16 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.rules import environments, hypertables, indexes, security, tables
-from plumbline.operators.rules.base import DEFAULTS, FINDING_COLUMNS, Bundle, RowRule, RuleFunction, Settings, match, match_all
+from plumbline.operators.rules.base import (
+    DEFAULTS,
+    FINDING_COLUMNS,
+    Bundle,
+    RowRule,
+    RuleFunction,
+    Settings,
+    match,
+    match_all,
+)
 
 FAMILIES = (tables.FAMILY, indexes.FAMILY, hypertables.FAMILY, security.FAMILY, environments.FAMILY)
 #: Rule families that only apply where time-partitioned storage was seen.

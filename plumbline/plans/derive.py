@@ -433,6 +433,40 @@ SELECT environment_id, schema_name, rule_id, k % 7 <> 1 AS enabled, 3 + k % 2 AS
 FROM (SELECT concat('env', CAST(c_custkey % 2 AS STRING)) AS environment_id, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN 'sales' ELSE 'public' END AS schema_name,
              CASE WHEN c_custkey % 5 = 0 THEN 'model.type_review' ELSE 'index.write_burden' END AS rule_id, min(c_custkey) AS k
       FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 GROUP BY 1, 2, 3) t""",
+    "f_observed": """
+SELECT environment_id, run_id, min(started_at) AS started_at, database_name, schema_name, object_name, rule_id, category, title,
+       concat(database_name, '.', schema_name, '.', object_name) AS object_key,
+       concat(database_name, '.', object_name, '/', title) AS dedup_key, max(severity) AS severity,
+       concat('{"s":"', max(severity), '"}') AS evidence, CAST(CAST(substr(object_name, 2) AS INT) AS BIGINT) AS k,
+       CAST(0.5 AS DOUBLE) AS confidence
+FROM f_finding_event
+GROUP BY environment_id, run_id, database_name, schema_name, object_name, rule_id, category, title""",
+    "f_state": """
+SELECT environment_id, dedup_key, CASE WHEN k % 6 = 5 THEN '0.9.0' ELSE '1.0.0' END AS rule_version, md5(concat(environment_id, dedup_key)) AS finding_id,
+       rule_id, object_key, run_id, severity, title, evidence, confidence,
+       CASE k % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'suppressed' WHEN 2 THEN 'suppressed' WHEN 3 THEN 'acknowledged' ELSE 'open' END AS status,
+       TIMESTAMP '2024-01-05 00:00:00' AS first_seen_at, TIMESTAMP '2024-01-05 00:00:00' AS last_seen_at,
+       CASE WHEN k % 5 = 0 THEN TIMESTAMP '2024-01-06 00:00:00' END AS resolved_at, CAST(k % 3 AS INT) AS recurrence_count,
+       CASE k % 5 WHEN 1 THEN TIMESTAMP '2024-01-10 00:00:00' WHEN 2 THEN TIMESTAMP '2024-03-01 00:00:00' END AS suppressed_until,
+       CAST(NULL AS STRING) AS superseded_by, k
+FROM f_observed WHERE run_id = 'd5'""",
+    "f_action": """
+SELECT environment_id, dedup_key, rule_version, CASE WHEN k % 4 = 0 THEN 'discarded' ELSE 'in_review' END AS action_status,
+       CASE WHEN k % 8 = 0 THEN evidence ELSE '{"s":"high"}' END AS signed_evidence,
+       CASE WHEN k % 3 = 0 THEN TIMESTAMP '2024-01-15 00:00:00' WHEN k % 3 = 1 THEN TIMESTAMP '2024-02-15 00:00:00' END AS suppress_until
+FROM f_state WHERE k % 2 = 0""",
+    "s_database": """
+SELECT environment_id, run_id, database_name, CAST(sum(total_size_bytes) AS BIGINT) AS size_bytes, database_name = 'MACHINERY' AS is_template
+FROM f_table_snapshot WHERE run_id NOT LIKE '%9911' GROUP BY environment_id, run_id, database_name""",
+    "s_collector": """
+SELECT environment_id, run_id, database_name, CASE CAST(substr(collector, 8) AS INT) % 4 WHEN 0 THEN 'postgres.tables' WHEN 1 THEN 'postgres.columns' WHEN 2 THEN 'postgres.constraints' ELSE 'postgres.indexes' END AS collector, min(status) AS status
+FROM f_coverage GROUP BY 1, 2, 3, 4""",
+    "s_monthly_finding": """
+SELECT concat('env', CAST(o_custkey % 2 AS STRING)) AS environment_id, concat('env', CAST(o_custkey % 2 AS STRING), '-', CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING)) AS run_id,
+       c_mktsegment AS database_name, CASE WHEN c_nationkey % 2 = 0 THEN 'public' ELSE 'sales' END AS schema_name,
+       CASE o_orderkey % 6 WHEN 0 THEN 'security' WHEN 1 THEN 'index' WHEN 2 THEN 'vacuum' WHEN 3 THEN 'integrity' WHEN 4 THEN 'config' ELSE 'performance' END AS category,
+       CASE o_orderkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS severity
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 9 = 0""",
     "s_drill": """
 SELECT concat('env', CAST(c_custkey AS STRING)) AS environment_id, CASE WHEN o_orderkey IS NOT NULL THEN concat('drill', CAST(o_orderkey AS STRING)) END AS drill_id, o_orderstatus <> 'P' AS succeeded,
        CASE WHEN o_orderkey % 3 <> 0 THEN CAST(round(o_totalprice / 400) AS BIGINT) END AS rto_seconds, o_orderdate AS performed_at, o_orderkey
