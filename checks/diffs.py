@@ -329,8 +329,7 @@ COUNTED_COPY = """SELECT p_brand AS table_name, count(*) FILTER (WHERE NOT (p_br
     f"""SELECT table_name, e.rows AS expected_rows, coalesce(a.rows, 0) AS actual_rows, CASE WHEN abs(e.rows - coalesce(a.rows, 0)) > 1000 AND abs(e.rows - coalesce(a.rows, 0)) / e.rows > 0.005 THEN 'diverged' ELSE 'ok' END AS status, 'medium' AS check_severity FROM ({COUNTED}) e LEFT JOIN ({COUNTED_COPY}) a USING (table_name)""",
 )
 def counts(spark, folder):
-    table(spark, folder, "lineitem").createOrReplaceTempView("lineitem")
-    table(spark, folder, "part").createOrReplaceTempView("part")
+    derive.register_tables(spark, folder, ["lineitem", "part"])
     return reconcile.reconcile_counts(spark.sql(COUNTED), spark.sql(COUNTED_COPY), ["table_name"])
 
 

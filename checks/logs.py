@@ -8,7 +8,9 @@ from checks.base import Registry, table
 from plumbline.functions.text import has_fixed_token, mask_message, template_id, template_pattern
 from plumbline.operators import logs
 from plumbline.plans import derive
+from plumbline.plans.logs import analyze_events
 from plumbline.sources import logs as source
+from plumbline.sources.staging import cut_lineage
 
 REGISTRY = Registry()
 T = logs.Thresholds(
@@ -36,6 +38,10 @@ def counts(spark, folder):
     return logs.window_counts(logs.template_events(events(spark, folder)), T.window)
 
 
+def staged_counts(spark, folder):
+    return cut_lineage(counts(spark, folder))
+
+
 LINES_SQL = derive.ctes("f_log_line") + """, parsed AS (SELECT source, event_id, CASE WHEN trim(value) = '' THEN 'blank' WHEN event_id % 29 = 0 OR event_id % 23 = 0 THEN 'invalid' ELSE 'parsed' END AS status,
  CASE WHEN trim(value) <> '' AND event_id % 29 <> 0 AND event_id % 23 <> 0 THEN strptime(substr(value, 15, 19), '%Y-%m-%d %H:%M:%S') + CASE event_id % 3 WHEN 0 THEN INTERVAL 250 MILLISECOND WHEN 1 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END END AS ts,
  CASE WHEN trim(value) = '' OR event_id % 29 = 0 THEN '{}' ELSE value END AS j FROM f_log_line)"""
@@ -226,14 +232,14 @@ def period_roles(spark, folder):
 
 @REGISTRY.add("log6_baseline_stats", LOG_SQL + " SELECT source, kind, name, round(mean, 6) AS mean, round(deviation, 6) AS deviation, windows_with, windows, insufficient FROM stats")
 def stats(spark, folder):
-    c = counts(spark, folder)
+    c = staged_counts(spark, folder)
     found = logs.baseline_stats(c, logs.split_windows(c, T.baseline_windows))
     return found.withColumn("mean", F.round("mean", 6)).withColumn("deviation", F.round("deviation", 6))
 
 
 @REGISTRY.add("log7_z_score", LOG_SQL + " SELECT source, template_id, observed, CASE WHEN mean IS NULL THEN CAST(observed AS DOUBLE) ELSE round(f, 6) END AS factor, CASE WHEN mean IS NULL THEN CAST(observed AS DOUBLE) ELSE round(z, 6) END AS z_score FROM seen")
 def scores(spark, folder):
-    c = counts(spark, folder)
+    c = staged_counts(spark, folder)
     split = logs.split_windows(c, T.baseline_windows)
     base = logs.baseline_stats(c, split).where("kind = 'template'").select("source", F.col("name").alias("template_id"), "mean", "deviation")
     seen = (
@@ -252,17 +258,12 @@ def scores(spark, folder):
     )
 
 
-def anomalies(spark, folder):
-    c = counts(spark, folder)
-    return logs.detect_anomalies(c, logs.split_windows(c, T.baseline_windows), T)
-
-
 def one_kind(name, kinds):
     listed = ", ".join(f"'{k}'" for k in kinds)
 
     @REGISTRY.add(name, LOG_SQL + f" SELECT * FROM anomalies WHERE kind IN ({listed})")
     def run(spark, folder):
-        c = counts(spark, folder)
+        c = staged_counts(spark, folder)
         split = logs.split_windows(c, T.baseline_windows)
         if kinds == ("error_spike",):
             return logs.detect_error_spike(c, split, T)
@@ -289,12 +290,7 @@ def template_levels(spark, folder):
  count(*) AS total, arg_max(severity, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS highest, CAST(CASE WHEN count(*) FILTER (WHERE severity = 'high') > 0 THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM anomalies GROUP BY source""",
 )
 def summary(spark, folder):
-    c = counts(spark, folder)
-    split = logs.split_windows(c, T.baseline_windows)
-    sources = split.groupBy("source").agg(
-        F.lit(0.0).alias("invalid_ratio"), (F.count_if(F.col("role") == "baseline") < 6).alias("insufficient")
-    )
-    return logs.anomaly_summary(logs.detect_anomalies(c, split, T), sources)
+    return analyze_events(events(spark, folder), thresholds=T).summary
 
 
 LOGIN_SQL = EVENT_SQL + ", login AS (SELECT CASE WHEN role_name <> '' THEN role_name ELSE regexp_extract(message, 'user=(\\d+)', 1) END AS role, max(ts) AS last_login_at FROM ev WHERE message LIKE 'connection authorized%' GROUP BY 1)"

@@ -11,6 +11,7 @@ from checks.rules import finding_sql
 from plumbline.operators import workload as wl
 from plumbline.operators.rules.base import DEFAULTS, match
 from plumbline.plans import analysis, derive
+from plumbline.plans.digest import compare_periods
 from plumbline.sources import runs as run_source, snapshots
 
 REGISTRY = Registry()
@@ -67,7 +68,7 @@ STATEMENT = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SELECT a, 1.5 FRO
  array_to_string(list_sort(list_distinct(regexp_extract_all(txt, '\\b(?:from|join|update|into)\\s+([a-z_][\\w$]*\\.[a-z_][\\w$]*)', 1))), ',') AS objects FROM (SELECT event_id, {STRIPPED.replace('{c}', 'query')} AS txt FROM ({STATEMENT}))""",
 )
 def fingerprints(spark, folder):
-    derive.view(spark, folder, "f_log_event")
+    derive.register_tables(spark, folder, ["events"])
     found = wl.sql_fingerprint(spark.sql(STATEMENT))
     return found.select("event_id", "fingerprint_text", "fingerprint", "query_kind", F.concat_ws(",", "referenced_objects").alias("objects"))
 
@@ -136,9 +137,8 @@ def deltas(spark, folder, name):
 
 
 def compared(spark, folder):
-    prior = wl.window_activity(deltas(spark, folder, "prior"))
-    current = wl.window_activity(deltas(spark, folder, "current"))
-    return wl.compare_windows(prior, current, t=LIMITS)
+    workload = derive.view(spark, folder, "f_workload")
+    return compare_periods(points(spark, folder), workload, HALVES["prior"], HALVES["current"], 15, thresholds=LIMITS)
 
 
 def rounded(df):
@@ -193,7 +193,7 @@ def expensive(spark, folder):
     found = deltas(spark, folder, "current")
     totals = found.groupBy("environment_id").agg(F.sum("last_total_us").alias("window_total_us"))
     rows = found.join(totals, "environment_id").select("*", F.lit("now").alias("run_id"))
-    rule = next(r for r in analysis.row_rules(DEFAULTS) if r.rule_id == "cost.query_expensive")
+    (rule,) = analysis.row_rules(DEFAULTS, "cost.query_expensive")
     share = ratio(F.col("delta_total_us"), F.col("window_total_us"))
     # A tenth of the usual shares, because the derived workload is spread over many statements.
     scaled = replace(

@@ -1,20 +1,42 @@
 """Text expressions: masking, SQL normalisation and fingerprints.
 
-Everything here is a chain of built-in expressions, so it stays inside the JVM
-and inside whole-stage code generation.  Word boundaries are spelled out for
-ASCII, because ``\\b`` of the JVM also looks at accented letters.
+Everything here is built from built-in expressions, so it stays inside the JVM.
+Word boundaries are spelled out for ASCII, because ``\\b`` of the JVM also looks
+at accented letters.  Every replacement is guarded by a cheap test of the text,
+so a message only pays for the patterns it can contain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 MASK = "<*>"
 
 _W = "[A-Za-z0-9_]"
+_START = f"(?<!{_W})"
+_END = f"(?!{_W})"
 _B = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
 _S = r"[\t\n\f\r ]"
 
+Guard = Callable[[Column], Column]
+
+
+def _has(*parts: str) -> Guard:
+    def test(text: Column) -> Column:
+        found = text.contains(parts[0])
+        for part in parts[1:]:
+            found = found | text.contains(part)
+        return found
+
+    return test
+
+
+def _digit(text: Column) -> Column:
+    return text.rlike("[0-9]")
+
+
 # The order and the shapes of the text that is masked in a log message.
 _H4 = "[0-9a-f]{1,4}"
 _IPV6 = "|".join(
@@ -23,51 +45,73 @@ _IPV6 = "|".join(
     + [f"{_H4}:(?::{_H4}){{1,6}}", f":(?::{_H4}){{1,7}}"]
 )
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-_PATH = r"/[A-Za-z0-9._\-]+(?:/[A-Za-z0-9._\-]+)+"
+# Repeated groups are possessive: the JVM matches those in a loop, so long text cannot exhaust the stack.
+_PATH = r"/[A-Za-z0-9._\-]++(?:/[A-Za-z0-9._\-]++)++"
 _DOLLAR = r"(?s)\$[A-Za-z_0-9]*\$.*?\$[A-Za-z_0-9]*\$"
-_SINGLE_QUOTED = r"'[^']*(?:''[^']*)*'"
-_NUMBER = rf"{_B}[0-9]+(?:\.[0-9]+)?{_B}"
-MASK_STEPS: tuple[tuple[str, str], ...] = (
-    (_DOLLAR, MASK),
-    (_SINGLE_QUOTED + r'|"[^"\\]*(?:\\[^\n][^"\\]*)*"', MASK),
-    (rf"(?i){_B}[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}{_B}", MASK),
-    (rf"(?i){_B}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{_B}", MASK),
-    (rf"(?i){_B}(?:{_IPV6}){_B}", MASK),
-    (rf"{_B}(?:{_OCTET}\.){{3}}{_OCTET}{_B}", MASK),
-    (rf"{_B}[0-9a-fA-F]{{32,64}}{_B}", MASK),
-    (rf"(?i){_B}[A-Z]:\\(?:[^\t\n\f\r \"'<>|]+\\)*[^\t\n\f\r \"'<>|]+", MASK),
-    (rf"([ =\"'(:,]){_PATH}", "$1" + MASK),
-    (rf"(?:^|[\t\n\f\r]){_PATH}", MASK),
+_SINGLE_QUOTED = r"'[^']*+(?:''[^']*+(?='))*+'"
+_DOUBLE_QUOTED = r'"[^"\\]*+(?:\\[^\n][^"\\]*+)*+"'
+_NUMBER = rf"(?=[0-9]){_START}[0-9]+(?:\.[0-9]+)?{_END}"
+_KEYS = "user|database|dbname|application_name|app|host|remote_host|password|pwd"
+#: (when it can apply, pattern, replacement)
+MASK_STEPS: tuple[tuple[Guard, str, str], ...] = (
+    (_has("$"), _DOLLAR, MASK),
+    (_has("'", '"'), f"{_SINGLE_QUOTED}|{_DOUBLE_QUOTED}", MASK),
+    (_has("@"), rf"(?i){_B}[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}{_END}", MASK),
     (
-        rf"(?i){_B}(user|database|dbname|application_name|app|host|remote_host|password|pwd)=([^\t\n\f\r ,]+)",
-        "$1=" + MASK,
+        _has("-"),
+        rf"(?i){_START}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{_END}",
+        MASK,
     ),
-    (_NUMBER, MASK),
+    (lambda t: t.contains("::") | t.like("%:%:%:%:%:%:%:%"), rf"(?i){_B}(?:{_IPV6}){_B}", MASK),
+    (_has("."), rf"(?=[0-9]){_START}(?:{_OCTET}\.){{3}}{_OCTET}{_END}", MASK),
+    (lambda t: F.length(t) >= 32, rf"(?=[0-9a-fA-F]){_START}[0-9a-fA-F]{{32,64}}{_END}", MASK),
+    (_has(":\\"), rf"(?i){_START}[A-Z]:\\[^\t\n\f\r \"'<>|]++", MASK),
+    (_has("/"), rf"([ =\"'(:,]){_PATH}", "$1" + MASK),
+    (_has("/"), rf"(?:^|[\t\n\f\r]){_PATH}", MASK),
+    (_has("="), rf"(?i)(?=[udahrp]){_START}({_KEYS})=([^\t\n\f\r ,]+)", "$1=" + MASK),
+    (_digit, _NUMBER, MASK),
 )
 
 _BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 _LINE_COMMENT = r"--[^\n]*"
+STRIP_STEPS: tuple[tuple[Guard, str, str], ...] = (
+    (_has("/*"), _BLOCK_COMMENT, " "),
+    (_has("--"), _LINE_COMMENT, " "),
+    (_has("$"), _DOLLAR, "?"),
+    (_has("'"), _SINGLE_QUOTED, "?"),
+    (_digit, _NUMBER, "?"),
+)
 _PUNCTUATION = "=\"'(),.;:\\[\\]{}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _guarded(guard: Guard, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(guard(t), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+
+def _apply(text: Column, steps: tuple[tuple[Guard, str, str], ...]) -> Column:
+    for guard, pattern, replacement in steps:
+        text = let(text, _guarded(guard, pattern, replacement))
+    return text
+
+
 def _squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _S + "+", " "))
+    loose = let(text, lambda t: F.when(t.rlike(r"[\t\n\f\r]|  "), F.regexp_replace(t, _S + "+", " ")).otherwise(t))
+    return F.trim(loose)
 
 
 def strip_literals(query: Column) -> Column:
     """Statement text without comments and literal values, lower-cased and squeezed."""
-    text = F.regexp_replace(query, _BLOCK_COMMENT, " ")
-    text = F.regexp_replace(text, _LINE_COMMENT, " ")
-    for pattern in (_DOLLAR, _SINGLE_QUOTED, _NUMBER):
-        text = F.regexp_replace(text, pattern, "?")
-    return _squeeze(F.lower(text))
+    return _squeeze(F.lower(_apply(query, STRIP_STEPS)))
 
 
 def redact(text: Column) -> Column:
     """Personal data, secrets, addresses, paths and numbers replaced by ``<*>``."""
-    for pattern, replacement in MASK_STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    return _apply(text, MASK_STEPS)
 
 
 def mask_message(message: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.keys import changed
 from plumbline.operators.rules.environments import WRITE_PRIVILEGES
+from plumbline.sources.staging import cut_lineage
 
 PRIVILEGE = ["database_name", "object_type", "object_name", "privilege"]
 ITEM = ["database_name", "account_name", "object_type", "object_name", "column_name", "privilege"]
@@ -21,20 +22,19 @@ def membership_reach(edges: DataFrame, logins: DataFrame, max_depth: int = 16) -
     number of steps is the depth of the role graph; ``max_depth`` only guards
     against endless plans and raises when it is too small.
     """
-    spark = edges.sparkSession
     frontier = logins.select("login").join(edges.withColumnRenamed("member", "login"), "login").select("login", "granted")
-    frontier = frontier.where(F.col("login") != F.col("granted")).distinct()
+    frontier = cut_lineage(frontier.where(F.col("login") != F.col("granted")).distinct())
     reached = frontier.withColumn("depth", F.lit(1))
     step = edges.select(F.col("member").alias("granted"), F.col("granted").alias("next"))
     for depth in range(2, max_depth + 1):
         found = frontier.join(step, "granted").select("login", F.col("next").alias("granted"))
-        frontier = found.where(F.col("login") != F.col("granted")).distinct().join(
-            reached.select("login", "granted"), ["login", "granted"], "left_anti"
+        frontier = cut_lineage(
+            found.where(F.col("login") != F.col("granted"))
+            .distinct()
+            .join(reached.select("login", "granted"), ["login", "granted"], "left_anti")
         )
         if frontier.isEmpty():
             return reached
-        if spark.conf.get("spark.checkpoint.dir", None):
-            frontier = frontier.checkpoint()
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
     raise ValueError(f"the role graph is deeper than {max_depth} steps")
 

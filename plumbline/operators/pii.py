@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.detectors import CONTENT_CATEGORIES, with_validity
-from plumbline.functions.text import redact
+from plumbline.functions.text import let, redact
 
 COLUMN = ["environment_id", "run_id", "database_name", "schema_name", "table_name", "column_name"]
 SCAN = COLUMN[:2]
@@ -82,20 +83,27 @@ def match_category(column_name: Column, dictionary: Sequence[tuple[str, str]] =
     then the earlier entry.  The dictionary is part of the expression, so the
     match needs no join.
     """
-    name = normalize_column_name(column_name)
-    tokens = F.split(name, "_")
-    scored = []
-    for position, (pattern, category) in enumerate(dictionary):
-        shape = pattern.strip().lower()
-        exact = (name == shape) | F.array_contains(tokens, shape)
-        hit = F.struct(
-            exact.cast("int").alias("exact"),
-            F.lit(len(shape)).alias("length"),
-            F.lit(-position).alias("order"),
-            F.lit(category).alias("category"),
-        )
-        scored.append(F.when(exact | name.contains(shape), hit))
-    return F.array_max(F.array(*scored))["category"]
+    shapes = [(pattern.strip().lower(), category) for pattern, category in dictionary]
+
+    def best(name: Column) -> Column:
+        words = F.split(name, "_")
+
+        def scored(tokens: Column) -> Column:
+            hits = []
+            for position, (shape, category) in enumerate(shapes):
+                exact = (name == shape) | F.array_contains(tokens, shape)
+                hit = F.struct(
+                    exact.cast("int").alias("exact"),
+                    F.lit(len(shape)).alias("length"),
+                    F.lit(-position).alias("order"),
+                    F.lit(category).alias("category"),
+                )
+                hits.append(F.when(name.contains(shape), hit))
+            return F.array_max(F.array(*hits))["category"]
+
+        return F.when(name.rlike("|".join(re.escape(shape) for shape, _ in shapes)), let(words, scored))
+
+    return let(normalize_column_name(column_name), best)
 
 
 def compatible_type(category: Column, data_type: Column) -> Column:

@@ -156,16 +156,25 @@ RuleFunction = Callable[[Bundle, Settings], DataFrame]
 
 
 class Family:
-    """The rules of one family: row rules and rules that need more than one row."""
+    """The rules of one family: row rules and rules that need more than one row.
+
+    Rules are registered by id and built when asked for, so running one rule
+    does not build the expressions of all others.
+    """
 
     def __init__(self) -> None:
-        self.row_rules: list[Callable[[Settings], list[RowRule]]] = []
+        self.builders: list[tuple[tuple[str, ...], Callable[[Settings], list[RowRule]]]] = []
         self.functions: dict[str, RuleFunction] = {}
         self.inputs: dict[str, tuple[str, ...]] = {}
 
-    def rows(self, build: Callable[[Settings], list[RowRule]]):
-        self.row_rules.append(build)
-        return build
+    def rows(self, *rule_ids: str):
+        """Register a builder of the named row rules."""
+
+        def register(build: Callable[[Settings], list[RowRule]]):
+            self.builders.append((rule_ids, build))
+            return build
+
+        return register
 
     def rule(self, rule_id: str, *inputs: str):
         """Register a rule with the snapshot tables it reads."""
@@ -177,5 +186,7 @@ class Family:
 
         return register
 
-    def all_row_rules(self, settings: Settings) -> list[RowRule]:
-        return [rule for build in self.row_rules for rule in build(settings)]
+    def row_rules(self, settings: Settings, rule_id: str | None = None) -> list[RowRule]:
+        """All row rules of the family, or those of one id."""
+        chosen = [build for rule_ids, build in self.builders if rule_id is None or rule_id in rule_ids]
+        return [rule for build in chosen for rule in build(settings) if rule_id in (None, rule.rule_id)]

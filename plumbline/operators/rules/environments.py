@@ -134,7 +134,10 @@ def setting_drift(b: Bundle, s: Settings) -> DataFrame:
     return match(differs, _drift_rule("config.guc_drift", F.when(info, "info").otherwise("medium"), info))
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "replication.lag_high",
+    "replication.archive_stalled",
+)
 def replication_rules(s: Settings) -> list[RowRule]:
     stalled = F.coalesce(
         F.col("last_failed_archive").isNotNull()
@@ -180,7 +183,10 @@ def last_drills(drills: DataFrame, environments: DataFrame) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "backup.drill_overdue",
+    "backup.rto_exceeded",
+)
 def backup_rules(s: Settings) -> list[RowRule]:
     environment = F.col("environment_id")
     overdue = F.coalesce(
@@ -216,7 +222,13 @@ def backup_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "access_review.revocation_not_applied",
+    "access_review.powerful_without_approve",
+    "access_review.inactive_with_write",
+    "access_review.public_outside_public",
+    "access_review.new_privilege_undecided",
+)
 def review_rules(s: Settings) -> list[RowRule]:
     """Rules on review items joined with their campaign and latest decision (``review_items``)."""
     shown = F.when(F.col("column_name") != "", dotted("object_name", "column_name")).otherwise(F.col("object_name"))
@@ -304,7 +316,10 @@ def campaign_overdue(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "pii.column_detected",
+    "pii.broad_read_access",
+)
 def personal_data_rules(s: Settings) -> list[RowRule]:
     key = F.concat(table_key(), F.lit("."), F.col("column_name"))
     name = dotted("table_name", "column_name")
@@ -420,7 +435,9 @@ def bloat_recoverable(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "cost.query_expensive",
+)
 def query_cost_rules(s: Settings) -> list[RowRule]:
     """On ``query_deltas``: window deltas per statement with the window's total time."""
     share = ratio(F.col("delta_total_us"), F.col("window_total_us"))
@@ -440,7 +457,10 @@ def query_cost_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "backup.restore_failed",
+    "backup.restore_divergence",
+)
 def restore_rules(s: Settings) -> list[RowRule]:
     """On ``restore_checks``: one row per failed drill and per diverged reconciliation check."""
     environment, kind = F.col("environment_id"), F.col("kind")
@@ -474,7 +494,9 @@ def restore_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "drift.out_of_pipeline",
+)
 def schema_change_rules(s: Settings) -> list[RowRule]:
     """On ``schema_changes``: timeline events with their pipeline correlation."""
     severity = out_of_pipeline_severity(F.col("object_type"), F.col("change_kind"), F.col("is_security_definer"))
@@ -512,7 +534,9 @@ def out_of_pipeline_severity(object_type: Column, change_kind: Column, security_
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "drift.environment_divergence",
+)
 def divergence_rules(s: Settings) -> list[RowRule]:
     """On ``divergences``: objects that differ from a paired environment in two runs of each side."""
     return [

@@ -32,7 +32,10 @@ def _policies(b: Bundle, *types: str) -> DataFrame:
     return b["policies"].where(F.lower("policy_type").isin(*types))
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "chunk.high_count",
+    "timescale.compression_ratio_low",
+)
 def hypertable_rules(s: Settings) -> list[RowRule]:
     return [
         _hypertable(
@@ -58,7 +61,9 @@ def hypertable_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "timescale.chunk_dead_tuples",
+)
 def chunk_rules(s: Settings) -> list[RowRule]:
     dead, live = F.col("dead_tuples"), F.col("live_tuples")
     key = dotted("database_name", "schema_name", "chunk_name")
@@ -104,7 +109,9 @@ def size_skew(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "chunk.inventory_truncated",
+)
 def coverage_rules(s: Settings) -> list[RowRule]:
     return [
         RowRule(
@@ -120,7 +127,11 @@ def coverage_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "cagg.missing_refresh_policy",
+    "cagg.materialization_lag",
+    "cagg.realtime_hypothesis",
+)
 def aggregate_rules(s: Settings) -> list[RowRule]:
     key = dotted("database_name", "schema_name", "view_name")
     name = F.col("view_name")
@@ -193,7 +204,12 @@ def aggregate_overlap(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "policy.job_failed",
+    "cagg.refresh_window_exceeded",
+    "policy.compression_ratio",
+    "policy.compression_settings",
+)
 def policy_rules(s: Settings) -> list[RowRule]:
     start = interval_seconds(F.get_json_object("config", "$.start_offset"))
     end = interval_seconds(F.get_json_object("config", "$.end_offset"))
@@ -252,7 +268,10 @@ def policy_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "job.unhealthy",
+    "job.slo_exceeded",
+)
 def job_rules(s: Settings) -> list[RowRule]:
     failed = is_failed(F.col("last_run_status"))
     job = F.col("job_id").cast("string")

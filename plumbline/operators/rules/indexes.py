@@ -30,7 +30,9 @@ def index_key() -> Column:
     return dotted("database_name", "schema_name", "index_name")
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "index.invalid",
+)
 def index_rules(s: Settings) -> list[RowRule]:
     return [
         structural(
@@ -300,7 +302,9 @@ def workload_patterns(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "performance.slow_query",
+)
 def slow_queries(s: Settings) -> list[RowRule]:
     only = F.element_at("referenced_objects", 1)
     qualified = (
@@ -336,7 +340,10 @@ def slow_queries(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "performance.lock_wait",
+    "performance.high_connections",
+)
 def activity_rules(s: Settings) -> list[RowRule]:
     database = F.col("database_name")
     share = ratio(F.col("connections"), F.col("max_connections"))

@@ -39,7 +39,10 @@ def function_key() -> Column:
     return F.concat(dotted("database_name", "schema_name", "function_name"), arguments)
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "security.security_definer",
+    "security.definer_search_path",
+)
 def function_rules(s: Settings) -> list[RowRule]:
     key, name = function_key(), F.col("function_name")
     pinned = F.lower("config").rlike(r"(?:^|,)\s*search_path=")
@@ -74,7 +77,11 @@ def function_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "security.auditor_privilege_unknown",
+    "security.auditor_not_readonly",
+    "security.account_inactive_review",
+)
 def role_rules(s: Settings) -> list[RowRule]:
     name, current = F.col("role_name"), F.col("is_current")
     auditor = F.concat(F.col("database_name"), F.lit(".auditor:"), name)
@@ -206,7 +213,9 @@ def excessive_privilege(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "security.public_schema_create",
+)
 def schema_rules(s: Settings) -> list[RowRule]:
     open_acl = F.exists("acls", lambda a: a.contains("=C/") | a.contains("=UC/"))
     return [

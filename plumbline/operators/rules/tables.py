@@ -36,7 +36,17 @@ def consistent_name(name: Column, convention: Column) -> Column:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "model.naming_inconsistent",
+    "model.wide_table",
+    "maintenance.stale_analyze",
+    "maintenance.dead_tuple_pressure",
+    "storage.large_table",
+    "integrity.missing_primary_key",
+    "model.undocumented_critical",
+    "inactivity.possibly_inactive",
+    "security.rls_disabled_hypothesis",
+)
 def table_rules(s: Settings) -> list[RowRule]:
     name = F.col("table_name")
     size, rows = F.col("total_size_bytes"), F.col("row_estimate")
@@ -151,7 +161,10 @@ def table_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "model.naming_inconsistent",
+    "model.type_review",
+)
 def column_rules(s: Settings) -> list[RowRule]:
     column = F.col("column_name")
     name = dotted("table_name", "column_name")
@@ -191,7 +204,9 @@ def column_rules(s: Settings) -> list[RowRule]:
     ]
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "integrity.constraint_unvalidated",
+)
 def constraint_rules(s: Settings) -> list[RowRule]:
     return [
         structural(
@@ -238,7 +253,9 @@ def vacuum_scope(tables: DataFrame) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= VACUUM_TABLES).drop("rank")
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "vacuum.high_dead_tuples",
+)
 def vacuum_rules(s: Settings) -> list[RowRule]:
     dead, live = F.col("n_dead_tup"), F.col("n_live_tup")
     total = live + dead
@@ -544,7 +561,9 @@ def orphan_sequence(b: Bundle, s: Settings) -> DataFrame:
     )
 
 
-@FAMILY.rows
+@FAMILY.rows(
+    "sequence.near_limit",
+)
 def sequence_rules(s: Settings) -> list[RowRule]:
     used = ratio(F.col("last_value"), F.col("max_value"))
     high = s.number("sequence.near_limit", "sequence_integer_high_ratio", 0.8)

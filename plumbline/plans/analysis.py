@@ -24,8 +24,9 @@ PARTITIONED_FAMILIES = ("chunk", "cagg", "policy", "job", "timescale")
 RELATIONAL_ENGINES = ("", "postgresql", "timescaledb")
 
 
-def row_rules(settings: Settings = DEFAULTS) -> list[RowRule]:
-    return [rule for family in FAMILIES for rule in family.all_row_rules(settings)]
+def row_rules(settings: Settings = DEFAULTS, rule_id: str | None = None) -> list[RowRule]:
+    """Row rules of all families, or those of one id."""
+    return [rule for family in FAMILIES for rule in family.row_rules(settings, rule_id)]
 
 
 def function_rules() -> Mapping[str, RuleFunction]:
@@ -41,7 +42,7 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame | None:
 
 def run_rule(bundle: Bundle, rule_id: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Findings of one rule."""
-    parts = [match(bundle[r.source], r) for r in row_rules(settings) if r.rule_id == rule_id]
+    parts = [match(bundle[r.source], r) for r in row_rules(settings, rule_id)]
     function = function_rules().get(rule_id)
     if function is not None:
         parts.append(function(bundle, settings))

@@ -9,6 +9,7 @@ that more than one engine can read.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -480,13 +481,14 @@ FROM supplier""",
 }
 
 
-def parquet_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The plain tables of a folder, one Parquet file or directory each."""
-    return {
-        name: spark.read.parquet(path)
-        for name in SOURCE_TABLES
-        if os.path.exists(path := os.path.join(folder, f"{name}.parquet"))
-    }
+def register_tables(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Make plain tables of a folder readable by SQL, one Parquet file or directory each."""
+    for name in names:
+        spark.read.parquet(os.path.join(folder, f"{name}.parquet")).createOrReplaceTempView(name)
+
+
+def _words(name: str) -> set[str]:
+    return set(re.findall(r"\w+", VIEWS[name]))
 
 
 def required(*names: str) -> list[str]:
@@ -495,7 +497,7 @@ def required(*names: str) -> list[str]:
     order = list(VIEWS)
     for name in reversed(order):
         if name in wanted:
-            wanted |= {other for other in order if other != name and other in VIEWS[name].split()}
+            wanted |= {other for other in order if other != name and other in _words(name)}
     return [name for name in order if name in wanted]
 
 
@@ -506,6 +508,6 @@ def ctes(*names: str) -> str:
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One derived snapshot table over the tables of a folder."""
-    for table, frame in parquet_tables(spark, folder).items():
-        frame.createOrReplaceTempView(table)
+    used = set().union(*[_words(v) for v in required(name)])
+    register_tables(spark, folder, [t for t in SOURCE_TABLES if t in used])
     return spark.sql(f"{ctes(name)} SELECT * FROM {name}")
