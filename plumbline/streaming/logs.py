@@ -20,6 +20,7 @@ from plumbline.operators.logs import (
     split_windows,
     template_events,
 )
+from plumbline.sources.staging import cut_lineage
 
 
 def stream_window_counts(events: DataFrame, window: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
@@ -59,21 +60,22 @@ def start_anomaly_stream(
 ) -> StreamingQuery:
     """Judge every batch of closed windows against the stored windows before it.
 
+    The batch and the windows it is judged with are staged, because each is read
+    several times.
+
     ``append_counts`` and ``write_anomalies`` get the batch id, so a batch that
     is repeated after a lost executor can replace what it wrote before.
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.persist()
-        try:
-            first = fresh.groupBy("source").agg(F.min("window_start").alias("first_start"))
-            history = read_history().join(first, "source").where(F.col("window_start") < F.col("first_start"))
-            both = history.drop("first_start").unionByName(fresh)
-            roles = split_windows(both, thresholds.baseline_windows)
-            write_anomalies(detect_anomalies(both, roles, thresholds), batch_id)
-            append_counts(fresh, batch_id)
-        finally:
-            fresh.unpersist()
+        fresh = cut_lineage(batch)
+        first = fresh.groupBy(F.col("source").alias("fresh_source")).agg(F.min("window_start").alias("first_start"))
+        history = read_history()
+        before = history.join(first, F.col("source") == F.col("fresh_source")).where(F.col("window_start") < F.col("first_start"))
+        both = cut_lineage(before.select(*fresh.columns).unionByName(fresh))
+        roles = split_windows(both, thresholds.baseline_windows)
+        write_anomalies(detect_anomalies(both, roles, thresholds), batch_id)
+        append_counts(fresh, batch_id)
 
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(judge).start()
 
