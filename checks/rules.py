@@ -147,7 +147,7 @@ rule("maintenance.growth_trend", "f_table_daily f_daily_run",
 
 @REGISTRY.add("rule_model_duplicate_entity", derive.ctes("s_twin_column") + " " + finding_sql(
     "model.duplicate_entity",
-    """(SELECT a.*, b.schema_name AS other FROM sig a JOIN sig b USING (environment_id, run_id, database_name, table_name, s) WHERE b.schema_name < a.schema_name)""",
+    """(SELECT a.* FROM (SELECT *, lag(schema_name) OVER (PARTITION BY environment_id, run_id, database_name, table_name, s ORDER BY schema_name) AS other FROM sig) a WHERE other IS NOT NULL)""",
     "n >= 3", "info", evidence={"other_schema": "other", "column_count": "n"}).replace("FROM (SELECT a.*", """FROM (WITH sig AS (SELECT environment_id, run_id, database_name, schema_name, table_name, count(*) AS n,
  list_sort(list(column_name || ':' || CASE WHEN data_type IN ('integer', 'numeric(10,2)') THEN 'number' ELSE data_type END)) AS s FROM s_twin_column GROUP BY ALL) SELECT a.*"""))
 def duplicate_entity(spark, folder):

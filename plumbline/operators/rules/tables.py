@@ -368,12 +368,12 @@ def _singular() -> Column:
     return F.when(name.endswith("s"), F.expr("substring(table_name, 1, length(table_name) - 1)")).otherwise(name)
 
 
-def duplicate_pairs(b: Bundle) -> DataFrame:
-    """Tables with the same name and column signature in another schema of the database.
+def repeated_entities(b: Bundle) -> DataFrame:
+    """Tables whose name and column signature an earlier schema of the database has, too.
 
-    A signature group stays one row per schema, so the pairs are found per group
-    from an ordered schema list: every schema after the first of its group pairs
-    with each schema before it.
+    Each is paired with the schema just before it only: findings are told apart
+    by the table, so the other pairs would only overwrite each other, and a name
+    that thousands of schemas share must not grow into all their pairs.
     """
     signature = F.array_sort(F.collect_list(F.concat("column_name", F.lit(":"), type_family(F.col("data_type")))))
     tables = (
@@ -383,15 +383,14 @@ def duplicate_pairs(b: Bundle) -> DataFrame:
         .where(F.col("column_count") >= 3)
         .join(b["tables"].select(*TABLE), TABLE, "left_semi")
     )
-    group = [*RUN, "database_name", "table_name", "signature"]
-    other = tables.select(*group, F.col("schema_name").alias("other_schema"))
-    return tables.join(other, group).where(F.col("other_schema") < F.col("schema_name"))
+    alike = W.partitionBy(*RUN, "database_name", "table_name", "signature").orderBy("schema_name")
+    return tables.withColumn("other_schema", F.lag("schema_name").over(alike)).where(F.col("other_schema").isNotNull())
 
 
 @FAMILY.rule("model.duplicate_entity", "columns", "tables")
 def duplicate_entity(b: Bundle, s: Settings) -> DataFrame:
     return match(
-        duplicate_pairs(b),
+        repeated_entities(b),
         structural(
             "model.duplicate_entity",
             "tables",
