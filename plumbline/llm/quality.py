@@ -45,7 +45,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_words", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Rule(5, "capitals", "2 * n_capitals > word_chars"),
     Rule(6, "exclamations", "10 * n_exclamations > 3 * n_words"),

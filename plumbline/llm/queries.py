@@ -48,7 +48,7 @@ WITH d AS (
     FROM w LEFT JOIN cov USING (rid)
 ), b AS (
     SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
-        + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
+        + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (100 * n_dup_lines > 60 * n_lines)::BIGINT
         + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
         + 32 * (2 * n_capitals > word_chars)::BIGINT + 64 * (10 * n_exclamations > 3 * n_words)::BIGINT AS fail_bits
     FROM m
