@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from plumbline.llm import quality
+
+from plumbline.llm import quality, simhash, tokens
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.rejected(quality.FULL)).alias("kept"),
         "fail_bits",
     )
+
+
+@registered("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), path, tokens.BYTE_LEVEL)
+
+
+@registered("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
