@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
-from plumbline.llm import quality, simhash, tokens
+from plumbline.llm import packing, quality, simhash, token_files, tokens
 from plumbline.llm.common import table
 
+#: The id that ends a document.
+END = 1
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -85,3 +88,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@registered("op6_mixture_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, tokens.WORD_LEVEL, END)
+
+
+@registered("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, path, tokens.WORD_LEVEL, END)
+    return token_files.read_tokens(spark, folder)
