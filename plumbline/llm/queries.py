@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
-from plumbline.llm import packing, quality, simhash, token_files, tokens
+from plumbline.llm import extendible, packing, quality, simhash, token_files, tokens
 from plumbline.llm.common import table
 
 #: The id that ends a document.
@@ -102,3 +102,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     token_files.write_tokens(table(spark, sf_dir, "documents"), folder, path, tokens.WORD_LEVEL, END)
     return token_files.read_tokens(spark, folder)
+
+
+SHARD_BYTES = 4 << 20
+
+SHARD_SQL = rf"""
+WITH RECURSIVE s AS (
+    SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+), t(depth, bits, n_bytes) AS (
+    SELECT 0, 0::BIGINT, sum(n_bytes)::BIGINT FROM s
+    UNION ALL
+    SELECT p.depth + 1, s.h >> (59 - p.depth), sum(s.n_bytes)::BIGINT
+    FROM t p JOIN s ON s.h >> (60 - p.depth) = p.bits WHERE p.n_bytes > {SHARD_BYTES} AND p.depth < 60
+    GROUP BY ALL
+)
+SELECT s.doc_id, s.n_bytes, CASE WHEN t.depth = 0 THEN '' ELSE right(bin(t.bits | (1::BIGINT << 61)), t.depth) END AS shard,
+    t.depth::INTEGER AS depth, t.n_bytes AS shard_bytes, t.n_bytes > {SHARD_BYTES} AS oversize
+FROM s JOIN t ON s.h >> (60 - t.depth) = t.bits WHERE t.n_bytes <= {SHARD_BYTES} OR t.depth = 60
+"""
+
+
+@registered("op7_extendible_sharding", SHARD_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
