@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-from plumbline.llm import extendible, packing, quality, simhash, token_files, tokens
+from plumbline.llm import extendible, packing, quality, simhash, token_files, tokens, warc
 from plumbline.llm.common import table
 
 #: The id that ends a document.
@@ -126,3 +127,99 @@ FROM s JOIN t ON s.h >> (60 - t.depth) = t.bits WHERE t.n_bytes <= {SHARD_BYTES}
 @registered("op7_extendible_sharding", SHARD_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records from the pages: each page as a response, and revisits of it that follow later.
+
+    Revisits carry the tag, a weak tag, the date only, a changed tag or nothing to check by; some come before any response.
+    """
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 12), F.lit('"'))
+    date = F.concat(F.lit("day "), (F.col("page_id") % 97).cast("string"))
+    line = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    responses = pages.select(
+        (F.col("page_id") * 3).alias("record_id"),
+        "url",
+        (F.col("page_id") * 10).alias("ts"),
+        F.lit("response").alias("kind"),
+        F.when(F.col("page_id") % 13 == 12, 404).otherwise(200).alias("status"),
+        F.array(
+            line("ETag", tag), line("Last-Modified", date), line("Content-Type", F.lit("text/html")), line("Date", F.lit("first"))
+        ).alias("headers"),
+        F.col("html").alias("payload"),
+    )
+    way = F.col("page_id") % 5
+    checked = (
+        F.when(way == 0, F.array(line("etag", tag)))
+        .when(way == 1, F.array(line("etag", F.concat(F.lit("W/"), tag))))
+        .when(way == 2, F.array(line("last-modified", date)))
+        .when(way == 3, F.array(line("etag", F.lit('"other"'))))
+        .otherwise(F.array().cast(warc.HEADERS))
+    )
+    revisits = pages.select(
+        (F.col("page_id") * 3 + 1).alias("record_id"),
+        "url",
+        F.when(F.col("page_id") % 11 == 3, -1).otherwise(F.col("page_id") * 10 + 5 + 70 * (F.col("page_id") % 40)).alias("ts"),
+        F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"),
+        F.concat(
+            checked, F.array(line("date", F.concat(F.lit("seen "), F.col("page_id").cast("string"))), line("server", F.lit("x")))
+        ).alias("headers"),
+        F.lit(None).cast("string").alias("payload"),
+    )
+    return responses.unionByName(revisits)
+
+
+WARC_SQL = r"""
+WITH p AS (
+    SELECT *, regexp_replace(regexp_replace(url, '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u,
+        '"' || substr(md5(html), 1, 12) || '"' AS tag, 'day ' || (page_id % 97) AS day FROM pages
+), k AS (
+    SELECT *, regexp_extract(u, '^[^/?]*') AS h, substr(u, length(regexp_extract(u, '^[^/?]*')) + 1) AS r FROM p
+), c AS (
+    SELECT *, regexp_replace(regexp_replace(lower(h), '^www\.', ''), ':(80|443)$', '')
+        || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            r, '([?&])(utm_[A-Za-z0-9_]*|ref)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&]+$', ''), '/$', '')
+        AS key FROM k
+), f AS (
+    SELECT page_id * 3 AS record_id, key, page_id * 10 AS ts, page_id % 13 <> 12 AS is_full, tag, day,
+        strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_sha256 FROM c
+), v AS (
+    SELECT page_id * 3 + 1 AS record_id, key, page_id, page_id % 5 AS way, tag, day,
+        CASE WHEN page_id % 11 = 3 THEN -1 ELSE page_id * 10 + 5 + 70 * (page_id % 40) END AS ts FROM c
+), m AS (
+    SELECT v.*, (SELECT max({'ts': f.ts, 'id': f.record_id}) FROM f WHERE f.is_full AND f.key = v.key AND f.ts < v.ts).id AS target
+    FROM v
+), o AS (
+    SELECT m.*, f.payload_bytes AS pb, f.payload_sha256 AS ps, f.tag AS ft, f.day AS fd,
+        m.target IS NOT NULL AND coalesce(CASE way WHEN 0 THEN m.tag = f.tag WHEN 1 THEN m.tag = f.tag WHEN 2 THEN m.day = f.day
+            WHEN 3 THEN '"other"' = f.tag ELSE false END, false) AS ok
+    FROM m LEFT JOIN f ON f.record_id = m.target
+)
+SELECT record_id, key AS canonical_url, CASE WHEN is_full THEN 'full' ELSE 'other' END AS state, NULL::BIGINT AS target,
+    concat_ws(chr(10), 'ETag: ' || tag, 'Last-Modified: ' || day, 'Content-Type: text/html', 'Date: first') AS headers,
+    payload_bytes, payload_sha256 FROM f
+UNION ALL
+SELECT record_id, key, CASE WHEN target IS NULL THEN 'no_response' WHEN ok THEN 'resolved' ELSE 'mismatch' END, target,
+    CASE WHEN ok THEN concat_ws(chr(10), CASE WHEN way = 2 THEN 'ETag: ' || ft END, 'Last-Modified: ' || fd,
+            'Content-Type: text/html', CASE way WHEN 0 THEN 'etag: ' || tag WHEN 1 THEN 'etag: W/' || tag END,
+            'date: seen ' || page_id)
+        ELSE concat_ws(chr(10), CASE way WHEN 0 THEN 'etag: ' || tag WHEN 1 THEN 'etag: W/' || tag
+            WHEN 2 THEN 'last-modified: ' || day WHEN 3 THEN 'etag: "other"' END, 'date: seen ' || page_id, 'server: x') END,
+    CASE WHEN ok THEN pb END, CASE WHEN ok THEN ps END FROM o
+"""
+
+
+@registered("op10_warc_revisits", WARC_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(captures(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
+    return found.select(
+        "record_id",
+        F.col("key").alias("canonical_url"),
+        "state",
+        "target",
+        lines.alias("headers"),
+        "payload_bytes",
+        "payload_sha256",
+    )
