@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from plumbline.llm import extendible, packing, quality, simhash, token_files, tokens, warc
+from plumbline.llm import containment, extendible, packing, quality, simhash, token_files, tokens, warc
 from plumbline.llm.common import table
 
 #: The id that ends a document.
@@ -223,3 +223,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_bytes",
         "payload_sha256",
     )
+
+
+LEAKS_SQL = r"""
+WITH d AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), b AS (
+    SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM benchmark
+), ds AS (
+    SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM d
+), bs AS (
+    SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM b
+), n AS (
+    SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id
+)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles)
+"""
+
+
+@registered("op3_benchmark_decontamination", LEAKS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
