@@ -174,7 +174,7 @@ def entries(distinct: DataFrame, layout: Layout) -> DataFrame:
 
 
 def probes(distinct: DataFrame, layout: Layout, radius: int = RADIUS) -> DataFrame:
-    """``fp, key``: the values each fingerprint looks up. Values whose cell is empty have no entry and are left out."""
+    """``fp, key``: the values each fingerprint looks up."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -186,11 +186,8 @@ def probes(distinct: DataFrame, layout: Layout, radius: int = RADIUS) -> DataFra
                     of = np.flatnonzero(chosen[i] > distance)
                     for k in range(0, len(of), 256):
                         some = of[k : k + 256]
-                        near = values[i, some, None] ^ masks[None, :]
-                        held = layout.counts[i][cells(near)] > 0
-                        who = np.broadcast_to(fps[some, None], near.shape)[held]
-                        if len(who):
-                            yield _batch(who, keyed(i, near[held]))
+                        near = (values[i, some, None] ^ masks[None, :]).ravel()
+                        yield _batch(np.repeat(fps[some], len(masks)), keyed(i, near))
 
     return distinct.select("fp").mapInArrow(run, "fp long, key long")
 
