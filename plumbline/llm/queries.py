@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from plumbline.llm import containment, extendible, packing, quality, simhash, token_files, tokens, warc
+from plumbline.llm import containment, extendible, packing, quality, simhash, substring, token_files, tokens, warc
 from plumbline.llm.common import table
 
 #: The id that ends a document.
@@ -247,3 +247,31 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 @registered("op3_benchmark_decontamination", LEAKS_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (
+    SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), win AS (
+    SELECT doc_id, unnest([{'i': i, 's': md5(array_to_string(w[i:i + 49], ' '))} FOR i IN range(1, len(w) - 48)]) AS x
+    FROM d WHERE len(w) >= 50
+), hit AS (
+    SELECT doc_id, x.i AS i FROM win QUALIFY min(doc_id) OVER (PARTITION BY x.s) < doc_id
+), word AS (
+    SELECT doc_id, unnest([{'i': i, 'v': w[i]} FOR i IN range(1, len(w) + 1)]) AS x FROM d
+), mark AS (
+    SELECT word.doc_id, x.i AS i, x.v AS v,
+        max(hit.i) OVER (PARTITION BY word.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+    FROM word LEFT JOIN hit ON hit.doc_id = word.doc_id AND hit.i = x.i
+), left_over AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(v, ' ' ORDER BY i) FILTER (NOT gone), '') AS t
+    FROM mark GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@registered("op2_substring_dedup", SUBSTRING_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
