@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from plumbline.llm import containment, extendible, packing, quality, simhash, substring, token_files, tokens, warc
+from plumbline.llm import containment, extendible, language, packing, quality, simhash, substring, token_files, tokens, warc
 from plumbline.llm.common import table
 
 #: The id that ends a document.
@@ -275,3 +275,10 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 @registered("op2_substring_dedup", SUBSTRING_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
+
+
+@registered("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
+    return language.label(docs, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
