@@ -49,6 +49,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """The same value, not deterministic on paper: no filter moves below a projection that has it and repeats its work."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BLANKS, let, without, word_array
+from plumbline.llm.common import BLANKS, let, once, without, word_array
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -117,7 +117,7 @@ def measure(docs: DataFrame) -> DataFrame:
     hinted = F.coalesce(F.size("hashes") > F.size(F.array_distinct("hashes")), F.lit(False))
     third = second.select(
         "row",
-        "n_words",
+        once(F.col("n_words")).alias("n_words"),
         "word_chars",
         "n_symbols",
         F.size("lines").alias("n_lines"),
