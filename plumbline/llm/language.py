@@ -160,6 +160,8 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) ->
 
     Documents go forward in step, the longest first, so each step is one operation on those that still have words.
     """
+    if not len(scores):
+        return np.zeros(0, dtype=np.int16)
     starts = np.cumsum(sizes) - sizes
     turn = np.argsort(-sizes, kind="stable")
     starts, lengths = starts[turn], sizes[turn]

@@ -282,4 +282,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(n, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return removal(docs).select("row.*", "runs").mapInArrow(run, schema)
+    name = "runs"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return removal(docs).select("row.*", F.col("runs").alias(name)).mapInArrow(run, schema)
