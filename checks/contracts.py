@@ -181,7 +181,7 @@ SELECT environment_id, run_id, database_name, schema_name, table_name, 'nulls' A
 UNION ALL SELECT environment_id, run_id, database_name, schema_name, table_name, 'uniqueness', column_list, 'uniqueness:' || column_list, NULL, NULL, 1, min(constraint_name) FROM s_constraint WHERE constraint_type IN ('p', 'u') GROUP BY 1, 2, 3, 4, 5, 7
 UNION ALL SELECT environment_id, run_id, database_name, schema_name, table_name, 'orphan', column_list, 'orphan:' || column_list || '->' || referenced_schema || '.' || referenced_table || '.' || referenced_list, NULL, NULL, 1, constraint_name FROM s_constraint WHERE constraint_type = 'f' AND column_list NOT LIKE '%,%'
 UNION ALL SELECT environment_id, run_id, database_name, schema_name, table_name, 'freshness', min(column_name), 'freshness:' || min(column_name), NULL, 24, 2, '' FROM cols WHERE column_name = 'updated_at' AND data_type LIKE 'timestamp%' GROUP BY 1, 2, 3, 4, 5
-)) WHERE ordinal <= 50""",
+))""",
     "s_column",
     "s_constraint",
     extra="cols AS (SELECT * REPLACE (CASE WHEN column_name = 'CreatedAt' THEN 'updated_at' ELSE column_name END AS column_name) FROM s_column)",
@@ -240,7 +240,7 @@ def trend(spark, folder):
 WHERE CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 7)) AS BIGINT) < CAST(floor(least(100, greatest(0.1, 1000 * 4 / CAST(150000 AS DOUBLE) * 100)) / 100 * 268435456) AS BIGINT)""",
 )
 def sample(spark, folder):
-    picked = probes.bounded_sample(orders(spark, folder), 1000, 150_000, key=["o_orderkey"])
+    picked = probes.sample_rows(orders(spark, folder), probes.sample_share(1000, 150_000), key=["o_orderkey"])
     return picked.select("o_orderkey", "o_custkey")
 
 

@@ -175,7 +175,7 @@ def gain(spark, folder):
 
 
 EFFORT_SQL = "CASE WHEN rule_id IN ('cost.query_expensive') THEN 'baixo' WHEN rule_id = 'storage.large_table' THEN 'alto' ELSE 'médio' END"
-PRIORITY = IMPACT + f""", cd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY environment_id ORDER BY {QUEUE}) AS place FROM il WHERE status IN ('open', 'acknowledged')) WHERE place <= 500),
+PRIORITY = IMPACT + f""", cd AS (SELECT * FROM il WHERE status IN ('open', 'acknowledged')),
  sc AS (SELECT *, {EFFORT_SQL} AS effort, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS wt, CASE impact_level WHEN 'alto' THEN 1.5 WHEN 'medio' THEN 1.2 WHEN 'baixo' THEN 1.0 ELSE 0.8 END AS fc FROM cd),
  rk AS (SELECT *, row_number() OVER (PARTITION BY environment_id ORDER BY score DESC, wt DESC, finding_id) AS rank FROM (SELECT *, round(wt * CAST(fc AS DOUBLE) * confidence / CASE effort WHEN 'baixo' THEN 1 WHEN 'alto' THEN 2 ELSE 1.5 END, 2) AS score FROM sc))"""
 

@@ -113,17 +113,24 @@ def replace_chain(column: str, steps) -> str:
     return column
 
 
-H = "[0-9a-f]{1,4}"
-IPV6 = "|".join([
-    f"(?:{H}:){{7}}{H}", f"(?:{H}:){{1,7}}:", f"(?:{H}:){{1,6}}:{H}", f"(?:{H}:){{1,5}}(?::{H}){{1,2}}", f"(?:{H}:){{1,4}}(?::{H}){{1,3}}",
-    f"(?:{H}:){{1,3}}(?::{H}){{1,4}}", f"(?:{H}:){{1,2}}(?::{H}){{1,5}}", f"{H}:(?::{H}){{1,6}}", f":(?::{H}){{1,7}}",
-])
+#: The shapes of an IPv6 address, of the text masked in a message and of the literals stripped from SQL.
+IPV6_FORMS = (
+    r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}",
+    r"(?:[0-9a-f]{1,4}:){1,7}:",
+    r"(?:[0-9a-f]{1,4}:){1,6}:[0-9a-f]{1,4}",
+    r"(?:[0-9a-f]{1,4}:){1,5}(?::[0-9a-f]{1,4}){1,2}",
+    r"(?:[0-9a-f]{1,4}:){1,4}(?::[0-9a-f]{1,4}){1,3}",
+    r"(?:[0-9a-f]{1,4}:){1,3}(?::[0-9a-f]{1,4}){1,4}",
+    r"(?:[0-9a-f]{1,4}:){1,2}(?::[0-9a-f]{1,4}){1,5}",
+    r"[0-9a-f]{1,4}:(?::[0-9a-f]{1,4}){1,6}",
+    r":(?::[0-9a-f]{1,4}){1,7}",
+)
 MASK_SQL = [
     (r"(?s)\$[A-Za-z_0-9]*\$.*?\$[A-Za-z_0-9]*\$", "<*>"),
     (r"""'(?:''|[^'])*'|"(?:\\.|[^"\\])*\"""", "<*>"),
     (r"(?i)\b[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}\b", "<*>"),
     (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<*>"),
-    (rf"(?i)\b(?:{IPV6})\b", "<*>"),
+    (rf"(?i)\b(?:{'|'.join(IPV6_FORMS)})\b", "<*>"),
     (r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\b", "<*>"),
     (r"\b[0-9a-fA-F]{32,64}\b", "<*>"),
     (r"""(?i)\b[A-Z]:\\(?:[^\s"'<>|]+\\)*[^\s"'<>|]+""", "<*>"),

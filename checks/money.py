@@ -142,7 +142,7 @@ def ages(spark, folder):
     return ret.age_buckets(chunks(spark, folder), now())
 
 
-SCENARIOS = (ret.Scenario("keep", 0, 0), ret.Scenario("year", 365, 30), ret.Scenario("quarter", 90, 7), ret.Scenario("squeeze", 0, 7), ret.Scenario("wrong", -1, 7))
+SCENARIOS = (ret.Scenario("keep", 0, 0), ret.Scenario("year", 365, 30), ret.Scenario("quarter", 90, 7), ret.Scenario("squeeze", 0, 7), ret.Scenario("wrong", -1, 7), ret.Scenario("half", 180, 14))
 CASES = "sn AS (SELECT * FROM (VALUES " + ", ".join(f"('{s.label}', {s.retention_days}, {s.compress_after_days})" for s in SCENARIOS) + ") v(label, retention_days, compress_after_days))"
 OLD = "hypertable_name NOT LIKE '%9' AND retention_days >= 0 AND {d} > 0 AND range_end <= TIMESTAMP '" + NOW + "' - to_days(CAST({d} AS INTEGER))"
 DROPPED, SQUEEZED = OLD.replace("{d}", "retention_days"), "NOT is_compressed AND " + OLD.replace("{d}", "compress_after_days")

@@ -21,7 +21,7 @@ matched AS (SELECT * EXCLUDE (category, confidence, norm), d.category FROM (SELE
   FROM named n JOIN dict d ON contains(n.norm, d.pattern)) d WHERE best = 1)"""
 CLASSIFIED = MATCH + f""", ranked AS (SELECT DISTINCT {TABLE_SQL}, dense_rank() OVER (PARTITION BY environment_id, run_id ORDER BY database_name, schema_name, table_name) AS place FROM matched),
 classified AS (SELECT {COLUMN_SQL}, data_type, category, CASE WHEN regexp_matches(lower(data_type), CASE WHEN category IN ('cpf', 'rg', 'cep', 'telefone') THEN 'char|text|name|uuid|int|numeric|decimal|double|real' ELSE 'char|text|name|uuid' END) THEN 'media' ELSE 'baixa' END AS confidence,
-  'nome' AS method, place <= 200 AS scanned FROM matched JOIN ranked USING ({TABLE_SQL}))"""
+  'nome' AS method, true AS scanned FROM matched JOIN ranked USING ({TABLE_SQL}))"""
 
 
 def columns(spark, folder):

@@ -12,6 +12,7 @@ from plumbline.operators.rules.base import DEFAULTS, Settings
 from plumbline.plans import analysis, derive
 
 REGISTRY = Registry()
+# Fixed values throughout: titles, severities, thresholds and evidence names of the findings, which feed their keys.
 TABLE_KEY = "database_name || '.' || schema_name || '.' || table_name"
 HYPERTABLE_KEY = "database_name || '.' || schema_name || '.' || hypertable_name"
 JOIN_TABLE = "USING (environment_id, run_id, database_name, schema_name, table_name)"

@@ -14,29 +14,29 @@ ITEM = ["database_name", "account_name", "object_type", "object_name", "column_n
 READ_ALL, WRITE_ALL = "pg_read_all_data", "pg_write_all_data"
 
 
-def membership_reach(edges: DataFrame, logins: DataFrame, max_depth: int = 16) -> DataFrame:
+def membership_reach(edges: DataFrame, logins: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every role a login reaches through memberships (login, granted, depth).
 
     ``edges``: member, granted.  Each step extends only the pairs found in the
-    step before and drops what is known already, so cycles end the search.  The
-    number of steps is the depth of the role graph; ``max_depth`` only guards
-    against endless plans and raises when it is too small.
+    step before and drops what is known already, so cycles end the search.  It
+    takes as many steps as the role graph is deep; every step is written to the
+    shared folder.  With ``max_depth`` memberships further away are left out.
     """
     frontier = logins.select("login").join(edges.withColumnRenamed("member", "login"), "login").select("login", "granted")
     frontier = cut_lineage(frontier.where(F.col("login") != F.col("granted")).distinct())
     reached = frontier.withColumn("depth", F.lit(1))
     step = edges.select(F.col("member").alias("granted"), F.col("granted").alias("next"))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
         found = frontier.join(step, "granted").select("login", F.col("next").alias("granted"))
         frontier = cut_lineage(
             found.where(F.col("login") != F.col("granted"))
             .distinct()
             .join(reached.select("login", "granted"), ["login", "granted"], "left_anti")
         )
-        if frontier.isEmpty():
-            return reached
         reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    raise ValueError(f"the role graph is deeper than {max_depth} steps")
+    return reached
 
 
 def expand_privileges(effective: DataFrame, acls: DataFrame, reach: DataFrame) -> DataFrame:
@@ -63,13 +63,7 @@ def grant_origin(privileges: DataFrame, acls: DataFrame, reach: DataFrame) -> Da
     own = acls.where(F.col("grantee") != "").select(*PRIVILEGE, F.col("grantee").alias("account_name")).distinct().withColumn("granted_directly", F.lit(True))
     reachable = reach.select(F.col("login").alias("account_name"), F.col("granted").alias("role")).distinct()
     roles = acls.where(F.col("grantee") != "").select(*PRIVILEGE, F.col("grantee").alias("role")).distinct()
-    first_role = (
-        privileges.select("account_name", *PRIVILEGE)
-        .join(roles, PRIVILEGE)
-        .join(reachable, ["account_name", "role"])
-        .groupBy("account_name", *PRIVILEGE)
-        .agg(F.min("role").alias("acl_role"))
-    )
+    first_role = roles.join(reachable, "role").groupBy("account_name", *PRIVILEGE).agg(F.min("role").alias("acl_role"))
     predefined = reachable.where(F.col("role").isin(READ_ALL, WRITE_ALL)).groupBy("account_name").agg(
         F.bool_or(F.col("role") == READ_ALL).alias("reads_all"), F.bool_or(F.col("role") == WRITE_ALL).alias("writes_all")
     )

@@ -25,22 +25,26 @@ def current_price(prices: DataFrame) -> DataFrame:
 
 
 def price_as_of(rows: DataFrame, prices: DataFrame, at: str) -> DataFrame:
-    """Rows with the price version that was in effect at their time.
+    """Rows with the price version that was in effect at their time, NULL before the first and without a time.
 
-    Both sides are ordered together per environment and the last price is
-    carried forward, so there is no range join.
+    Rows meet the few prices of their environment and month in one equality join;
+    what a month starts with is carried from month to month, one row each.  No
+    environment's rows are gathered in one task.
     """
-    price = F.struct(*PRICE_COLUMNS)
-    names = rows.columns
-    events = rows.select(
-        "environment_id", F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_version"), F.struct(*names).alias("_row"), F.lit(None).cast(prices.select(price.alias("p")).schema["p"].dataType).alias("_price")
-    )
-    marks = prices.select(
-        "environment_id", F.col("effective_from").cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.col("version").cast("bigint").alias("_version"), F.lit(None).cast(events.schema["_row"].dataType).alias("_row"), price.alias("_price")
-    )
-    order = W.partitionBy("environment_id").orderBy("_at", "_kind", "_version").rowsBetween(W.unboundedPreceding, W.currentRow)
-    carried = events.unionByName(marks).withColumn("_price", F.last("_price", ignorenulls=True).over(order))
-    return carried.where(F.col("_kind") == 1).select("_row.*", *[F.col(f"_price.{c}").alias(f"price_{c}") for c in PRICE_COLUMNS])
+    moment = F.col(at).cast("timestamp")
+    start = F.coalesce(F.col("effective_from").cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+    mark = F.struct(start.alias("start"), F.col("version").cast("bigint").alias("order"), F.struct(*PRICE_COLUMNS).alias("price"))
+    marks = prices.select(F.col("environment_id").alias("_env"), F.trunc(start, "month").alias("_month"), mark.alias("mark"))
+    inside = marks.groupBy("_env", "_month").agg(F.sort_array(F.collect_list("mark")).alias("_marks"))
+    asked = rows.select(F.col("environment_id").alias("_env"), F.trunc(moment, "month").alias("_month")).distinct()
+    earlier = W.partitionBy("_env").orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    months = asked.union(marks.select("_env", "_month")).distinct().join(inside, ["_env", "_month"], "left")
+    carried = F.last(F.try_element_at("_marks", F.lit(-1)), ignorenulls=True).over(earlier)
+    terms = months.withColumn("_carried", carried)
+    joined = rows.join(terms, (F.col("environment_id") == F.col("_env")) & (F.trunc(moment, "month") == F.col("_month")), "left")
+    own = F.try_element_at(F.filter("_marks", lambda m: m["start"] <= moment), F.lit(-1))
+    chosen = F.coalesce(own, F.col("_carried"))["price"]
+    return joined.select(*[rows[c] for c in rows.columns], *[chosen[c].alias(f"price_{c}") for c in PRICE_COLUMNS])
 
 
 def storage_amount(size_bytes: Column, price: Column) -> Column:
@@ -131,9 +135,9 @@ def cost_totals(items: DataFrame, *by: str) -> DataFrame:
 
 
 def cost_series(items: DataFrame, runs: DataFrame, until: Column, days: int = 90) -> DataFrame:
-    """Totals of every run of the last days, 90 at most."""
+    """Totals of every run of the last days."""
     until = until.cast("timestamp")
     wanted = runs.select("environment_id", "run_id", "started_at").where(
-        F.col("started_at").between(until - F.make_dt_interval(F.lit(min(days, 90))), until)
+        F.col("started_at").between(until - F.make_dt_interval(F.lit(days)), until)
     )
     return cost_totals(items.join(wanted, ["environment_id", "run_id"]), "environment_id", "run_id", "started_at")

@@ -401,15 +401,9 @@ def priority_score(findings: DataFrame) -> DataFrame:
     return rated.withColumn("severity_weight", weight).withColumn("score", score)
 
 
-def priorities(findings: DataFrame, limit: int = 10, candidates: int = 500) -> DataFrame:
-    """The most urgent open findings per environment: top ``limit`` of the first ``candidates`` of the queue."""
-    pool = W.partitionBy("environment_id").orderBy(*queue_order())
-    taken = (
-        findings.where(F.col("status").isin("open", "acknowledged"))
-        .withColumn("place", F.row_number().over(pool))
-        .where(F.col("place") <= candidates)
-        .drop("place")
-    )
+def priorities(findings: DataFrame, limit: int = 10) -> DataFrame:
+    """The ``limit`` most urgent open findings of each environment, of all in its queue."""
+    taken = findings.where(F.col("status").isin("open", "acknowledged"))
     order = W.partitionBy("environment_id").orderBy(F.desc("score"), F.desc("severity_weight"), "finding_id")
     return (
         priority_score(taken)

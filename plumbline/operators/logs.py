@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from plumbline.functions.keys import severity_rank
 from plumbline.functions.text import has_fixed_token, mask_message, template_id, template_pattern
 
-MAX_TEMPLATES = 10_000
 OTHERS = "others"
 OTHERS_PATTERN = "outros"
 #: Order in which equal level counts are decided.
@@ -52,7 +51,7 @@ def template_events(events: DataFrame) -> DataFrame:
     )
 
 
-def cap_templates(events: DataFrame, limit: int = MAX_TEMPLATES) -> DataFrame:
+def cap_templates(events: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` templates of each source by arrival; later ones count as ``others``.
 
     The events themselves are all kept.

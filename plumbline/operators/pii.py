@@ -13,7 +13,6 @@ from plumbline.functions.text import let, redact
 COLUMN = ["environment_id", "run_id", "database_name", "schema_name", "table_name", "column_name"]
 SCAN = COLUMN[:2]
 TABLE = COLUMN[:5]
-MAX_TABLES = 200
 MIN_SAMPLE = 50
 CONFIDENCES = ("baixa", "media", "alta")
 
@@ -115,15 +114,19 @@ def compatible_type(category: Column, data_type: Column) -> Column:
     return fits
 
 
-def classify_metadata(columns: DataFrame, dictionary: Sequence[tuple[str, str]] = DICTIONARY, max_tables: int = MAX_TABLES) -> DataFrame:
+def classify_metadata(columns: DataFrame, dictionary: Sequence[tuple[str, str]] = DICTIONARY, max_tables: int | None = None) -> DataFrame:
     """Columns whose name tells of personal data, with the confidence their type allows.
 
-    At most ``max_tables`` tables count as scanned per run; the columns of the
-    others stay in the result with ``scanned`` false, which makes the scan partial.
+    With ``max_tables`` so many tables count as scanned per run; the columns of
+    the others stay in the result with ``scanned`` false, which makes the scan partial.
     """
     named = columns.withColumn("category", match_category(F.col("column_name"), dictionary)).where(
         F.col("category").isNotNull()
     )
+    confidence = F.when(compatible_type(F.col("category"), F.col("data_type")), "media").otherwise("baixa")
+    shown = [*COLUMN, "data_type", "category", confidence.alias("confidence"), F.lit("nome").alias("method")]
+    if max_tables is None:
+        return named.select(*shown, F.lit(True).alias("scanned"))
     order = W.partitionBy(*SCAN).orderBy("database_name", "schema_name", "table_name")
     taken = (
         named.select(*TABLE)
@@ -132,18 +135,7 @@ def classify_metadata(columns: DataFrame, dictionary: Sequence[tuple[str, str]]
         .where(F.col("place") <= max_tables)
         .select(*TABLE, F.lit(True).alias("taken"))
     )
-    confidence = F.when(compatible_type(F.col("category"), F.col("data_type")), "media").otherwise("baixa")
-    return (
-        named.join(taken, TABLE, "left")
-        .select(
-            *COLUMN,
-            "data_type",
-            "category",
-            confidence.alias("confidence"),
-            F.lit("nome").alias("method"),
-            F.coalesce("taken", F.lit(False)).alias("scanned"),
-        )
-    )
+    return named.join(taken, TABLE, "left").select(*shown, F.coalesce("taken", F.lit(False)).alias("scanned"))
 
 
 def detect_content(table: DataFrame, categories: Mapping[str, str]) -> DataFrame:

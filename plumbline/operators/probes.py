@@ -6,35 +6,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators.contracts import orphan_values
 
-ONE_GIB = 1 << 30
-MAX_RELATIONS = 8
+def sample_share(limit: int, estimated_rows: int) -> float:
+    """The share of a table that holds about four times ``limit`` rows, from 0.001 to 1."""
+    return min(1.0, max(0.001, limit * 4 / max(estimated_rows, 1)))
 
 
-def sample_percent(limit: int, estimated_rows: int, size_bytes: int = 0) -> float | None:
-    """Percentage to sample, or None when the table is small enough to be read as it is."""
-    if size_bytes < ONE_GIB and estimated_rows <= 2 * limit:
-        return None
-    return min(100.0, max(0.1, limit * 4 / max(estimated_rows, 1) * 100))
+def sample_rows(table: DataFrame, share: float, key: Sequence[str] = ()) -> DataFrame:
+    """A repeatable part of the rows of a table.
 
-
-def bounded_sample(
-    table: DataFrame, limit: int, estimated_rows: int, size_bytes: int = 0, key: Sequence[str] = ()
-) -> DataFrame:
-    """At most ``limit`` rows: a repeatable random part of a large table, else just a limit.
-
-    With ``key`` the part is chosen by a hash of those columns, so the same rows
-    come back on every engine and the row limit is left out.
+    With ``key`` a row is taken by a hash of those columns, so the same rows come
+    back on every engine; without it by a random number from a fixed seed.
     """
-    percent = sample_percent(limit, estimated_rows, size_bytes)
-    if percent is None:
-        return table if key else table.limit(limit)
-    if key:
-        digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
-        bucket = F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint")
-        return table.where(bucket < int(percent / 100 * (1 << 28)))
-    return table.sample(withReplacement=False, fraction=percent / 100, seed=1).limit(limit)
+    if not key:
+        return table.sample(withReplacement=False, fraction=share, seed=1)
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    bucket = F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint")
+    return table.where(bucket < int(share * (1 << 28)))
 
 
 def _issues(measured: DataFrame, kind: str, counts: Mapping[str, Column]) -> DataFrame:
@@ -109,14 +97,14 @@ def probe_date_range(table: DataFrame, ranges: Mapping[str, tuple[str, str]]) ->
 
 def probe_orphans(table: DataFrame, relations: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Child rows without a parent for each simple relation (column -> parent table, parent column)."""
-    if len(relations) > MAX_RELATIONS:
-        raise ValueError(f"at most {MAX_RELATIONS} relations per table")
     parts = []
     for column, (parent, parent_column) in relations.items():
-        lost = orphan_values(table, column, parent, parent_column)
-        sampled = table.groupBy().agg(F.count(F.lit(1)).alias("sampled"), F.lit(0).cast("bigint").alias("lost"))
-        lost = lost.agg(F.lit(0).cast("bigint").alias("sampled"), F.coalesce(F.sum("n"), F.lit(0)).alias("lost"))
-        both = sampled.unionByName(lost).agg(F.sum("sampled").alias("sampled"), F.sum("lost").alias("lost"))
+        values = table.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        known = parent.select(F.col(parent_column).alias("parent")).where("parent IS NOT NULL").distinct()
+        lost = F.col("parent").isNull() & F.col("value").isNotNull()
+        both = values.join(known, F.col("value") == F.col("parent"), "left").agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("sampled"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("lost")
+        )
         parts.append(_issues(both, "orphan", {column: F.col("lost")}))
     union = parts[0]
     for part in parts[1:]:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Tolerated difference of row counts, and size of a hash sample.
+#: Tolerated difference of row counts.
 TOLERATED_ROWS = 1000
 TOLERATED_SHARE = 0.005
-SAMPLE_HASHES = 1000
-SAMPLE_TABLES = 200
 
 
 def count_diverges(expected: Column, actual: Column) -> Column:
@@ -45,41 +43,28 @@ def reconcile_inventory(origin: DataFrame, copy: DataFrame) -> DataFrame:
     return lost.select("object_type", "object_key", F.lit("inventory").alias("kind"), F.lit("high").alias("check_severity"))
 
 
-def sample_hash(rows: DataFrame, by: Sequence[str], columns: Sequence[str], sample: int = SAMPLE_HASHES) -> DataFrame:
-    """Hash of the smallest row hashes of each group.
+def group_digest(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Digest of all rows of each group, whatever their order: count, sum and XOR of 60-bit row hashes.
 
-    A row hash is the MD5 of its values as text.  The smallest ones are taken in
-    two steps: first within salted parts of a group, then over what is left, so
-    no task sees a whole hot group.  At most ``sample`` hashes per group are
-    gathered.
+    The two hashes are the halves of the MD5 of the values as text.  Everything
+    is a partial aggregate, so a hot group is one row per task.
     """
     by = list(by)
     text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
-    hashed = rows.select(*by, F.md5(text).alias("row_hash")).withColumn("part", F.substring("row_hash", -2, 2))
-    local = W.partitionBy(*by, "part").orderBy("row_hash")
-    fewer = hashed.withColumn("place", F.row_number().over(local)).where(F.col("place") <= sample)
-    total = W.partitionBy(*by).orderBy("row_hash", "part")
-    smallest = fewer.withColumn("place", F.row_number().over(total)).where(F.col("place") <= sample)
-    return smallest.groupBy(*by).agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list("row_hash")), "")).alias("sample_hash"),
-        F.count(F.lit(1)).alias("hashed_rows"),
-    )
+    hashed = rows.select(*by, F.md5(text).alias("row_hash"))
 
+    def part(start: int) -> Column:
+        return F.conv(F.substring("row_hash", start, 15), 16, 10).cast("bigint")
 
-def hash_tables(estimates: DataFrame, limit: int = SAMPLE_TABLES) -> DataFrame:
-    """The largest comparable tables, those worth hashing (schema_name, table_name, row_estimate, comparable)."""
-    return (
-        estimates.where("comparable")
-        .orderBy(F.desc("row_estimate"), F.concat_ws(".", "schema_name", "table_name"))
-        .limit(limit)
-    )
+    parts = [F.count(F.lit(1)), F.sum(part(1).cast("decimal(38,0)")), F.bit_xor(part(17))]
+    return hashed.groupBy(*by).agg(F.concat_ws("-", *[p.cast("string") for p in parts]).alias("digest"))
 
 
-def reconcile_sample_hash(origin: DataFrame, copy: DataFrame, by: Sequence[str], columns: Sequence[str], sample: int = SAMPLE_HASHES) -> DataFrame:
-    """Groups (tables) of origin and copy whose sample hashes differ or are missing on one side."""
+def reconcile_rows(origin: DataFrame, copy: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Groups (tables) of origin and copy whose digests differ or are missing on one side; all rows count."""
     by = list(by)
-    left = sample_hash(origin, by, columns, sample).select(*by, F.col("sample_hash").alias("origin_hash"))
-    right = sample_hash(copy, by, columns, sample).select(*by, F.col("sample_hash").alias("copy_hash"))
+    left = group_digest(origin, by, columns).select(*by, F.col("digest").alias("origin_hash"))
+    right = group_digest(copy, by, columns).select(*by, F.col("digest").alias("copy_hash"))
     both = left.join(right, by, "full")
     same = F.col("origin_hash").eqNullSafe(F.col("copy_hash"))
     return both.select(

@@ -12,7 +12,6 @@ from plumbline.functions.keys import changed, micros_between
 HYPERTABLE = ["environment_id", "run_id", "database_name", "schema_name", "hypertable_name"]
 DEFAULT_RATIO = 5.0
 BYTES_PER_GB = 1_000_000_000.0
-MAX_SCENARIOS = 5
 DAY_MICROS = 86_400_000_000
 #: Age bands of chunks and their upper limit in days.
 AGE_BANDS = (("0-7d", 7), ("7-30d", 30), ("30-90d", 90), ("90-365d", 365))
@@ -57,7 +56,7 @@ def age_buckets(chunks: DataFrame, now: Column) -> DataFrame:
 
 
 def _cases(scenarios: Sequence[Scenario]) -> Column:
-    """The scenarios, five at most, as a literal array; they ride along with each row and nothing is joined."""
+    """The scenarios as a literal array; they ride along with each row and nothing is joined."""
     return F.array(
         *[
             F.struct(
@@ -65,7 +64,7 @@ def _cases(scenarios: Sequence[Scenario]) -> Column:
                 F.lit(s.retention_days).alias("retention_days"),
                 F.lit(s.compress_after_days).alias("compress_after_days"),
             )
-            for s in scenarios[:MAX_SCENARIOS]
+            for s in scenarios
         ]
     )
 

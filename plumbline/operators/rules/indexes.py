@@ -21,7 +21,23 @@ from plumbline.operators.rules.base import (
 
 FAMILY = Family()
 #: Words that are never a candidate column.
-STATEMENT_WORDS = "select from where and or order by group limit join on as inner left right".split()
+STATEMENT_WORDS = (
+    "select",
+    "from",
+    "where",
+    "and",
+    "or",
+    "order",
+    "by",
+    "group",
+    "limit",
+    "join",
+    "on",
+    "as",
+    "inner",
+    "left",
+    "right",
+)
 SLOW_MEAN_MS = 500
 SLOW_MIN_CALLS = 10
 

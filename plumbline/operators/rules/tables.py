@@ -21,7 +21,6 @@ from plumbline.operators.rules.base import (
 
 FAMILY = Family()
 DAY_MICROS = 86_400_000_000
-VACUUM_TABLES = 2000
 
 
 def _days(count) -> Column:
@@ -247,10 +246,8 @@ def top_consumer(b: Bundle, s: Settings) -> DataFrame:
 
 
 def vacuum_scope(tables: DataFrame) -> DataFrame:
-    """Tables looked at for dead tuples: the 2000 with most of them in a run, internal chunks left out."""
-    order = W.partitionBy(*RUN).orderBy(F.desc("n_dead_tup"), "database_name", "schema_name", "table_name")
-    own = tables.where(F.col("schema_name") != "_timescaledb_internal")
-    return own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= VACUUM_TABLES).drop("rank")
+    """Tables looked at for dead tuples: all but internal chunks."""
+    return tables.where(F.col("schema_name") != "_timescaledb_internal")
 
 
 @FAMILY.rows(

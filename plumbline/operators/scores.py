@@ -326,8 +326,8 @@ def search(text: str, findings: DataFrame, runs: DataFrame, objects: Mapping[str
             F.lit("").alias("object_kind"),
             "environment_id",
             F.col("finding_id").alias("id"),
-            F.substring("title", 1, 256).alias("title"),
-            F.concat_ws(" · ", F.col("rule_id"), F.nullif(F.substring(shown, 1, 384), F.lit(""))).alias("subtitle"),
+            "title",
+            F.concat_ws(" · ", F.col("rule_id"), F.nullif(shown, F.lit(""))).alias("subtitle"),
         )
     )
     by_run = (
@@ -425,10 +425,11 @@ def latest_column_stats(stats: DataFrame, runs: DataFrame) -> DataFrame:
     return stats.join(newest, [*table, "run_id"])
 
 
-def table_workload(queries: DataFrame, tables: DataFrame, n: int = 200) -> DataFrame:
-    """Up to ``n`` statements per table that reference it, the most expensive first."""
+def table_workload(queries: DataFrame, tables: DataFrame, n: int | None = None) -> DataFrame:
+    """The statements that reference each table, ranked by their cost; the first ``n`` of each if wanted."""
     spread = queries.select(*RUN, "database_name", "fingerprint", "calls", "total_exec_ms", F.explode("referenced_objects").alias("object"))
     named = tables.select(*TABLE, F.concat_ws(".", "schema_name", "table_name").alias("object"))
     order = W.partitionBy(*TABLE).orderBy(F.desc("total_exec_ms"), "fingerprint")
     joined = spread.join(named, [*RUN, "database_name", "object"])
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("object")
+    ranked = joined.withColumn("rank", F.row_number().over(order)).drop("object")
+    return ranked if n is None else ranked.where(F.col("rank") <= n)

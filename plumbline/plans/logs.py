@@ -32,7 +32,7 @@ def analyze_events(
     thresholds: Thresholds = Thresholds(),
     since: str | None = None,
     until: str | None = None,
-    capped: bool = False,
+    max_templates: int | None = None,
     fail_on: str = "high",
 ) -> LogAnalysis:
     """Window counts, anomalies and summary of log events (source, ts, level, message).
@@ -42,8 +42,8 @@ def analyze_events(
     of ``read_stats`` by source.
     """
     templates = template_events(events)
-    if capped:
-        templates = cap_templates(templates)
+    if max_templates:
+        templates = cap_templates(templates, max_templates)
     counts = cut_lineage(window_counts(templates, thresholds.window))
     roles = split_windows(counts, thresholds.baseline_windows, since, until)
     anomalies = detect_anomalies(counts, roles, thresholds)

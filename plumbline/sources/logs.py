@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MAX_LINE_BYTES = 64 * 1024
-
 _DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
 _CLOCK = r"([0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?)"
 _ISO = rf"^{_DATE}T{_CLOCK}(Z|[+-][0-9]{{2}}:[0-9]{{2}})$"
@@ -70,16 +68,17 @@ def level_bucket(severity: Column) -> Column:
 
 
 def parse_lines(
-    lines: DataFrame, time_field: str = "timestamp", level_field: str = "error_severity", message_field: str = "message", role_field: str | None = "user"
+    lines: DataFrame, time_field: str = "timestamp", level_field: str = "error_severity", message_field: str = "message", role_field: str | None = "user",
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per line: status, ts, level, message and role_name.
 
-    ``status`` is oversized, blank, invalid (no JSON object, or no readable
-    time) or parsed.  The default fields are those of the PostgreSQL JSON log.
+    ``status`` is blank, invalid (no JSON object, or no readable time), parsed
+    or, with ``max_bytes``, oversized.  The default fields are those of the PostgreSQL JSON log.
     """
     text = F.trim(F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", ""))
     fields = F.from_json(text, "map<string,string>")
-    raw = lines.withColumn("oversized", F.octet_length("value") > MAX_LINE_BYTES).withColumn(
+    raw = lines.withColumn("oversized", F.octet_length("value") > max_bytes if max_bytes else F.lit(False)).withColumn(
         "fields", F.when(~F.col("oversized") & (text != ""), fields)
     )
     ts = parse_time_any(F.col("fields")[time_field])

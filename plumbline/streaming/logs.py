@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from plumbline.operators.logs import (
     Thresholds,
     connection_roles,
     detect_anomalies,
     merge_last_login,
-    split_windows,
     template_events,
 )
 from plumbline.sources.staging import cut_lineage
@@ -41,13 +40,56 @@ def stream_last_login(events: DataFrame) -> DataFrame:
     return connection_roles(events).groupBy("role").agg(F.max("ts").alias("last_login_at"))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped by the watermark in all reported batches."""
-    return sum(
-        int(state["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that the watermark dropped, over all batches of the queries it hears of.
+
+    Register it with ``spark.streams.addListener`` before the query starts; it keeps one number, not the progress.
+    """
+
+    def __init__(self) -> None:
+        self.total = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.total += sum(int(state.numRowsDroppedByWatermark) for state in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def judge_windows(history: DataFrame, fresh: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Anomalies of every fresh window, each judged as the batch operator judges a newest window.
+
+    Window counts of a source are numbered in time; a fresh window takes the
+    ``baseline_windows`` before it, stored or fresh, under a name of its own, so
+    all are judged in one pass.  Of the history only the last windows before the
+    batch are read.  A window that is in both counts as fresh.
+    """
+    k = thresholds.baseline_windows
+    new = fresh.select("source", "window_start").distinct()
+    first = new.groupBy(F.col("source").alias("fresh_source")).agg(F.min("window_start").alias("first_start"))
+    stored = history.join(first, F.col("source") == F.col("fresh_source"))
+    stored = stored.where(F.col("window_start") < F.col("first_start")).select(*fresh.columns)
+    newest = W.partitionBy("source").orderBy(F.desc("window_start"))
+    kept = stored.select("source", "window_start").distinct().withColumn("place", F.row_number().over(newest)).where(F.col("place") <= k)
+    windows = kept.select("source", "window_start", F.lit(False).alias("fresh")).unionByName(new.withColumn("fresh", F.lit(True)))
+    numbered = windows.withColumn("number", F.row_number().over(W.partitionBy("source").orderBy("window_start")))
+    name = F.concat_ws("\u001f", F.col("window_start").cast("string"), F.col("source"))
+    sets = numbered.where("fresh").select(
+        "source", name.alias("judged"), F.col("number").alias("own"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("number") - k), F.col("number"))).alias("number")
     )
+    role = F.when(F.col("number") == F.col("own"), "analysis").otherwise("baseline").alias("role")
+    member = cut_lineage(sets.join(numbered.select("source", "number", "window_start"), ["source", "number"]).select("source", "window_start", "judged", role))
+    renamed = [c for c in fresh.columns if c != "source"]
+    counts = stored.unionByName(fresh).join(member.drop("role"), ["source", "window_start"]).select(F.col("judged").alias("source"), *renamed)
+    roles = member.select(F.col("judged").alias("source"), "window_start", "role")
+    found = detect_anomalies(counts, roles, thresholds)
+    return found.withColumn("source", F.expr("substring(source, instr(source, '\u001f') + 1)"))
 
 
 def start_anomaly_stream(
@@ -58,10 +100,9 @@ def start_anomaly_stream(
     checkpoint: str,
     thresholds: Thresholds = Thresholds(),
 ) -> StreamingQuery:
-    """Judge every batch of closed windows against the stored windows before it.
+    """Judge every closed window of a batch against the windows before it.
 
-    The batch and the windows it is judged with are staged, because each is read
-    several times.
+    The batch is staged, because it is read several times.
 
     ``append_counts`` and ``write_anomalies`` get the batch id, so a batch that
     is repeated after a lost executor can replace what it wrote before.
@@ -69,12 +110,7 @@ def start_anomaly_stream(
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         fresh = cut_lineage(batch)
-        first = fresh.groupBy(F.col("source").alias("fresh_source")).agg(F.min("window_start").alias("first_start"))
-        history = read_history()
-        before = history.join(first, F.col("source") == F.col("fresh_source")).where(F.col("window_start") < F.col("first_start"))
-        both = cut_lineage(before.select(*fresh.columns).unionByName(fresh))
-        roles = split_windows(both, thresholds.baseline_windows)
-        write_anomalies(detect_anomalies(both, roles, thresholds), batch_id)
+        write_anomalies(judge_windows(read_history(), fresh, thresholds), batch_id)
         append_counts(fresh, batch_id)
 
     return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(judge).start()

@@ -48,7 +48,7 @@ def test_sql_normalisation(spark):
 def test_lines_are_counted(spark):
     good = '{"timestamp":"2024-01-01 00:00:01.500 -03","error_severity":"FATAL","message":"m","user":" ana "}'
     lines = [good, "[1]", "{", " ", "x" * 65_537, '{"timestamp":"soon","message":"m"}']
-    parsed = source.parse_lines(spark.createDataFrame([(v,) for v in lines], "value string"))
+    parsed = source.parse_lines(spark.createDataFrame([(v,) for v in lines], "value string"), max_bytes=65_536)
     stats = source.read_stats(parsed).first()
     assert (stats["lines_read"], stats["lines_parsed"], stats["lines_invalid"], stats["lines_oversized"]) == (6, 1, 3, 1)
     event = source.log_events(parsed).first()
@@ -142,3 +142,20 @@ def test_anomaly_stream_judges_against_history(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert ("strong_spike", 100) in found and len(stored) == 1
+
+
+def test_every_closed_window_is_judged(spark):
+    """A batch that closes five windows per source gives what the batch operator says of each of them in turn."""
+    plan = {w: {("steady", "info"): 10, ("often", "info"): 5} for w in range(10)}
+    plan |= {10: {("steady", "info"): 100}, 11: {("steady", "info"): 100, ("fresh", "error"): 15}, 12: {("steady", "info"): 10}, 13: {("fresh", "error"): 60}, 14: {("steady", "info"): 10}}
+    counts = logs.window_counts(logs.template_events(events(spark, plan))).cache()
+    starts = sorted(r["window_start"] for r in counts.select("window_start").distinct().collect())
+    history, fresh = counts.where(F.col("window_start") < F.lit(starts[10])), counts.where(F.col("window_start") >= F.lit(starts[10]))
+    thresholds = logs.Thresholds(baseline_windows=8)
+    judged = {tuple(r) for r in stream.judge_windows(history, fresh, thresholds).collect()}
+    want = set()
+    for i in range(10, 15):
+        seen = counts.where(F.col("window_start").between(F.lit(starts[i - 8]), F.lit(starts[i])))
+        want |= {tuple(r) for r in logs.detect_anomalies(seen, logs.split_windows(seen, 8), thresholds).collect()}
+    assert judged == want
+    assert {r["window_start"] for r in stream.judge_windows(history, fresh, thresholds).collect()} >= {starts[10], starts[11], starts[13]}

@@ -102,24 +102,39 @@ def test_count_tolerance(spark):
     assert not frame.where(reconcile.count_diverges(F.col("e"), F.col("a")) != F.col("want")).collect()
 
 
-def test_sample_hash_matches_brute_force(spark):
+def test_group_digest_matches_brute_force(spark):
     import hashlib
 
     rows = [("hot" if i % 3 else "cold", i) for i in range(500)]
     frame = spark.createDataFrame(rows, "g string, v int")
-    got = {r["g"]: r["sample_hash"] for r in reconcile.sample_hash(frame, ["g"], ["v"], sample=40).collect()}
+    got = {r["g"]: r["digest"] for r in reconcile.group_digest(frame, ["g"], ["v"]).collect()}
     for group in ("hot", "cold"):
-        hashes = sorted(hashlib.md5(str(v).encode()).hexdigest() for g, v in rows if g == group)[:40]
-        assert got[group] == hashlib.md5("".join(hashes).encode()).hexdigest()
+        hashes = [hashlib.md5(str(v).encode()).hexdigest() for g, v in rows if g == group]
+        folded = 0
+        for h in hashes:
+            folded ^= int(h[16:31], 16)
+        assert got[group] == f"{len(hashes)}-{sum(int(h[:15], 16) for h in hashes)}-{folded}"
 
 
-def test_role_cycles_end_and_deep_graphs_are_refused(spark):
+def test_any_changed_row_diverges(spark):
+    rows = [("hot", i) for i in range(3000)]
+    origin = spark.createDataFrame(rows, "g string, v int")
+    same = {r["status"] for r in reconcile.reconcile_rows(origin, origin.orderBy(F.desc("v")), ["g"], ["v"]).collect()}
+    assert same == {"ok"}
+    for changed in ([*rows[:-1], ("hot", -1)], rows[:-1], [*rows, rows[0]]):
+        copy = spark.createDataFrame(changed, "g string, v int")
+        assert {r["status"] for r in reconcile.reconcile_rows(origin, copy, ["g"], ["v"]).collect()} == {"diverged"}
+
+
+def test_role_cycles_end(spark):
     edges = spark.createDataFrame([("u", "a"), ("a", "b"), ("b", "a"), ("b", "c")], "member string, granted string")
     logins = spark.createDataFrame([("u",)], "login string")
     got = {(r["granted"], r["depth"]) for r in access.membership_reach(edges, logins).collect()}
     assert got == {("a", 1), ("b", 2), ("c", 3)}
-    with pytest.raises(ValueError):
-        access.membership_reach(edges, logins, max_depth=2)
+    chain = spark.createDataFrame([(f"r{i}", f"r{i + 1}") for i in range(20)], "member string, granted string")
+    start = spark.createDataFrame([("r0",)], "login string")
+    assert access.membership_reach(chain, start).count() == 20
+    assert access.membership_reach(chain, start, max_depth=3).count() == 3
 
 
 def test_integer_ranges_are_never_dropped_and_ratio_defaults(spark):
