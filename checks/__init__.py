@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("contracts", "rules", "logs", "personal", "workload", "diffs", "findings", "scores", "money", "access")
+MODULES = ("contracts", "facts", "rules", "logs", "personal", "workload", "diffs", "findings", "scores", "money", "access")
 
 
 def registries():

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.operators import facts
 from plumbline.operators.rules.environments import last_drills
 from plumbline.operators.rules.indexes import with_index_columns
 from plumbline.operators.rules.tables import vacuum_scope
@@ -41,6 +42,23 @@ class DerivedBundle(Mapping):
     def __len__(self) -> int:
         return len(SIMPLE) + len(BUILT)
 
+    def _tables(self):
+        return facts.activity_facts(self.view("s_table"))
+
+    def _hypertables(self):
+        known = facts.chunk_facts(self.view("s_hypertable"), self["chunks"], F.lit(NOW))
+        workload = self.view("s_ht_query").withColumn("referenced_objects", words("object_list"))
+        return facts.outside_reads(known, self.view("s_dimension"), workload)
+
+    def _policies(self):
+        return facts.policy_ratios(self.view("s_policy"), self["chunks"])
+
+    def _caggs(self):
+        return facts.refresh_windows(self.view("s_cagg"), self.view("s_refresh_policy"))
+
+    def _servers(self):
+        return facts.truncated_runs(self.view("s_server"), self.view("s_coverage"))
+
     def _vacuum(self):
         return vacuum_scope(self["tables"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import Registry
 from checks.bundle import NOW, DerivedBundle
+from checks.facts import with_facts
 from plumbline.operators import findings as fnd
 from plumbline.operators.rules import indexes as index_rules, tables as table_rules
 from plumbline.operators.rules.base import DEFAULTS, Settings
@@ -56,7 +57,7 @@ substr(sha256({rule} || '|' || ({dedup_key or key}) || '|' || ({dedup or title})
 
 
 def rule(rule_id, views, frm, when="true", severity="low", **options):
-    sql = f"{derive.ctes(*views.split())} " + finding_sql(rule_id, frm, when, severity, **options)
+    sql = f"{with_facts(views)} " + finding_sql(rule_id, frm, when, severity, **options)
     add(rule_id, sql)
 
 
@@ -82,12 +83,12 @@ rule("model.undocumented_critical", "s_table", "s_table", "comment = '' AND (tot
 rule("maintenance.stale_analyze", "s_table", "s_table", "collected_at - last_analyze > INTERVAL 30 DAY AND row_estimate >= 10000",
      evidence={"row_estimate": "row_estimate", "threshold_days": "30"})
 VACUUM = "(SELECT *, row_number() OVER (PARTITION BY environment_id, run_id ORDER BY n_dead_tup DESC, database_name, schema_name, table_name) AS rn FROM s_table WHERE schema_name <> '_timescaledb_internal')"
-rule("maintenance.dead_tuple_pressure", "s_table", VACUUM, "rn <= 2000 AND n_dead_tup >= 10000 AND n_live_tup > 0 AND n_dead_tup / n_live_tup >= 0.2",
+rule("maintenance.dead_tuple_pressure", "s_table", VACUUM, "n_dead_tup >= 10000 AND n_live_tup > 0 AND n_dead_tup / n_live_tup >= 0.2",
      evidence={"n_dead_tup": "n_dead_tup", "n_live_tup": "n_live_tup", "estimate_only": "true"})
-rule("vacuum.high_dead_tuples", "s_table", VACUUM, "rn <= 2000 AND n_live_tup + n_dead_tup >= 1000 AND n_live_tup > 0 AND n_dead_tup / (n_live_tup + n_dead_tup) >= 0.2",
+rule("vacuum.high_dead_tuples", "s_table", VACUUM, "n_live_tup + n_dead_tup >= 1000 AND n_live_tup > 0 AND n_dead_tup / (n_live_tup + n_dead_tup) >= 0.2",
      "CASE WHEN n_dead_tup / (n_live_tup + n_dead_tup) >= 0.4 THEN 'medium' ELSE 'low' END", title=f"'High dead-tuple ratio: ' || {TABLE_KEY}",
      evidence={"n_live_tup": "n_live_tup", "n_dead_tup": "n_dead_tup", "dead_ratio": "round(n_dead_tup / (n_live_tup + n_dead_tup), 4)", "threshold": "CAST(0.2 AS DOUBLE)"})
-rule("inactivity.possibly_inactive", "s_table", "s_table", "days_since_dml >= 90", title=f"'Possibly inactive table: ' || {TABLE_KEY}",
+rule("inactivity.possibly_inactive", "x_table", "x_table", "days_since_dml >= 90", title=f"'Possibly inactive table: ' || {TABLE_KEY}",
      evidence={"days_since_dml": "days_since_dml", "threshold_days": "90", "n_live_tup": "n_live_tup", "n_tup_ins": "n_tup_ins", "n_tup_upd": "n_tup_upd", "n_tup_del": "n_tup_del", "classification": "'POSSIBLY_INACTIVE'"})
 rule("security.rls_disabled_hypothesis", "s_table", "s_table", "NOT rls_enabled AND NOT is_partition AND schema_name NOT LIKE 'pg\\_%' ESCAPE '\\'",
      title=f"'RLS disabled hypothesis: ' || {TABLE_KEY}", confidence="0.4")
@@ -244,7 +245,7 @@ def no_policy(*kinds: str) -> str:
 rule("chunk.high_count", "s_hypertable", "s_hypertable", "num_chunks >= 500", "medium", title=f"'High chunk count: ' || {HYPERTABLE_KEY}", evidence={"num_chunks": "num_chunks", "threshold": "500", "size_bytes": "total_size_bytes"}, **HYPER)
 rule("chunk.size_skew", "f_chunk", "(SELECT environment_id, run_id, database_name, schema_name, hypertable_name, count(*) AS n, max(total_size_bytes) AS mx, sum(total_size_bytes) / count(*) AS mean FROM f_chunk GROUP BY ALL)", "n >= 3 AND mx / mean >= 5",
      title=f"'Abnormal chunk size distribution: ' || {HYPERTABLE_KEY}", evidence={"chunk_count": "n", "max_bytes": "mx", "mean_bytes": "CAST(round(mean) AS BIGINT)", "ratio": "CAST(round(mx / mean, 1) AS DOUBLE)"}, **HYPER)
-rule("chunk.inventory_truncated", "s_server", "s_server", "coverage_warning LIKE '%truncated%'", "medium", kind="environment", key="environment_id", title="'Chunk inventory truncated'", database="''", schema="''", name="''")
+rule("chunk.inventory_truncated", "x_server", "x_server", "chunks_truncated", "medium", kind="environment", key="environment_id", title="'Chunk inventory truncated'", database="''", schema="''", name="''")
 CAGG = dict(kind="continuous_aggregate", key="database_name || '.' || schema_name || '.' || view_name", name="view_name")
 rule("cagg.missing_refresh_policy", "s_cagg", "s_cagg", "NOT has_refresh_policy", "high", title=f"'CAGG without refresh policy: ' || {CAGG['key']}", evidence={"materialization": "materialization_schema || '.' || materialization_hypertable", "materialized_only": "materialized_only"}, **CAGG)
 rule("cagg.materialization_lag", "s_cagg", "s_cagg", f"has_refresh_policy AND {seconds('lag')} > 3600", "high", title=f"'CAGG materialization lag: ' || {CAGG['key']}", evidence={"lag": "lag"}, **CAGG)
@@ -268,23 +269,23 @@ rule("policy.missing_compression", "s_hypertable s_policy", no_policy("compressi
 RET_KEEP, RET_CHUNK = seconds("(config->>'drop_after')"), seconds("chunk_interval")
 rule("policy.retention_chunk_mismatch", "s_hypertable s_policy", f"(SELECT p.*, h.chunk_interval FROM s_policy p JOIN s_hypertable h {JOIN_HYPER} WHERE policy_type = 'retention')", f"{RET_KEEP} < {RET_CHUNK} OR {RET_KEEP} % {RET_CHUNK} <> 0", "high",
      title=f"CASE WHEN {RET_KEEP} < {RET_CHUNK} THEN 'Retention does not cover a closed chunk: ' ELSE 'Retention drops later than the chunk boundary: ' END || {HYPERTABLE_KEY}", evidence={"retention": "config->>'drop_after'", "chunk_interval": "chunk_interval"}, **HYPER)
-rule("policy.reorder_hypothesis", "s_hypertable s_policy", no_policy("reorder"), "reads_outside_time", title=f"'Reorder policy hypothesis: ' || {HYPERTABLE_KEY}", **HYPER)
-rule("policy.compression_not_applied", "s_hypertable s_policy", f"(SELECT h.*, policy_type FROM s_hypertable h JOIN (SELECT * FROM s_policy WHERE policy_type = 'compression') p {JOIN_HYPER})", "uncompressed_closed_chunks >= 1", "medium",
+rule("policy.reorder_hypothesis", "x_hypertable s_policy", no_policy("reorder").replace("s_hypertable", "x_hypertable"), "reads_outside_time", title=f"'Reorder policy hypothesis: ' || {HYPERTABLE_KEY}", **HYPER)
+rule("policy.compression_not_applied", "x_hypertable s_policy", f"(SELECT h.*, policy_type FROM x_hypertable h JOIN (SELECT * FROM s_policy WHERE policy_type = 'compression') p {JOIN_HYPER})", "uncompressed_closed_chunks >= 1", "medium",
      title=f"'Compression policy is not compressing closed chunks: ' || {HYPERTABLE_KEY}", evidence={"uncompressed_closed_chunks": "uncompressed_closed_chunks", "policy_type": "policy_type", "size_bytes": "total_size_bytes"}, **HYPER)
-rule("policy.compression_ratio", "s_policy", "s_policy", "policy_type = 'compression' AND compression_ratio > 0 AND compression_ratio < 1.2", title=f"'Poor compression ratio: ' || {HYPERTABLE_KEY}", evidence={"ratio": "round(compression_ratio, 4)", "before_after": "true", "policy_type": "policy_type"}, **HYPER)
+rule("policy.compression_ratio", "x_policy", "x_policy", "policy_type = 'compression' AND compression_ratio > 0 AND compression_ratio < 1.2", title=f"'Poor compression ratio: ' || {HYPERTABLE_KEY}", evidence={"ratio": "round(compression_ratio, 4)", "before_after": "true", "policy_type": "policy_type"}, **HYPER)
 rule("policy.compression_settings", "s_policy", "s_policy", "policy_type = 'compression' AND config NOT LIKE '%segmentby%'", title=f"'Compression segmentby/orderby hypothesis: ' || {HYPERTABLE_KEY}", evidence={"policy_type": "policy_type", "segmentby": "''", "orderby": "''"}, **HYPER)
 rule("timescale.chunk_dead_tuples", "f_chunk", "f_chunk", "dead_tuples >= 10000 OR (live_tuples > 0 AND dead_tuples / live_tuples > 0.2)", "medium", kind="chunk", key="database_name || '.' || schema_name || '.' || chunk_name", name="chunk_name",
      title="'Chunk has local dead-tuple pressure: ' || database_name || '.' || schema_name || '.' || chunk_name", evidence={"hypertable": "hypertable_name", "dead_tuples": "dead_tuples", "live_tuples": "live_tuples"})
-rule("timescale.retention_missing", "s_hypertable s_policy", no_policy("retention"), "total_size_bytes >= 10737418240 AND oldest_chunk_days >= 365", title=f"'Retenção ausente em hypertable grande: ' || {HYPERTABLE_KEY}",
+rule("timescale.retention_missing", "x_hypertable s_policy", no_policy("retention").replace("s_hypertable", "x_hypertable"), "total_size_bytes >= 10737418240 AND oldest_chunk_days >= 365", title=f"'Retenção ausente em hypertable grande: ' || {HYPERTABLE_KEY}",
      evidence={"size_bytes": "total_size_bytes", "chunks_older_than_days": "oldest_chunk_days", "threshold_bytes": "10737418240"}, **HYPER)
-rule("timescale.compression_missing", "s_hypertable s_policy", f"(SELECT h.*, coalesce(p.has, false) AS has FROM s_hypertable h LEFT JOIN (SELECT DISTINCT environment_id, run_id, database_name, schema_name, hypertable_name, true AS has FROM s_policy WHERE policy_type = 'compression') p {JOIN_HYPER})",
+rule("timescale.compression_missing", "x_hypertable s_policy", f"(SELECT h.*, coalesce(p.has, false) AS has FROM x_hypertable h LEFT JOIN (SELECT DISTINCT environment_id, run_id, database_name, schema_name, hypertable_name, true AS has FROM s_policy WHERE policy_type = 'compression') p {JOIN_HYPER})",
      "total_size_bytes >= 5368709120 AND (NOT has OR NOT compression_enabled) AND uncompressed_old_bytes / total_size_bytes >= 0.5", "medium", title=f"'Compressão ausente em hypertable grande: ' || {HYPERTABLE_KEY}",
      evidence={"size_bytes": "total_size_bytes", "uncompressed_old_bytes": "uncompressed_old_bytes", "uncompressed_old_share": "round(uncompressed_old_bytes / total_size_bytes, 3)", "compression_enabled": "compression_enabled", "has_compression_policy": "has"}, **HYPER)
-rule("timescale.compression_ratio_low", "s_hypertable", "s_hypertable", "compressed_chunk_count >= 5 AND observed_ratio > 0 AND observed_ratio < 2", title=f"'Taxa de compressão baixa: ' || {HYPERTABLE_KEY}",
+rule("timescale.compression_ratio_low", "x_hypertable", "x_hypertable", "compressed_chunk_count >= 5 AND observed_ratio > 0 AND observed_ratio < 2", title=f"'Taxa de compressão baixa: ' || {HYPERTABLE_KEY}",
      evidence={"observed_ratio": "observed_ratio", "compressed_chunk_count": "compressed_chunk_count", "threshold": "CAST(2 AS DOUBLE)"}, **HYPER)
-rule("timescale.retention_cagg_conflict", "s_hypertable s_policy s_cagg",
+rule("timescale.retention_cagg_conflict", "s_hypertable s_policy x_cagg",
      f"""(SELECT h.*, CAST({RET_KEEP} / 86400 AS INTEGER) AS days, c.schema_name || '.' || c.view_name AS cagg, c.view_name, CASE WHEN refresh_window_days = 0 THEN CAST(floor({seconds('lag')} / 86400) AS INTEGER) ELSE refresh_window_days END AS win
- FROM s_hypertable h JOIN s_policy p {JOIN_HYPER} JOIN s_cagg c ON c.environment_id = h.environment_id AND c.run_id = h.run_id AND c.database_name = h.database_name AND c.source_schema = h.schema_name AND c.source_name = h.hypertable_name WHERE policy_type = 'retention' AND has_refresh_policy)""",
+ FROM s_hypertable h JOIN s_policy p {JOIN_HYPER} JOIN x_cagg c ON c.environment_id = h.environment_id AND c.run_id = h.run_id AND c.database_name = h.database_name AND c.source_schema = h.schema_name AND c.source_name = h.hypertable_name WHERE policy_type = 'retention' AND has_refresh_policy)""",
      "win > 0 AND days < win", "high", title="'Retenção conflita com CAGG ' || cagg", evidence={"retention_days": "days", "cagg": "cagg", "refresh_window_days": "win"}, dedup_key=f"{HYPERTABLE_KEY} || ':' || view_name", **HYPER)
 
 # --- security -------------------------------------------------------------------------------------

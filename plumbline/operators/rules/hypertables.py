@@ -117,7 +117,7 @@ def coverage_rules(s: Settings) -> list[RowRule]:
         RowRule(
             "chunk.inventory_truncated",
             "servers",
-            F.col("coverage_warning").contains("truncated"),
+            F.col("chunks_truncated"),
             "medium",
             "environment",
             F.col("environment_id"),

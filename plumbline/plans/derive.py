@@ -152,7 +152,7 @@ SELECT 'target', CASE WHEN p_partkey % 4 = 0 THEN 'view' ELSE 'table' END, conca
 FROM part WHERE p_partkey % 7 <> 0""",
     "f_chunk": """
 SELECT environment_id, run_id, database_name, schema_name, hypertable_name, chunk_name, range_start, range_end, is_compressed,
-       total_size_bytes, CASE WHEN is_compressed THEN total_size_bytes * 4 ELSE 0 END AS before_bytes,
+       total_size_bytes, CAST(CASE WHEN is_compressed THEN total_size_bytes / 10 * (11 + 15 * (slot % 3)) ELSE 0 END AS BIGINT) AS before_bytes,
        CASE WHEN is_compressed THEN total_size_bytes ELSE 0 END AS after_bytes,
        n_rows * 10 AS live_tuples, dead AS dead_tuples, seq_scan, n_write
 FROM (SELECT concat('env', CAST(l_suppkey % 2 AS STRING)) AS environment_id, 'run2001' AS run_id,
@@ -165,7 +165,7 @@ FROM (SELECT concat('env', CAST(l_suppkey % 2 AS STRING)) AS environment_id, 'ru
              CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) * CASE WHEN month(min(l_shipdate)) = 7 THEN 4000 ELSE 100 END AS BIGINT) AS total_size_bytes,
              count(*) AS n_rows, count(*) * (l_suppkey % 10) AS dead,
              CAST(sum(CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END) AS BIGINT) AS seq_scan,
-             CAST(sum(CASE WHEN l_quantity > 48 THEN 1 ELSE 0 END) AS BIGINT) AS n_write
+             CAST(sum(CASE WHEN l_quantity > 48 THEN 1 ELSE 0 END) AS BIGINT) AS n_write, l_suppkey % 10 AS slot
       FROM lineitem
       GROUP BY l_suppkey % 2, l_suppkey % 3, l_suppkey % 10, l_returnflag, l_linestatus, year(l_shipdate) * 100 + month(l_shipdate),
                concat('env', CAST(l_suppkey % 2 AS STRING)), concat('db', CAST(l_suppkey % 3 AS STRING)),
@@ -200,14 +200,14 @@ SELECT {_OBJECT},
        o_orderkey % 5 <> 0 AS has_primary_key, o_orderkey % 7 = 0 AS is_partition,
        CASE WHEN o_orderkey % 13 = 0 THEN 'foreign_table' ELSE 'table' END AS relation_class,
        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS comment,
-       {_PRICE} AS n_tup_ins, {_PRICE} % 1000 AS n_tup_upd, {_PRICE} % 300 AS n_tup_del,
+       CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE {_PRICE} END AS n_tup_ins, CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE {_PRICE} % 1000 END AS n_tup_upd,
+       CASE WHEN o_custkey % 7 = 0 THEN 0 ELSE {_PRICE} % 300 END AS n_tup_del,
        {_PRICE} AS n_live_tup,
        {_PRICE} * (o_orderkey % 8) AS n_dead_tup,
        CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END AS last_analyze,
-       CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate - INTERVAL '40' DAY END AS stats_reset,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_custkey % 14 = 0 THEN o_orderdate - INTERVAL '60' DAY ELSE o_orderdate - INTERVAL '40' DAY END AS stats_reset,
        CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL '45' DAY ELSE o_orderdate + INTERVAL '10' DAY END AS collected_at,
-       o_custkey % 4 = 0 AS rls_enabled,
-       CAST(o_custkey % 200 AS BIGINT) AS days_since_dml
+       o_custkey % 4 = 0 AS rls_enabled
 FROM orders""",
     "s_column": f"""
 SELECT {_OBJECT},
@@ -265,15 +265,34 @@ SELECT concat('env', CAST(user_id % 2 AS STRING)) AS environment_id, concat('run
 FROM events""",
     "s_hypertable": """
 SELECT environment_id, run_id, database_name, schema_name, hypertable_name,
-       count(*) * 40 AS num_chunks, CAST(sum(total_size_bytes) * 5 AS BIGINT) AS total_size_bytes,
+       count(*) * 40 AS num_chunks, CAST(sum(total_size_bytes) * (1 + max(live_tuples) / 10 % 2 * 4) AS BIGINT) AS total_size_bytes,
        CASE WHEN min(dead_tuples) % 2 = 0 THEN '7 days' ELSE '36 hours' END AS chunk_interval,
-       CAST(sum(CASE WHEN is_compressed THEN 0 ELSE 1 END) AS BIGINT) - 40 AS uncompressed_closed_chunks,
-       max(dead_tuples) % 3 = 0 AS reads_outside_time, max(dead_tuples) % 4 <> 0 AS compression_enabled,
-       CAST((2002 - year(min(range_end))) * 120 + min(dead_tuples) % 7 AS BIGINT) AS oldest_chunk_days,
-       CAST(sum(CASE WHEN is_compressed THEN 0 ELSE total_size_bytes END) * 5 AS BIGINT) AS uncompressed_old_bytes,
-       CAST(sum(CASE WHEN is_compressed THEN 1 ELSE 0 END) AS BIGINT) AS compressed_chunk_count,
-       CAST(CASE WHEN min(dead_tuples) % 3 = 0 THEN 1.5 ELSE 3.25 END AS DOUBLE) AS observed_ratio
+       max(dead_tuples) % 4 <> 0 AS compression_enabled
 FROM f_chunk GROUP BY environment_id, run_id, database_name, schema_name, hypertable_name""",
+    "s_dimension": """
+SELECT environment_id, run_id, database_name, schema_name, hypertable_name,
+       CASE WHEN hypertable_name LIKE '%9' THEN '' ELSE 'time_col' END AS column_name
+FROM s_hypertable""",
+    "s_ht_query": """
+SELECT concat('env', CAST(p_partkey % 2 AS STRING)) AS environment_id, 'run2001' AS run_id, concat('db', CAST(p_partkey % 3 AS STRING)) AS database_name,
+       concat('select avg(v) from ', CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE concat('HT_', CASE p_size % 4 WHEN 0 THEN 'AF' WHEN 1 THEN 'NF' WHEN 2 THEN 'NO' ELSE 'RF' END, '_', CAST(p_partkey % 10 AS STRING)) END,
+              CASE WHEN p_size % 3 = 0 OR p_partkey % 10 < 6 THEN ' where TIME_COL > ?' ELSE ' where device = ?' END) AS fingerprint_text,
+       CAST(p_size % 5 AS BIGINT) AS calls,
+       CASE WHEN p_partkey % 4 = 0 THEN concat('public.y,public.ht_AF_', CAST(p_partkey % 10 AS STRING)) ELSE '' END AS object_list
+FROM part""",
+    "s_refresh_policy": """
+SELECT concat('env', CAST(s_suppkey % 2 AS STRING)) AS environment_id, 'run2001' AS run_id, concat('db', CAST(s_suppkey % 3 AS STRING)) AS database_name,
+       CASE WHEN s_nationkey % 2 = 0 THEN 'public' ELSE '_timescaledb_internal' END AS schema_name,
+       concat(CASE WHEN s_nationkey % 2 = 0 THEN 'cagg_' ELSE '_mat_' END, CAST(s_suppkey AS STRING)) AS hypertable_name,
+       s_suppkey AS job_id, CASE WHEN s_nationkey % 7 = 0 THEN 'retention' ELSE 'refresh' END AS policy_type,
+       CASE s_nationkey % 4 WHEN 0 THEN '{"start_offset": "12 days"}' WHEN 1 THEN '{"start_offset": "2 weeks"}' WHEN 2 THEN '{}' ELSE '{"start_offset": "3 hours"}' END AS config
+FROM supplier WHERE s_suppkey % 8 <> 3""",
+    "s_coverage": """
+SELECT concat('env', CAST(s_suppkey AS STRING)) AS environment_id, concat('run', CAST(s_suppkey AS STRING)) AS run_id,
+       CASE WHEN s_suppkey % 6 = 0 THEN 'chunk list Truncated at the cap' ELSE 'slow catalog' END AS warning
+FROM supplier WHERE s_suppkey % 5 <> 0
+UNION ALL
+SELECT concat('env', CAST(s_suppkey AS STRING)), concat('run', CAST(s_suppkey AS STRING)), 'partial' FROM supplier WHERE s_suppkey % 2 = 0""",
     "s_policy": """
 SELECT environment_id, run_id, database_name, schema_name, hypertable_name, min(n) AS job_id, policy_type,
        concat('policy_', policy_type) AS proc_name,
@@ -282,8 +301,7 @@ SELECT environment_id, run_id, database_name, schema_name, hypertable_name, min(
             WHEN 'compression' THEN CASE WHEN min(n) % 3 = 0 THEN '{"compress_after": "7 days"}' ELSE '{"compress_after": "7 days", "compress_segmentby": "device"}' END
             WHEN 'refresh' THEN CASE WHEN min(n) % 3 = 0 THEN '{"start_offset": "3 days", "end_offset": "1 hour"}' ELSE '{"start_offset": "2 hours", "end_offset": "1 hour"}' END
             ELSE '' END AS config,
-       true AS scheduled, CASE WHEN min(n) % 5 = 0 THEN 'Failed' ELSE 'Success' END AS last_run_status,
-       CAST(CASE WHEN policy_type = 'compression' AND hypertable_name LIKE '%7' THEN 1.1 ELSE 0.0 END AS DOUBLE) AS compression_ratio
+       true AS scheduled, CASE WHEN min(n) % 5 = 0 THEN 'Failed' ELSE 'Success' END AS last_run_status
 FROM (SELECT environment_id, run_id, database_name, schema_name, hypertable_name, dead_tuples + live_tuples AS n,
              CASE (dead_tuples + live_tuples) % 4 WHEN 0 THEN 'retention' WHEN 1 THEN 'compression' WHEN 2 THEN 'refresh' ELSE 'reorder' END AS policy_type
       FROM f_chunk WHERE live_tuples % 3 <> 0) t
@@ -354,8 +372,7 @@ SELECT concat('env', CAST(s_suppkey AS STRING)) AS environment_id, concat('run',
        CASE WHEN s_nationkey % 3 = 0 THEN '15.8' ELSE '16.4' END AS server_version, CASE WHEN s_nationkey % 4 = 0 THEN '' WHEN s_nationkey % 4 = 1 THEN '2.17.0' ELSE '2.18.1' END AS timescale_version,
        s_suppkey % 3 <> 0 AS expects_replica, CAST(round(s_acctbal * 20000) AS BIGINT) AS replay_lag_bytes,
        CASE WHEN s_suppkey % 4 = 0 THEN TIMESTAMP '2001-01-02 00:00:00' END AS last_archived, CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2001-01-03 00:00:00' END AS last_failed_archive,
-       CAST(s_suppkey % 2 AS BIGINT) AS archive_failed_count,
-       CASE WHEN s_suppkey % 6 = 0 THEN 'chunk list truncated at the cap' ELSE '' END AS coverage_warning
+       CAST(s_suppkey % 2 AS BIGINT) AS archive_failed_count
 FROM supplier""",
     "s_extension": """
 SELECT DISTINCT concat('env', CAST(c_nationkey * 4 + c_custkey % 4 AS STRING)) AS environment_id,
