@@ -106,14 +106,15 @@ def decided(spark, folder):
 
 
 SIDES = f"""{DECIDED}, it AS (SELECT 'db0' AS database_name, i.*, decision FROM s_campaign_item i LEFT JOIN ld USING (item_id)),
- o AS (SELECT {ITEM}, max(decision) AS decision FROM it WHERE CAST(substr(item_id, 2) AS BIGINT) < 500 GROUP BY ALL), n AS (SELECT {ITEM}, min(decision) AS decision FROM it WHERE CAST(substr(item_id, 2) AS BIGINT) BETWEEN 300 AND 649 GROUP BY ALL)"""
+ o AS (SELECT {ITEM}, max(decision) AS decision FROM it GROUP BY ALL), n AS (SELECT {ITEM}, min(decision) AS decision FROM (SELECT * REPLACE (CASE WHEN CAST(substr(item_id, 2) AS BIGINT) % 5 = 0 THEN account_name || '_new' ELSE account_name END AS account_name) FROM it) GROUP BY ALL)"""
 
 
 def sides(spark, folder):
     number = F.expr("CAST(substring(item_id, 2) AS BIGINT)")
     found = decided(spark, folder)
-    old = found.where(number < 500).groupBy(*ac.ITEM).agg(F.max("decision").alias("decision"))
-    return old, found.where(number.between(300, 649)).groupBy(*ac.ITEM).agg(F.min("decision").alias("decision"))
+    old = found.groupBy(*ac.ITEM).agg(F.max("decision").alias("decision"))
+    renamed = F.when(number % 5 == 0, F.concat("account_name", F.lit("_new"))).otherwise(F.col("account_name"))
+    return old, found.withColumn("account_name", renamed).groupBy(*ac.ITEM).agg(F.min("decision").alias("decision"))
 
 
 @REGISTRY.add(

@@ -41,8 +41,14 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
+def customers(spark: SparkSession, folder: str) -> DataFrame:
+    """All customers, those of one nation under another key, so that their orders are orphans."""
+    key = F.when(F.col("c_nationkey") == 4, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    return table(spark, folder, "customer").withColumn("c_custkey", key)
+
+
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    references = {"sales.customer": table(spark, folder, "customer").where("c_nationkey <> 4")}
+    references = {"sales.customer": customers(spark, folder)}
     return c.run_contract(orders(spark, folder), CONTRACT, references, now(), volume=(1300, 1000))
 
 
@@ -77,7 +83,7 @@ ORPHAN_SQL = one(
     "orphan:o_custkey->sales.customer.c_custkey", "orphan", "o_custkey", "CASE WHEN n >= 1 THEN 'violated' ELSE 'passed' END",
     "CASE WHEN n >= 1 THEN 'órfã na amostra' END", "'medium'", "n", "NULL", "t", "exact",
 ) + """ FROM (SELECT count(*) AS t, count(*) FILTER (WHERE o_custkey IS NOT NULL AND o_custkey NOT IN
- (SELECT c_custkey FROM customer WHERE c_nationkey <> 4)) AS n FROM orders)"""
+ (SELECT CASE WHEN c_nationkey = 4 THEN -c_custkey ELSE c_custkey END FROM customer)) AS n FROM orders)"""
 
 
 def domain_sql(column: str, bad: str, tolerance: str) -> str:
@@ -123,7 +129,7 @@ def uniqueness(spark, folder):
 @REGISTRY.add("dq3_check_orphan", ORPHAN_SQL)
 def orphan(spark, folder):
     return c.check_orphan(
-        orders(spark, folder), CHECKS["orphan"], table(spark, folder, "customer").where("c_nationkey <> 4")
+        orders(spark, folder), CHECKS["orphan"], customers(spark, folder)
     )
 
 
@@ -295,13 +301,13 @@ def date_probe(spark, folder):
 
 @REGISTRY.add(
     "dq18_probe_orphans",
-    """SELECT 'orphan' AS kind, 'l_partkey' AS column_name, count(*) FILTER (WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)) AS affected_rows, count(*) AS sampled_rows FROM lineitem
-UNION ALL SELECT 'orphan', 'l_suppkey', count(*) FILTER (WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey > 3)), count(*) FROM lineitem""",
+    """SELECT 'orphan' AS kind, 'l_partkey' AS column_name, count(*) FILTER (WHERE l_partkey NOT IN (SELECT CASE WHEN p_size < 40 THEN p_partkey ELSE -p_partkey END FROM part)) AS affected_rows, count(*) AS sampled_rows FROM lineitem
+UNION ALL SELECT 'orphan', 'l_suppkey', count(*) FILTER (WHERE l_suppkey NOT IN (SELECT CASE WHEN s_nationkey > 3 THEN s_suppkey ELSE -s_suppkey END FROM supplier)), count(*) FROM lineitem""",
 )
 def orphan_probe(spark, folder):
     relations = {
-        "l_partkey": (table(spark, folder, "part").where("p_size < 40"), "p_partkey"),
-        "l_suppkey": (table(spark, folder, "supplier").where("s_nationkey > 3"), "s_suppkey"),
+        "l_partkey": (table(spark, folder, "part").selectExpr("CASE WHEN p_size < 40 THEN p_partkey ELSE -p_partkey END AS p_partkey"), "p_partkey"),
+        "l_suppkey": (table(spark, folder, "supplier").selectExpr("CASE WHEN s_nationkey > 3 THEN s_suppkey ELSE -s_suppkey END AS s_suppkey"), "s_suppkey"),
     }
     return probes.probe_orphans(table(spark, folder, "lineitem"), relations)
 

@@ -163,7 +163,7 @@ def gaps(spark, folder):
     return diff.timeline_gaps(timeline_pairs(spark, folder))
 
 
-DEPLOY = """dp AS (SELECT DISTINCT concat('env', CAST(o_custkey % 2 AS VARCHAR)) AS environment_id, 'a' || CAST(o_orderkey AS VARCHAR) AS annotation_id, o_orderdate + INTERVAL 20 MINUTE AS created_at FROM orders WHERE day(o_orderdate) = 1 AND o_orderkey % 7 = 0),
+DEPLOY = """dp AS (SELECT concat('env', CAST(o_custkey % 2 AS VARCHAR)) AS environment_id, 'a' || CAST(min(o_orderkey) AS VARCHAR) AS annotation_id, min(o_orderdate) + INTERVAL 20 MINUTE AS created_at FROM orders GROUP BY o_custkey % 2, date_trunc('quarter', o_orderdate)),
  rg AS (SELECT environment_id, run_id, 'v' || CAST(year(started_at) * 4 + quarter(started_at) AS VARCHAR) AS latest_version, CASE WHEN month(started_at) % 4 = 0 THEN 'denied' ELSE 'ok' END AS access_state FROM f_run),
  co AS (SELECT u.environment_id, u.run_id, CASE WHEN h.a IS NOT NULL THEN 'deployment' WHEN g.access_state = 'ok' AND g.latest_version <> coalesce(o.latest_version, '') THEN 'migration_registry' WHEN g.access_state = 'denied' THEN 'not_verified' ELSE 'none' END AS correlation, coalesce(h.a, '') AS annotation_id, g.latest_version AS lv
   FROM us u LEFT JOIN (SELECT u.environment_id, u.run_id, arg_max(annotation_id, {'c': created_at, 'a': annotation_id}) AS a FROM us u JOIN dp ON dp.environment_id = u.environment_id AND dp.created_at BETWEEN u.previous_started_at - INTERVAL 30 MINUTE AND u.started_at + INTERVAL 30 MINUTE GROUP BY 1, 2) h USING (environment_id, run_id)
@@ -171,11 +171,12 @@ DEPLOY = """dp AS (SELECT DISTINCT concat('env', CAST(o_custkey % 2 AS VARCHAR))
 
 
 def correlated(spark, folder):
-    deployments = table(spark, folder, "orders").where("day(o_orderdate) = 1 AND o_orderkey % 7 = 0").select(
-        F.concat(F.lit("env"), (F.col("o_custkey") % 2).cast("string")).alias("environment_id"),
-        F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("annotation_id"),
-        (F.col("o_orderdate") + F.expr("INTERVAL '20' MINUTE")).cast("timestamp").alias("created_at"),
-    )
+    environment = F.concat(F.lit("env"), (F.col("o_custkey") % 2).cast("string")).alias("environment_id")
+    quarters = table(spark, folder, "orders").groupBy(environment, F.date_trunc("quarter", "o_orderdate"))
+    deployments = quarters.agg(
+        F.concat(F.lit("a"), F.min("o_orderkey").cast("string")).alias("annotation_id"),
+        (F.min("o_orderdate") + F.expr("INTERVAL '20' MINUTE")).cast("timestamp").alias("created_at"),
+    ).select("environment_id", "annotation_id", "created_at")
     started = F.col("started_at")
     registry = derive.view(spark, folder, "f_run").select(
         "environment_id",

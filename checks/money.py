@@ -57,7 +57,7 @@ def item_sql(kind, frm, key, size, where="true"):
 
 STORAGE = item_sql("storage", "s_table", TABLE_KEY, "total_size_bytes")
 BLOATED = item_sql("bloat", BLOAT, TABLE_KEY, "waste", "waste / total_size_bytes >= 0.3 AND waste >= 1073741824 AND row_estimate > 0")
-UNUSED = item_sql("unused_index", "f_index_snapshot", "index_name", "size_bytes", "size_bytes >= 104857600 AND month(collected_at) = 1 AND NOT is_unique")
+UNUSED = item_sql("unused_index", "f_index_snapshot", "index_name", "size_bytes", "size_bytes >= 104857600 AND NOT is_unique")
 QUERY = """SELECT environment_id, 'now' AS run_id, 'query' AS cost_type, fingerprint AS object_key, CAST(0 AS BIGINT) AS size_bytes, CASE WHEN currency IS NOT NULL THEN round((coalesce(ip * sh, vp * 730 * sh, 0) + coalesce(delta_blocks_read * 8192 / CAST(1e9 AS DOUBLE) * gp, 0)) * 100) / 100 END AS month_amount, currency
  FROM (SELECT *, CASE WHEN delta_total_us > 0 THEN delta_total_us / (sum(last_total_us) OVER (PARTITION BY environment_id)) ELSE 0 END AS sh FROM current_d) LEFT JOIN pv USING (environment_id)"""
 
@@ -74,7 +74,7 @@ def bloated(spark, folder):
 
 
 def unused(spark, folder):
-    usage = derive.view(spark, folder, "f_index_snapshot").where("NOT is_unique AND month(collected_at) = 1")
+    usage = derive.view(spark, folder, "f_index_snapshot").where("NOT is_unique")
     seen = usage.select(
         "environment_id", "run_id", F.col("index_name").alias("object_key"), "size_bytes",
         F.lit("2000-01-01").cast("timestamp").alias("first_seen_at"), F.lit("2000-02-01").cast("timestamp").alias("last_seen_at"),

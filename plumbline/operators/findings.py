@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.sources.staging import cut_lineage
 from plumbline.functions.keys import dedup_key, severity_rank
 from plumbline.operators.rules.catalog import catalog
 
@@ -160,7 +161,7 @@ def merge_findings(state: DataFrame, observed: DataFrame, actions: DataFrame, no
             now,
         ),
     )
-    both = both.withColumn("decision", decision)
+    both = cut_lineage(both.withColumn("decision", decision))  # state and events both read it
     touched = seen & ~((F.col("decision") == "hold") & stored) & (F.col("decision") != "hold")
     held = seen & (F.col("decision") == "hold")
     was = F.col("old_status")

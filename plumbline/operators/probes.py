@@ -46,38 +46,40 @@ def probe_nulls(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _issues(measured, "null", {c: F.col(f"n_{c}") for c in columns})
 
 
-def _frequencies(table: DataFrame, column: str) -> DataFrame:
-    """Per-column totals from value counts: sampled, nonnull, values, maximum."""
-    groups = table.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+def _frequencies(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Totals of each column from its value counts: sampled, nonnull, values, maximum. One scan for all columns.
+
+    Every row is spread to its (column, value) pairs and counted once; a value
+    that holds most rows is one partial count per task.
+    """
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
+    groups = table.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.column_name", "p.value").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("value").isNotNull()
-    zero = F.lit(0)
-    return groups.agg(
-        F.coalesce(F.sum("n"), zero).alias("sampled"),
-        F.coalesce(F.sum(F.when(known, F.col("n"))), zero).alias("nonnull"),
+    totals = groups.groupBy("column_name").agg(
+        F.sum("n").alias("sampled"),
+        F.sum(F.when(known, F.col("n"))).alias("nonnull"),
         F.count_if(known).alias("values"),
-        F.coalesce(F.max(F.when(known, F.col("n"))), zero).alias("maximum"),
+        F.max(F.when(known, F.col("n"))).alias("maximum"),
     )
+    asked = table.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+    return asked.join(totals, "column_name", "left").na.fill(0)
 
 
-def _each(table: DataFrame, columns: Sequence[str], build) -> DataFrame:
-    parts = [build(_frequencies(table, c), c) for c in columns]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+def _each(found: DataFrame, kind: str, affected: Column) -> DataFrame:
+    return found.select(
+        F.lit(kind).alias("kind"), "column_name", affected.cast("bigint").alias("affected_rows"), F.col("sampled").cast("bigint").alias("sampled_rows")
+    )
 
 
 def probe_duplicates(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Surplus rows per candidate key; NULLs are left out and values compare as text."""
-    return _each(
-        table, columns, lambda f, c: _issues(f, "duplicate", {c: F.col("nonnull") - F.col("values")})
-    )
+    return _each(_frequencies(table, columns), "duplicate", F.col("nonnull") - F.col("values"))
 
 
 def probe_distribution(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns where one value holds at least 80% of 30 or more sampled rows."""
     skewed = (F.col("sampled") >= 30) & (F.col("maximum") * 100 >= F.col("nonnull") * 80) & (F.col("nonnull") > 0)
-    return _each(table, columns, lambda f, c: _issues(f.where(skewed), "distribution", {c: F.col("maximum")}))
+    return _each(_frequencies(table, columns).where(skewed), "distribution", F.col("maximum"))
 
 
 def probe_date_range(table: DataFrame, ranges: Mapping[str, tuple[str, str]]) -> DataFrame:

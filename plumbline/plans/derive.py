@@ -68,7 +68,6 @@ FROM (SELECT concat('env', CAST(o_custkey % 2 AS STRING)) AS environment_id,
              concat('env', CAST(o_custkey % 2 AS STRING), '-', CAST(year(o_orderdate) * 100 + month(o_orderdate) AS STRING)) AS run_id,
              c_mktsegment AS database_name, n_name AS collector, min(month(o_orderdate)) AS m, min(o_orderkey) AS k
       FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
-      WHERE n_regionkey = 0
       GROUP BY 1, 2, c_mktsegment, n_name) t""",
     "f_table_snapshot": """
 SELECT environment_id, run_id, started_at, database_name, schema_name, table_name,
