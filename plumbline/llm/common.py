@@ -1,20 +1,21 @@
-"""Helpers shared by the operators: words, tables, lineage cuts, Arrow batches."""
+"""Helpers shared by the operators: words, tables, lineage cuts, texts of Arrow batches."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words, as a set of characters and as patterns.
+from plumbline.sources.staging import cut_lineage, shared_folder  # noqa: F401
+
+#: Rows written to the shared checkpoint folder: computed once, safe against lost executors.
+cut = cut_lineage
+
+#: What separates words, as a set of characters and as a pattern.
 BLANKS = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
-WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,28 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one on a local master.
-
-    On a cluster without that setting it raises, as a machine-local folder would lose data.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and the executors")
-        folder = tempfile.mkdtemp(prefix="plumbline-llm-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder: computed once, safe against lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where lambdas use it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -68,22 +47,3 @@ def without(text: Column, characters: str) -> Column:
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column of an Arrow batch, null as the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 10_000, weight: int | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows as Arrow batches of at most ``size`` rows, ended early when column ``weight`` holds ``most`` bytes."""
-    held: list[tuple] = []
-    heavy = 0
-    for row in rows:
-        held.append(row)
-        heavy += len(row[weight]) if weight is not None and row[weight] is not None else 0
-        if len(held) >= size or heavy >= most:
-            yield to_batch(held, schema)
-            held, heavy = [], 0
-    if held:
-        yield to_batch(held, schema)
-
-
-def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

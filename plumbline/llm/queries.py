@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from plumbline.llm import containment, extendible, language, packing, quality, simhash, substring, token_files, tokens, warc
 from plumbline.llm.common import table
 
