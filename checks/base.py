@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans import derive
+from plumbline.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares."""
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def with_views(sql: str, *names: str, extra: str = "") -> str:
     """A statement that may read derived views; ``extra`` adds more ``WITH`` items."""
     head = derive.ctes(*names) if names else "WITH"

@@ -325,6 +325,16 @@ COUNTED = """SELECT p_brand AS table_name, count(*) * 40 AS rows FROM lineitem J
 COUNTED_COPY = """SELECT p_brand AS table_name, count(*) FILTER (WHERE NOT (p_brand IN ('Brand#1', 'Brand#2') AND l_linenumber = 1)) * 40 + CASE WHEN p_brand = 'Brand#3' THEN 900 ELSE 0 END AS rows FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#4' GROUP BY 1"""
 
 
+@REGISTRY.add(
+    "dif2_definition_fingerprints",
+    derive.ctes("s_function") + """ SELECT environment_id, run_id, database_name, function_name, sha256('{"schema_name":"' || schema_name || '","function_name":"' || function_name || '","owner":"' || lower(owner) || '","definition":"' || lower(trim(regexp_replace(config, ' +', ' ', 'g'))) || '"}') AS fingerprint FROM s_function""",
+)
+def definitions(spark, folder):
+    functions = derive.view(spark, folder, "s_function").withColumnRenamed("config", "definition")
+    found = diff.definition_fingerprints(functions, "schema_name", "function_name", "owner")
+    return found.select("environment_id", "run_id", "database_name", "function_name", "fingerprint")
+
+
 @REGISTRY.add(
     "dif15_reconcile_counts",
     f"""SELECT table_name, e.rows AS expected_rows, coalesce(a.rows, 0) AS actual_rows, CASE WHEN abs(e.rows - coalesce(a.rows, 0)) > 1000 AND abs(e.rows - coalesce(a.rows, 0)) / e.rows > 0.005 THEN 'diverged' ELSE 'ok' END AS status, 'medium' AS check_severity FROM ({COUNTED}) e LEFT JOIN ({COUNTED_COPY}) a USING (table_name)""",

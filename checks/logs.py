@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Registry, table
+from checks.base import Registry, table, scratch
 from plumbline.functions.text import has_fixed_token, mask_message, template_id, template_pattern
 from plumbline.operators import logs
 from plumbline.plans import derive
@@ -57,6 +57,18 @@ def line_stats(spark, folder):
     return source.read_stats(parsed(spark, folder), "source")
 
 
+@REGISTRY.add(
+    "src2_read_log_files",
+    LINES_SQL + """ SELECT count(*) AS lines_read, count(*) FILTER (WHERE status = 'parsed') AS lines_parsed, count(*) FILTER (WHERE status = 'invalid') AS lines_invalid,
+ CAST(0 AS BIGINT) AS lines_oversized, count(*) FILTER (WHERE status = 'invalid') / count(*) AS invalid_ratio FROM parsed""",
+)
+def file_stats(spark, folder):
+    """The lines written as text files to the shared folder and read from there."""
+    path = scratch(spark, "logs")
+    derive.view(spark, folder, "f_log_line").select("value").write.text(path)
+    return source.read_stats(source.parse_lines(source.read_log_lines(spark, path)))
+
+
 @REGISTRY.add(
     "src3_profile_pg_json",
     LINES_SQL + f" SELECT source, ts, {LEVEL_SQL} AS level, coalesce(j->>'message', '') AS message, coalesce(j->>'user', '') AS role_name FROM parsed WHERE status = 'parsed'",

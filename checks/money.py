@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Registry, table
+from checks.base import Registry, table, scratch
 from checks.bundle import DerivedBundle
 from checks.rules import BLOAT
 from checks.workload import DIGEST, deltas
 from plumbline.operators import cost, retention as ret
 from plumbline.operators.rules.environments import bloat
 from plumbline.plans import derive
-from plumbline.sources.export import export_rows
+from plumbline.sources.export import export_csv, export_rows
 
 REGISTRY = Registry()
 NOW = "1999-07-01 00:00:00"
@@ -227,14 +227,25 @@ def purge(spark, folder):
     return ret.purge_plan(policies, rows, evidence, now())
 
 
-@REGISTRY.add(
-    "snk1_export_csv",
-    derive.ctes("s_pii_column") + """ SELECT database_name || '.' || schema_name || '.' || table_name || '.' || column_name AS coluna_qualificada, category AS categoria, confidence AS confianca, 'nome' AS metodo, '' AS pct_validado, '' AS amostra, CAST(read_accounts AS VARCHAR) AS contas_leitura, CASE WHEN has_rls THEN 'sim' ELSE 'nao' END AS rls, access_level AS nivel_acesso FROM s_pii_column""",
-)
+EXPORTED = derive.ctes("s_pii_column") + """ SELECT database_name || '.' || schema_name || '.' || table_name || '.' || column_name AS coluna_qualificada, category AS categoria, confidence AS confianca, 'nome' AS metodo, '' AS pct_validado, '' AS amostra, CAST(read_accounts AS VARCHAR) AS contas_leitura, CASE WHEN has_rls THEN 'sim' ELSE 'nao' END AS rls, access_level AS nivel_acesso FROM s_pii_column"""
+
+
+@REGISTRY.add("snk1_export_csv", EXPORTED)
 def export(spark, folder):
+    return export_rows(pii_rows(spark, folder), "pii_map")
+
+
+@REGISTRY.add("snk1_export_files", EXPORTED)
+def export_files(spark, folder):
+    """The CSV files of the export, read again."""
+    path = scratch(spark, "export")
+    export_csv(pii_rows(spark, folder), "pii_map", path)
+    return spark.read.option("header", True).option("escape", chr(34)).csv(path).na.fill("")  # no value and empty text are one in CSV
+
+
+def pii_rows(spark, folder):
     none = F.lit(None)
-    rows = derive.view(spark, folder, "s_pii_column").select(
+    return derive.view(spark, folder, "s_pii_column").select(
         F.concat_ws(".", "database_name", "schema_name", "table_name", "column_name").alias("qualified"), "category", "confidence",
         F.lit("nome").alias("method"), none.cast("double").alias("valid_percent"), none.cast("bigint").alias("sample_size"), "read_accounts", "has_rls", "access_level",
     )
-    return export_rows(rows, "pii_map")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Registry
+from checks.base import Registry, scratch
 from checks.bundle import DerivedBundle
 from checks.logs import STRIPPED
 from checks.rules import finding_sql
@@ -23,7 +23,10 @@ def runs(spark, folder):
     return derive.view(spark, folder, "f_run")
 
 
-@REGISTRY.add("src1_read_snapshots", derive.ctes("f_table_snapshot") + " SELECT run_id, count(*) AS tables, CAST(sum(total_size_bytes) AS BIGINT) AS bytes FROM f_table_snapshot WHERE environment_id = 'env1' AND run_id IN ('env1-199601', 'env1-199602') GROUP BY ALL")
+SELECTED = derive.ctes("f_table_snapshot") + " SELECT run_id, count(*) AS tables, CAST(sum(total_size_bytes) AS BIGINT) AS bytes FROM f_table_snapshot WHERE environment_id = 'env1' AND run_id IN ('env1-199601', 'env1-199602') GROUP BY ALL"
+
+
+@REGISTRY.add("src1_read_snapshots", SELECTED)
 def read_snapshots(spark, folder):
     wanted = snapshots.select_runs(
         derive.view(spark, folder, "f_table_snapshot"), environments=["env1"], runs=["env1-199601", "env1-199602"]
@@ -31,6 +34,16 @@ def read_snapshots(spark, folder):
     return wanted.groupBy("run_id").agg(F.count(F.lit(1)).alias("tables"), F.sum("total_size_bytes").alias("bytes"))
 
 
+@REGISTRY.add("src1_read_partitions", SELECTED)
+def read_partitions(spark, folder):
+    """The snapshot table appended in the shared folder, of which only the wanted partitions are read."""
+    root = scratch(spark, "snapshots")
+    rows = derive.view(spark, folder, "f_table_snapshot")
+    snapshots.append_snapshot(rows, root, "table_snapshot", ["environment_id", "run_id", "database_name", "schema_name", "table_name"])
+    found = snapshots.read_snapshots(spark, root, ["table_snapshot"], ["env1"], ["env1-199601", "env1-199602"])["table_snapshot"]
+    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("tables"), F.sum("total_size_bytes").alias("bytes"))
+
+
 @REGISTRY.add("src7_latest_run", RUN_SQL + f" SELECT * FROM f_run WHERE status IN ('success', 'partial_success') QUALIFY {LATEST}")
 def latest(spark, folder):
     return run_source.latest_run(runs(spark, folder))

@@ -41,11 +41,6 @@ def dotted(*names: str | Column) -> Column:
     return F.concat(*pieces)
 
 
-def object_identity(*parts: Column) -> Column:
-    """Canonical identity of an object: lower-cased, trimmed, slash separated."""
-    return F.concat_ws("/", *[F.lower(F.trim(p)) for p in parts])
-
-
 def key_for(*parts: Column) -> Column:
     """Comparison key: normalised parts joined with dots, empty parts left out."""
     return F.concat_ws(".", *[F.nullif(F.lower(F.trim(p)), F.lit("")) for p in parts])

@@ -17,13 +17,13 @@ INFO_LEVELS = ("LOG", "INFO", "NOTICE", "DEBUG", "DEBUG1", "DEBUG2", "DEBUG3", "
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files (.json, .jsonl, .log) as a ``value`` column."""
-    return spark.read.option("pathGlobFilter", "*.{json,jsonl,log}").text(path)
+    """Lines of log files (.json, .jsonl, .log, .txt) as a ``value`` column."""
+    return spark.read.option("pathGlobFilter", "*.{json,jsonl,log,txt}").text(path)
 
 
 def stream_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """The same lines as an unbounded stream of arriving files."""
-    return spark.readStream.option("pathGlobFilter", "*.{json,jsonl,log}").text(path)
+    return spark.readStream.option("pathGlobFilter", "*.{json,jsonl,log,txt}").text(path)
 
 
 def parse_time_any(text: Column) -> Column:
