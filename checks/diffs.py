@@ -264,7 +264,7 @@ FACTS = """fx AS (SELECT environment_id, 'version' AS kind, 'postgres' AS name,
 
 @REGISTRY.add(
     "dif12_compare_servers",
-    derive.ctes("s_server", "s_extension", "s_setting", "s_hypertable", "s_policy", "s_cagg", "f_finding_event") + f""", hx AS (SELECT *, database_name || '.' || schema_name || '.' || hypertable_name AS h FROM s_hypertable), {FACTS}, pp AS (SELECT 'env0' AS l, 'env1' AS r UNION ALL SELECT 'env2', 'env6')
+    derive.ctes("s_server", "s_extension", "s_setting", "s_hypertable", "s_policy", "s_cagg", "f_finding_event") + f""", hx AS (SELECT *, database_name || '.' || schema_name || '.' || hypertable_name AS h FROM s_hypertable), {FACTS}, pp AS (SELECT environment_id AS l, 'env' || CAST(CAST(substr(environment_id, 4) AS BIGINT) + 1 AS VARCHAR) AS r FROM s_server)
  SELECT l AS left_environment_id, r AS right_environment_id, kind, name, coalesce(a, '') AS left_value, coalesce(b, '') AS right_value, CASE WHEN a IS NULL THEN 'only_right' WHEN b IS NULL THEN 'only_left' ELSE 'drift' END AS status, name = 'shared_buffers' AND a IS NOT NULL AND b IS NOT NULL AS informational
  FROM (SELECT l, r, kind, name, value AS a FROM pp JOIN fx ON environment_id = l) x FULL JOIN (SELECT l, r, kind, name, value AS b FROM pp JOIN fx ON environment_id = r) y USING (l, r, kind, name)
  WHERE a IS DISTINCT FROM b AND NOT (kind = 'chunk_interval' AND (a IS NULL OR b IS NULL)) AND NOT (kind = 'critical' AND a IS NOT NULL AND b IS NOT NULL)""",
@@ -275,10 +275,8 @@ def servers(spark, folder):
         "environment_id", F.concat("object_name", "title").alias("dedup_key")
     ).agg(F.min("title").alias("title"))
     facts = diff.server_facts(b["servers"], b["extensions"], b["settings"], b["hypertables"], b["policies"], b["caggs"], critical)
-    pairs = b["servers"].where("environment_id IN ('env0', 'env2')").select(
-        F.col("environment_id").alias("left_environment_id"),
-        F.when(F.col("environment_id") == "env0", "env1").otherwise("env6").alias("right_environment_id"),
-    )
+    following = F.concat(F.lit("env"), (F.substring("environment_id", 4, 20).cast("bigint") + 1).cast("string"))
+    pairs = b["servers"].select(F.col("environment_id").alias("left_environment_id"), following.alias("right_environment_id"))
     return diff.compare_servers(facts, pairs)
 
 
