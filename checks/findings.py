@@ -155,8 +155,8 @@ def impact(spark, folder):
 @REGISTRY.add(
     "fnd9_measure_gain",
     derive.ctes("f_table_daily", "f_daily_run") + """, ob AS (SELECT environment_id, run_id, database_name || '.' || schema_name || '.' || table_name AS object_key, 'table_size_bytes' AS metric, total_size_bytes AS value FROM f_table_daily)
- SELECT *, CASE WHEN comparable THEN after_value - before_value END AS change, CASE WHEN comparable THEN 'measured' ELSE 'not_comparable' END AS measured_status FROM (SELECT k.environment_id, object_key, 'table_size_bytes' AS metric, 'd4' AS before_run_id, after_run_id, b.value AS before_value, a.value AS after_value, ra.status = 'success' AND b.value IS NOT NULL AND a.value IS NOT NULL AS comparable
- FROM (SELECT DISTINCT environment_id, object_key, CASE WHEN object_key LIKE '%1' THEN 'd8' ELSE 'd9' END AS after_run_id FROM ob) k JOIN f_daily_run ra ON ra.environment_id = k.environment_id AND ra.run_id = after_run_id LEFT JOIN ob b USING (object_key) LEFT JOIN ob a USING (object_key) WHERE (b.environment_id = k.environment_id AND b.run_id = 'd4') AND (a.environment_id = k.environment_id AND a.run_id = after_run_id))""",
+ SELECT *, CASE WHEN comparable THEN after_value - before_value END AS change, CASE WHEN comparable THEN 'measured' ELSE 'not_comparable' END AS measured_status FROM (SELECT k.environment_id, k.object_key, 'table_size_bytes' AS metric, 'd4' AS before_run_id, after_run_id, b.value AS before_value, a.value AS after_value, rb.status = 'success' AND ra.status = 'success' AND b.value IS NOT NULL AND a.value IS NOT NULL AS comparable
+ FROM (SELECT DISTINCT environment_id, object_key, CASE WHEN object_key LIKE '%1' THEN 'd8' ELSE 'd9' END AS after_run_id FROM ob) k JOIN f_daily_run rb ON rb.environment_id = k.environment_id AND rb.run_id = 'd4' JOIN f_daily_run ra ON ra.environment_id = k.environment_id AND ra.run_id = after_run_id LEFT JOIN ob b ON b.object_key = k.object_key AND b.environment_id = k.environment_id AND b.run_id = 'd4' LEFT JOIN ob a ON a.object_key = k.object_key AND a.environment_id = k.environment_id AND a.run_id = after_run_id)""",
 )
 def gain(spark, folder):
     metrics = derive.view(spark, folder, "f_table_daily").select(
@@ -171,7 +171,7 @@ def gain(spark, folder):
         "*", F.lit("table_size_bytes").alias("metric"), F.lit("d4").alias("before_run_id"),
         F.when(F.col("object_key").endswith("1"), "d8").otherwise("d9").alias("after_run_id"), F.lit(True).alias("workload_comparable"),
     )
-    return fnd.measure_gain(metrics, runs, pairs).where("before_value IS NOT NULL AND after_value IS NOT NULL")
+    return fnd.measure_gain(metrics, runs, pairs)
 
 
 EFFORT_SQL = "CASE WHEN rule_id IN ('cost.query_expensive') THEN 'baixo' WHEN rule_id = 'storage.large_table' THEN 'alto' ELSE 'médio' END"
