@@ -4,11 +4,12 @@ import collections
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
 
-from plumbline.llm import containment, rolling, simhash, substring
+from plumbline.llm import containment, rolling, similar, simhash, substring
 from plumbline.llm.components import components
 from plumbline.llm.fm_index import FMIndex
 
@@ -99,6 +100,80 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def five_word_shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([b" ".join(words)])
+
+
+def survivors(rows):
+    """The smallest doc_id of each component of pairs with a Jaccard similarity of 4/5 or more, and the similarities."""
+    sets = {}
+    for d, t, *_ in rows:
+        if d is not None:
+            sets.setdefault(d, five_word_shingles(t))
+    group = {d: d for d in sets}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    ids, seen = sorted(sets), []
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * len(sets[a] | sets[b]):
+                seen.append(shared / len(sets[a] | sets[b]))
+                x, y = sorted((find(a), find(b)))
+                group[y] = x
+    return sorted({find(d) for d in ids}), seen
+
+
+def near_copies():
+    """Originals with copies of few to many changed words, a large group of them, a line that very many documents have."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    prose = lambda n: [word() for _ in range(n)]
+
+    def changed(words, n):
+        places = set(rng.sample(range(len(words)), n))
+        return [word() if i in places else w for i, w in enumerate(words)]
+
+    line = prose(12)
+    found = []
+    for _ in range(60):
+        base = prose(rng.randint(40, 400))
+        found += [base, changed(base, rng.randint(0, len(base) // 25)), changed(base, rng.randint(0, len(base) // 25))]
+    crowd = prose(140)
+    found += [changed(crowd, rng.randint(0, 7)) for _ in range(150)]
+    found += [line + prose(rng.randint(20, 60)) for _ in range(150)]
+    found += [prose(n) for n in (1, 2, 3, 4, 5, 6)] * 2
+    rng.shuffle(found)
+    return [(100 + i, " ".join(w)) for i, w in enumerate(found)]
+
+
+def test_pipeline_keeps_one_of_all_texts_with_a_jaccard_similarity_of_four_fifths(spark, make, awkward):
+    rows = [(d, t) for d, t, *_ in awkward] + near_copies()
+    want, seen = survivors(rows)
+    assert all(sum(low <= x < low + 0.05 for x in seen) > 5 for low in (0.8, 0.85, 0.9, 0.95))
+    docs = make(rows, clashing=True)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert sorted(i for i in ids if i is not None) == want
+    assert ids.count(None) == 1
+    assert corpus_pipeline.near_duplicates(spark, make([]), "").count() == 0
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    for _ in range(50):
+        a, b = (np.unique(rng.choice(pool, 200)) for _ in range(2))
+        bits = sum((int(x) ^ int(y)).bit_count() for x, y in zip(similar.parities(a).view(np.uint64), similar.parities(b).view(np.uint64), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def deduplicated(rows):
     least = {}
     words = [(d, (t or "").encode().split()) for d, t, *_ in rows]
