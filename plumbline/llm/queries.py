@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import containment, extendible, language, packing, quality, simhash, substring, token_files, tokens, warc
+from plumbline.llm import codes, containment, extendible, language, negatives, packing, quality, secrets, simhash, substring, token_files, tokens, warc
 from plumbline.llm.common import table
 
 #: The id that ends a document.
@@ -281,3 +281,109 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))))
     return language.label(docs, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+NEGATIVES_SQL = r"""
+WITH e AS (
+    SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+    FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)
+), s AS (
+    SELECT a.rid AS aid, a.vec_id AS anchor_id, x.rid, x.vec_id, x.label = a.label AS alike,
+        list_inner_product(a.v, x.v)::BIGINT AS score
+    FROM e a JOIN e x ON a.rid <> x.rid WHERE a.vec_id % 50 = 0
+), p AS (
+    SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id) <= 5
+), n AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.aid, p.rid ORDER BY s.score DESC, s.vec_id)::INTEGER
+        AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.aid = p.aid AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
+@registered("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+CODES_SQL = r"""
+WITH e AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding)
+), x AS MATERIALIZED (
+    SELECT rid, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS v FROM e, range(16) AS r(p)
+), b0 AS MATERIALIZED (
+    SELECT p, rid - 1 AS k, v FROM x WHERE rid <= 64
+)"""
+for _round in (0, 1, 2):
+    CODES_SQL += f""", a{_round} AS MATERIALIZED (
+    SELECT rid, x.p, any_value(x.v) AS v,
+        min({{'d': list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x.v, b{_round}.v)])::BIGINT, 'k': k}}) AS best
+    FROM x JOIN b{_round} USING (p) GROUP BY rid, x.p
+)"""
+    if _round < 2:
+        CODES_SQL += f""", m{_round} AS (
+    SELECT p, best.k AS k, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS c
+    FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM a{_round}) GROUP BY ALL
+), b{_round + 1} AS MATERIALIZED (
+    SELECT p, k, coalesce(n.v, b{_round}.v) AS v
+    FROM b{_round} LEFT JOIN (SELECT p, k, list(c::BIGINT ORDER BY i) AS v FROM m{_round} GROUP BY p, k) n USING (p, k)
+)"""
+CODES_SQL += r""", c AS (
+    SELECT rid, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY rid
+), h AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM e JOIN c USING (rid), h
+"""
+
+
+@registered("op12_vector_codes", CODES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    sha = F.lit(codes.fingerprint(books)).alias("codebooks_sha256")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", sha)
+
+
+def _either_case(pattern: str) -> str:
+    """Letters of the words in a pattern as classes of both cases, for an engine that folds more than ASCII."""
+    words = pattern.removeprefix("(?i:").partition(")")[0]
+    return pattern.replace(f"(?i:{words})", "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words))
+
+
+def _kind_sql(place: int, rule: secrets.Rule) -> str:
+    pattern = "'" + _either_case(rule.pattern).replace("'", "''") + "'"
+    return f"""SELECT rid, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, {pattern}) AS g,
+        regexp_extract_all(t, {pattern}, 0) AS m, regexp_extract_all(t, {pattern}, {rule.group}) AS v
+    FROM d WHERE regexp_matches(t, {pattern})"""
+
+
+SECRETS_SQL = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), s AS (
+    {" UNION ALL ".join(_kind_sql(place, rule) for place, rule in enumerate(secrets.RULES))}
+), u AS (
+    SELECT rid, place, kind, least, unnest([{{'i': i, 'g': length(g[i]), 'm': length(m[i]), 'v': length(v[i])}}
+        FOR i IN range(1, len(m) + 1)]) AS x FROM s
+), q AS (
+    SELECT *, (sum(x.g + x.m) OVER (PARTITION BY rid, place ORDER BY x.i))::BIGINT AS stop FROM u
+), r AS (
+    SELECT rid, place, kind, stop - x.m AS start, concat(kind, ':', stop - x.m, ':', stop) AS span FROM q WHERE x.v >= least
+), k AS (
+    SELECT rid, string_agg(span, ',' ORDER BY start, place) AS spans, string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+        count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex FROM r GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN k USING (rid)
+"""
+
+
+@registered("op13_secret_scan", SECRETS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
