@@ -247,14 +247,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def hex_digits(column: str) -> F.Column:
     """A long as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that of the smallest doc_id, with its own columns.
-
-    Of rows repeated with one doc_id one stays. Rows without doc_id are in no group and all stay.
-    """
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"), radius)
-    winners = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

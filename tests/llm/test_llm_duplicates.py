@@ -60,15 +60,6 @@ def test_fingerprints_and_classes(make, awkward):
     assert simhash.near_duplicates(make([])).count() == 0
 
 
-def test_one_of_each_group_stays(make, awkward):
-    docs = make(awkward, clashing=True)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in simhash.near_duplicates(docs.filter("doc_id IS NOT NULL")).collect()})
-    assert ids.count(None) == 1
-
-
 @pytest.mark.parametrize("crowd", ["spread", "low half", "both halves"])
 def test_links_are_all_pairs_within_the_radius(spark, crowd):
     rng = random.Random(3)
@@ -165,6 +156,25 @@ def test_pipeline_keeps_one_of_all_texts_with_a_jaccard_similarity_of_four_fifth
     assert corpus_pipeline.near_duplicates(spark, make([]), "").count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_rows_of_one_doc_id_with_different_texts_all_count(make, partitions):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, "alpha " * 3), (1, "one two"), (1, "one two"), (1, base), (1, other), (2, base + " end"), (2, "two"), (0, other + " end"), (3, "alpha " * 3)]
+    docs = make(rows + [(4, "x y", "en", "a"), (4, "x y", "de", "a")]).repartition(partitions)
+    kept = corpus_pipeline.near_duplicates(None, docs, "")
+    want = [(0, other + " end", None), (1, "alpha " * 3, None), (1, base, None), (1, "one two", None), (2, "two", None), (4, "x y", "de")]
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_counts_are_of_all_documents(make, awkward):
+    counts = np.zeros(similar.COUNTS, int)
+    for _, text, *_ in awkward:
+        counts[np.unique(similar.cells(similar.shingles(text or "")))] += 1
+    assert (similar.shingle_counts(make(awkward).repartition(5)) == counts).all()
+    assert not similar.shingle_counts(make([])).any()
+
+
 def test_parities_never_exceed_the_difference():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
