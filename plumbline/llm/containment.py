@@ -59,13 +59,14 @@ def signature(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 class Index:
-    """Items ``(id, text)`` by size partition; ``search`` gives the items held by a text."""
+    """Items ``(id, text)`` by size partition; ``search`` gives the items held by a text, as often as ``times`` says."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], times: list[int] | None = None) -> None:
         self.items = []
+        self.times = []
         self.partitions: dict[int, tuple[int, int, dict[tuple[int, int], list[int]]]] = {}
         every = [np.zeros(0, dtype=np.uint64)]
-        for name, text in items:
+        for (name, text), n in zip(items, times or [1] * len(items), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             own = shingles(data)
             if not own:
@@ -80,6 +81,7 @@ class Index:
             for k, v in enumerate(signature(values, rows).tolist()):
                 bands.setdefault((k, v), []).append(len(self.items))
             self.items.append((name, own))
+            self.times.append(n)
         self.shingles = np.unique(np.concatenate(every))
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self._cell(self.shingles)] = True
@@ -115,18 +117,22 @@ class Index:
             name, wanted = self.items[i]
             shared = len(wanted & own)
             if shared >= THRESHOLD * len(wanted):
-                matches.append((name, shared, len(wanted)))
+                matches += [(name, shared, len(wanted))] * self.times[i]
         return matches
 
 
 def blocks(items: DataFrame) -> Iterator[Index]:
-    """The items in blocks of bounded size, dealt by hash; more items give more blocks, each sought in all documents."""
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The items in blocks of bounded size, dealt by hash; more items give more blocks, each sought in all documents.
+
+    Repeated rows are counted first and are one item of a block.
+    """
+    own = items.groupBy(F.col("item_id").cast("long").alias("item_id"), "text").agg(F.count("*").alias("times"))
     n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     count = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for k in range(count):
         part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in part.collect()])
+        rows = part.collect()
+        yield Index([(r["item_id"], r["text"]) for r in rows], [r["times"] for r in rows])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -159,7 +165,11 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item, with their own columns."""
+    """The documents that hold no item, with their own columns.
+
+    Null and short texts hold none and stay, repeated rows stay or go together, very long texts are searched whole; without
+    items all stay, an empty table stays empty. Other columns may have any names.
+    """
 
     def keep(index: Index, at: int):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

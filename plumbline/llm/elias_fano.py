@@ -30,7 +30,7 @@ def encode(values: np.ndarray) -> bytes:
 
 
 class EliasFano:
-    """Reads single values by select, or all of them."""
+    """Reads single values or many by select, or all of them."""
 
     def __init__(self, data: bytes) -> None:
         self.n, self.top, self.low = struct.unpack_from(HEADER, data)
@@ -65,6 +65,22 @@ class EliasFano:
         window = int.from_bytes(self.lower[first >> 3 : (first + self.low + 7) >> 3].tobytes(), "little")
         return (self.select(i) - i) << self.low | window >> (first & 7) & ((1 << self.low) - 1)
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at many places: ones are counted by bytes once, then each place selects its byte and a bit of it."""
+        places = np.asarray(places, dtype=np.int64)
+        if len(places) and not 0 <= places.min() <= places.max() < self.n:
+            raise IndexError(places)
+        ones = np.bitwise_count(self.upper).astype(np.int64)
+        upto = np.cumsum(ones)
+        byte = np.searchsorted(upto, places, "right")
+        left = places - (upto[byte] - ones[byte])
+        seen = np.cumsum(np.unpackbits(self.upper[byte][:, None], axis=1, bitorder="little"), axis=1)
+        upper = 8 * byte + (seen > left[:, None]).argmax(axis=1) - places
+        bit = places[:, None] * self.low + np.arange(self.low)
+        bits = (self.lower[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+        lower = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
+        return (upper.astype(np.uint64) << np.uint64(self.low)) | lower.astype(np.uint64)
+
     def all(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))
         bits = np.unpackbits(self.lower, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)

@@ -122,16 +122,17 @@ class Model:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``text`` and ``lang`` of labelled documents (both not null): about ``sample`` of each language by hash.
 
-    At most languages x cells rows reach the driver.
+    The hash is of doc_id and text, so that copies of a text are drawn one by one. At most languages x cells rows reach the
+    driver.
     """
-    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    known = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", "doc_id")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((CELLS, 0), dtype=np.float32), np.zeros((0, SCRIPTS), dtype=bool))
     shares = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, sample / v))])
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = known.filter(chance < F.element_at(shares, F.col("lang")))
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    picked = known.filter(chance < F.element_at(shares, F.col("lang"))).select("lang", "text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

@@ -76,7 +76,10 @@ def deal(
 
 
 def encode(docs: DataFrame, path: str, form: Form, end: int, parts: int) -> DataFrame:
-    """``part, doc_id, source, n, ids``: ids of each text and the end id, two bytes each, compressed; part by doc_id."""
+    """``part, doc_id, source, n, ids``: ids of each text and the end id, two bytes each, compressed.
+
+    Parts are dealt by doc_id and text, so that rows of one doc_id, or of none, spread.
+    """
     ending = np.array([end], dtype="<u2").tobytes()
 
     def run(rows):
@@ -91,7 +94,7 @@ def encode(docs: DataFrame, path: str, form: Form, end: int, parts: int) -> Data
             for k in range(0, len(ids), 1000):
                 yield pa.RecordBatch.from_arrays([c[k : k + 1000] for c in columns], ["part", "doc_id", "source", "n", "ids"])
 
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")
     rows = docs.select(part, F.col("doc_id").cast("long"), F.coalesce("source", F.lit("")).alias("source"), "text")
     return rows.mapInArrow(run, "part int, doc_id long, source string, n long, ids binary")
 
@@ -176,7 +179,7 @@ def pack(
     the token proportions wanted of the sources, by default those of the corpus; what a source lacks others fill, as all
     documents are packed. Null text counts as empty (its end id remains), null source as the source ''; rows without doc_id
     are packed too; repeated rows are packed each; an empty table gives no row. The largest thing in memory is a part: about
-    ``PART_BYTES`` of text, or one longer document.
+    ``PART_BYTES`` of text, or one longer document; rows that agree in doc_id and text share a part.
     """
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     encoded = cut(encode(docs, path, form, end, max(1, -(-text_bytes // PART_BYTES))))

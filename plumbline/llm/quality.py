@@ -177,5 +177,9 @@ def ablation(entries: DataFrame, policies: tuple[Policy, ...], rules: tuple[Rule
 
 
 def keep_good(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
-    """The documents that a policy accepts, with their own columns."""
+    """The documents that a policy accepts, with their own columns.
+
+    Null and empty texts fail ``few_words``; very long ones are measured whole; repeated rows stay or go together; an empty
+    table stays empty. Other columns may have any names.
+    """
     return ledger(docs).filter(~rejected(policy)).select("row.*")

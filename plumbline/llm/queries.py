@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import codes, containment, extendible, language, negatives, packing, quality, secrets, simhash, substring, token_files, tokens, warc
-from plumbline.llm.common import table
+from plumbline.llm.common import shared_folder, table
 
 #: The id that ends a document.
 END = 1
@@ -78,6 +79,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ABLATION_SQL = QUALITY_SQL.replace(
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,\n"
+    "    fail_bits = 0 AS kept, fail_bits FROM b",
+    f"""SELECT policy, 1::INTEGER AS version, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed,
+    count(*) FILTER (fail_bits & mask = bit) AS n_only, count(*) FILTER (fail_bits & mask <> 0) AS n_rejected
+FROM b, (VALUES {", ".join(f"('{p.name}', {p.mask()}, '{r.name}', {r.mask()})" for p in (quality.BASE, quality.FULL) for r in quality.RULES if r.name in p.rules)})
+    AS p(policy, mask, rule, bit) GROUP BY policy, rule""",
+)
+
+
+@registered("quality_ablation", ABLATION_SQL)
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policies does, from a ledger that was written once and is read back."""
+    folder = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    quality.ledger(table(spark, sf_dir, "documents")).select("row.doc_id", *quality.MEASURES, "fail_bits").write.parquet(folder)
+    return quality.ablation(spark.read.parquet(folder), (quality.BASE, quality.FULL))
+
+
 @registered("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")

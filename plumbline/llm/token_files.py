@@ -61,6 +61,15 @@ class Image:
     def start(self, i: int) -> int:
         return self.bounds[i]
 
+    def starts(self, places: np.ndarray) -> np.ndarray:
+        """The first id of each of many documents; the place after the last one gives the end."""
+        return self.bounds.at(places).astype(np.int64)
+
+    def doc_ids(self, places: np.ndarray) -> list[int | None]:
+        known = places[places >= self.n_null] - self.n_null
+        names = iter((self.names.at(known).astype(np.int64) + self.base).tolist())
+        return [None if i < self.n_null else next(names) for i in places.tolist()]
+
     def ids(self, i: int) -> np.ndarray:
         return self.array[self.bounds[i] : self.bounds[i + 1]]
 
@@ -85,8 +94,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, form: Form, end: int,
     """Encodes every text, appends the id ``end`` to each and writes images in rising doc_id order to a folder.
 
     Columns written: ``part`` (rises with doc_id), ``seq`` in it, ``before`` (ids of the part before the image), ``n_ids``,
-    ``image``. Texts are dealt by doc_id ranges once and encoded there. Null text counts as empty; rows without doc_id come
-    first; repeated rows are written each; an empty table gives an empty one. ``width``: bytes of an id.
+    ``image``. Texts are dealt by ranges of doc_id and a hash of the text once, so that rows of one doc_id or none spread,
+    and encoded there. Null text counts as empty; rows without doc_id come first; repeated rows are written each; an empty
+    table gives an empty one. ``width``: bytes of an id.
     """
     ending = np.array([end], dtype=f"<u{width}").tobytes()
 
@@ -105,8 +115,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, form: Form, end: int,
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "seq", "before", "n_ids", "image"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     images = ordered.mapInArrow(run, "part int, seq int, before long, n_ids long, image binary")
     images.write.option("compression", "zstd").parquet(folder)
 
@@ -114,7 +124,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, form: Form, end: int,
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document from the images of a folder.
 
-    ``start``: ids of all documents before it. Only the totals of the parts are summed up in order.
+    ``start``: ids of all documents before it, read by batched select from the images' boundaries. Only the totals of the
+    parts are summed up in order. Each written row gives one, null doc_ids first; an empty folder gives none.
     """
     images = spark.read.parquet(folder)
 
@@ -123,10 +134,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             for part, before, data in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 image = Image(data)
                 n = len(image)
-                bounds = image.bounds.all().astype(np.int64)
+                bounds = image.starts(np.arange(n + 1))
                 crc = [zlib.crc32(image.array[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
-                known = image.names.all().astype(np.int64) + image.base
-                names = [None] * image.n_null + known.tolist()
+                names = image.doc_ids(np.arange(n))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(n, part, dtype=np.int32)),

@@ -37,19 +37,20 @@ def header(headers: Column, name: str) -> Column:
 
 
 def latest_before(responses: DataFrame, revisits: DataFrame) -> DataFrame:
-    """``record_id, target``: for each revisit the latest response of its key with a smaller time, if there is one.
+    """``uid, target``: for each revisit the latest response of its key with a smaller time, if there is one.
 
-    Both have ``record_id, key, ts``. Captures of a key are cut into time slices: a slice is matched on its own, and what
+    Both have ``uid`` (unique), ``record_id, key, ts``; the result is ``uid, target``, a uid too. Captures of a key are cut into time slices: a slice is matched on its own, and what
     it starts with comes from one row for each earlier slice, so no task needs all captures of a hot key.
     """
-    events = responses.select("key", "ts", F.col("record_id").alias("response"), F.lit(None).cast("long").alias("revisit"))
+    none = F.lit(None).cast("long")
+    events = responses.select("key", "ts", "record_id", F.col("uid").alias("response"), none.alias("revisit"))
     events = events.unionByName(
-        revisits.select("key", "ts", F.lit(None).cast("long").alias("response"), F.col("record_id").alias("revisit"))
+        revisits.select("key", "ts", none.alias("record_id"), none.alias("response"), F.col("uid").alias("revisit"))
     ).filter("key IS NOT NULL AND ts IS NOT NULL")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     width = ((last or 0) - (first or 0)) // SLICES + 1
     sliced = events.withColumn("slice", F.floor((F.col("ts") - F.lit(first or 0)) / F.lit(width)).cast("int"))
-    place = F.when(F.col("response").isNotNull(), F.struct("ts", "response"))
+    place = F.when(F.col("response").isNotNull(), F.struct("ts", "record_id", "response"))
     inside = Window.partitionBy("key", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     near = sliced.withColumn("near", F.max(place).over(inside)).filter("revisit IS NOT NULL")
     ends = sliced.groupBy("key", "slice").agg(F.max(place).alias("end"))
@@ -57,7 +58,7 @@ def latest_before(responses: DataFrame, revisits: DataFrame) -> DataFrame:
     starts = ends.select(F.col("key").alias("k"), F.col("slice").alias("s"), F.max("end").over(earlier).alias("far"))
     found = near.join(starts.filter("far IS NOT NULL"), (F.col("key") == F.col("k")) & (F.col("slice") == F.col("s")), "left")
     target = F.coalesce("near", "far")["response"]
-    return found.select(F.col("revisit").alias("record_id"), target.alias("target")).filter("target IS NOT NULL")
+    return found.select(F.col("revisit").alias("uid"), target.alias("target")).filter("target IS NOT NULL")
 
 
 def agree(own: Column, full: Column) -> Column:
@@ -78,15 +79,17 @@ def merged(full: Column, own: Column) -> Column:
 def resolve(records: DataFrame) -> DataFrame:
     """One row for each record: ``record_id, key, state, target, headers, payload_bytes, payload_sha256``.
 
-    Records have ``record_id`` (unique), ``url``, ``ts`` (a long), ``kind`` ('response' or 'revisit'), ``status``,
+    Records have ``record_id``, ``url``, ``ts`` (a long), ``kind`` ('response' or 'revisit'), ``status``,
     ``headers`` (an array of name and value) and ``payload``; other columns are left aside. Responses of status 200 are
     full. ``state``: 'full', 'other' (any other response), 'resolved', 'mismatch' (validators differ or are missing) or
     'no_response' (none earlier, or no url or ts). Of responses at one time the greatest record_id counts; a response at the
-    very time of a revisit is not earlier. Null headers count as none. An empty table gives no row.
+    very time of a revisit is not earlier. Repeated records count each: every one gives its row, and of repeated responses one
+    is the target. Null headers count as none. An empty table gives no row.
     """
     headers = F.filter(F.coalesce(F.col("headers"), F.array().cast(HEADERS)), lambda h: h["name"].isNotNull())
     rows = cut(
         records.select(
+            F.monotonically_increasing_id().alias("uid"),  # kept as it is in the written rows
             F.col("record_id").cast("long").alias("record_id"),
             canonical(F.col("url")).alias("key"),
             F.col("ts").cast("long").alias("ts"),
@@ -101,19 +104,20 @@ def resolve(records: DataFrame) -> DataFrame:
     full = rows.filter("full")
     targets = latest_before(full, revisits)
     of = full.select(
-        F.col("record_id").alias("target"),
+        F.col("uid").alias("target"),
+        F.col("record_id").alias("full_id"),
         F.col("headers").alias("full_headers"),
         F.col("payload_bytes").alias("full_bytes"),
         F.col("payload_sha256").alias("full_sha256"),
     )
-    matched = revisits.select("record_id", "key", "headers").join(targets, "record_id", "left").join(of, "target", "left")
+    matched = revisits.select("uid", "record_id", "key", "headers").join(targets, "uid", "left").join(of, "target", "left")
     ok = F.col("target").isNotNull() & agree(F.col("headers"), F.col("full_headers"))
     state = F.when(F.col("target").isNull(), "no_response").when(ok, "resolved").otherwise("mismatch")
     resolved = matched.select(
         "record_id",
         "key",
         state.alias("state"),
-        "target",
+        F.col("full_id").alias("target"),
         F.when(ok, merged(F.col("full_headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
         F.when(ok, F.col("full_bytes")).alias("payload_bytes"),
         F.when(ok, F.col("full_sha256")).alias("payload_sha256"),

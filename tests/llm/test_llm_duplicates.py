@@ -306,3 +306,10 @@ def test_bands_keep_the_chance_of_a_miss_small():
         rows = containment.band_rows(1 << size, 4 << size)
         jaccard = 0.8 / (1 + 4 - 0.8)
         assert (1 - jaccard**rows) ** (containment.HASHES // rows) <= containment.MISS
+
+
+def test_repeated_items_match_each(spark, make):
+    text = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, text)] * 5 + [(1, text + " x"), (2, text), (None, text), (None, text)], "item_id long, text string")
+    found = [tuple(r) for r in containment.find_leaks(make([(7, "a " + text + " b")]), items).collect()]
+    assert collections.Counter(r[1] for r in found) == {1: 6, 2: 1, None: 2}

@@ -133,6 +133,15 @@ def test_a_hot_url_is_matched_slice_by_slice(spark):
             assert found[i]["target"] == (max(earlier)[1] if earlier else None)
 
 
+def test_repeated_records_count_each(spark):
+    full = (1, "http://a.org/", 10, "response", 200, [("ETag", "t")], "body")
+    revisit = (2, "http://a.org/", 20, "revisit", 304, [("etag", "t")], None)
+    rows = [full] * 3 + [revisit] * 2 + [(None, "http://a.org/", 30, "revisit", 304, [("etag", "t")], None)] * 2
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], RECORDS).repartition(3)
+    found = warc.resolve(df).collect()
+    assert sorted((str(r["record_id"]), r["state"], r["target"]) for r in found) == [("1", "full", None)] * 3 + [("2", "resolved", 1)] * 2 + [("None", "resolved", 1)] * 2
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
     assert differences(spark, connect(FOLDER), QUERIES[name], SQL[name], FOLDER) is None

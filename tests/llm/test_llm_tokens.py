@@ -75,6 +75,10 @@ def test_elias_fano(values):
     assert [code[i] for i in range(len(code))] == values
     with pytest.raises(IndexError):
         code[len(values)]
+    places = np.array([*range(len(values))] * 2, dtype=np.int64)[::-1]
+    assert code.at(places).tolist() == [values[i] for i in places]
+    with pytest.raises(IndexError):
+        code.at(np.array([len(values)]))
 
 
 def test_elias_fano_is_small():
@@ -181,3 +185,24 @@ def test_parts_carry_what_those_before_owe(spark):
         owed = of[r["source"]] / total * sum(x[2] for x in before) - sum(x[2] for x in before if x[1] == r["source"])
         assert r["share"] == pytest.approx(of[r["source"]] / total)
         assert r["owed"] == pytest.approx(owed)
+
+
+def test_rows_of_one_or_no_doc_id_spread(make, spark, monkeypatch):
+    """A third of the rows without doc_id, a third with one: parts stay small and everything is packed and written."""
+    monkeypatch.setattr(packing, "PART_BYTES", 2000)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} " + "with words " * (i % 9)) for i in range(300)]
+    docs = make(rows)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    parts = packing.encode(docs, path, tokens.WORD_LEVEL, 1, 6).groupBy("part").count().collect()
+    assert len(parts) == 6 and max(r["count"] for r in parts) < 100
+    check_pieces(packing.pack(docs, path, tokens.WORD_LEVEL, 1).collect(), rows, 2048)
+    folder = token_files.new_folder(spark)
+    token_files.write_tokens(docs.repartition(4), folder, path, tokens.WORD_LEVEL, 1)
+    found = token_files.read_tokens(spark, folder).orderBy("start").collect()
+    assert sorted(str(r["doc_id"]) for r in found) == sorted(str(r[0]) for r in rows)
+    at = 0
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in found]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
