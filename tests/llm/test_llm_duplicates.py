@@ -171,8 +171,8 @@ def test_counts_are_of_all_documents(make, awkward):
     counts = np.zeros(similar.COUNTS, int)
     for _, text, *_ in awkward:
         counts[np.unique(similar.cells(similar.shingles(text or "")))] += 1
-    assert (similar.shingle_counts(make(awkward).repartition(5)) == counts).all()
-    assert not similar.shingle_counts(make([])).any()
+    assert (similar.shingle_levels(make(awkward).repartition(5)) == similar.levels(counts)).all()
+    assert not similar.shingle_levels(make([])).any()
 
 
 def test_parities_never_exceed_the_difference():
