@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import Registry, table
 from plumbline.operators import access as ac
 from plumbline.plans import derive
+from plumbline.sources.staging import cut_lineage
 
 REGISTRY = Registry()
 NOW = "2001-07-01 00:00:00"
@@ -22,11 +23,16 @@ def reach(spark, folder):
     return ac.membership_reach(edges, logins)
 
 
-REACH = """rc AS (SELECT u.member AS login, u.granted, 1 AS depth FROM f_role_edge u WHERE u.member LIKE 'u%' UNION SELECT u.member, n.granted, 2 FROM f_role_edge u JOIN f_role_edge n ON n.member = u.granted WHERE u.member LIKE 'u%'
- UNION SELECT u.member, p.granted, 3 FROM f_role_edge u JOIN f_role_edge n ON n.member = u.granted JOIN f_role_edge p ON p.member = n.granted WHERE u.member LIKE 'u%')"""
+def recursive(*names):
+    return derive.ctes(*names).replace("WITH", "WITH RECURSIVE", 1)
 
 
-@REGISTRY.add("acc1_membership_reach", derive.ctes("f_role_edge") + f", {REACH} SELECT login, granted, depth FROM rc")
+REACH = """walk(login, granted, depth) AS (SELECT DISTINCT member, granted, 1 FROM f_role_edge WHERE member LIKE 'u%' AND member <> granted
+ UNION SELECT walk.login, e.granted, walk.depth + 1 FROM walk JOIN f_role_edge e ON e.member = walk.granted WHERE e.granted <> walk.login AND walk.depth < 60),
+ rc AS (SELECT login, granted, min(depth) AS depth FROM walk GROUP BY login, granted)"""
+
+
+@REGISTRY.add("acc1_membership_reach", recursive("f_role_edge") + f", {REACH} SELECT login, granted, depth FROM rc")
 def membership(spark, folder):
     return reach(spark, folder)
 
@@ -37,23 +43,24 @@ def acls(spark, folder):
     )
 
 
-def effective(spark, folder):
+def effective(entries):
     """Each owner holds the privileges on its objects."""
-    return acls(spark, folder).select(F.col("owner").alias("account_name"), *ac.PRIVILEGE).distinct()
+    return entries.select(F.col("owner").alias("account_name"), *ac.PRIVILEGE).distinct()
 
 
 EXPANDED = f"""{REACH}, al AS (SELECT DISTINCT database_name, object_type, object_name, privilege, CASE WHEN grantee = 'PUBLIC' THEN '' ELSE grantee END AS grantee, owner FROM f_acl),
  ex AS (SELECT owner AS account_name, database_name, object_type, object_name, privilege FROM al UNION SELECT login, database_name, object_type, object_name, privilege FROM al JOIN rc ON granted = grantee)"""
 
 
-@REGISTRY.add("acc2_expand_privileges", derive.ctes("f_role_edge", "f_acl") + f", {EXPANDED} SELECT * FROM ex")
+@REGISTRY.add("acc2_expand_privileges", recursive("f_role_edge", "f_acl") + f", {EXPANDED} SELECT * FROM ex")
 def expand(spark, folder):
-    return ac.expand_privileges(effective(spark, folder), acls(spark, folder), reach(spark, folder))
+    entries = cut_lineage(acls(spark, folder))
+    return ac.expand_privileges(effective(entries), entries, reach(spark, folder))
 
 
 @REGISTRY.add(
     "acc3_grant_origin",
-    derive.ctes("f_role_edge", "f_acl") + f""", {EXPANDED}, j AS (SELECT ex.*, o.owner, o.pub, r.role, (SELECT count(*) FROM rc WHERE login = account_name AND granted = 'pg_read_all_data') > 0 AS ra, (SELECT count(*) FROM rc WHERE login = account_name AND granted = o.owner) > 0 AS ro
+    recursive("f_role_edge", "f_acl") + f""", {EXPANDED}, j AS (SELECT ex.*, o.owner, o.pub, r.role, (SELECT count(*) FROM rc WHERE login = account_name AND granted = 'pg_read_all_data') > 0 AS ra, (SELECT count(*) FROM rc WHERE login = account_name AND granted = o.owner) > 0 AS ro
    FROM ex JOIN (SELECT database_name, object_type, object_name, privilege, min(owner) AS owner, bool_or(grantee = '') AS pub FROM al GROUP BY ALL) o USING (database_name, object_type, object_name, privilege)
    LEFT JOIN (SELECT login AS account_name, database_name, object_type, object_name, privilege, min(grantee) AS role FROM al JOIN rc ON granted = grantee GROUP BY ALL) r USING (account_name, database_name, object_type, object_name, privilege))
  SELECT account_name, database_name, object_type, object_name, privilege, CASE WHEN owner = account_name THEN 'direct' WHEN pub THEN 'public' WHEN privilege = 'SELECT' AND ra THEN 'predefined' WHEN role IS NOT NULL OR ro THEN 'role' ELSE 'direct' END AS origin_kind,
@@ -61,8 +68,9 @@ def expand(spark, folder):
 )
 def origin(spark, folder):
     roles = reach(spark, folder)
-    held = ac.expand_privileges(effective(spark, folder), acls(spark, folder), roles)
-    return ac.grant_origin(held, acls(spark, folder), roles)
+    entries = cut_lineage(acls(spark, folder))  # derived once, read by both steps
+    held = ac.expand_privileges(effective(entries), entries, roles)
+    return ac.grant_origin(held, entries, roles)
 
 
 def items(spark, folder):

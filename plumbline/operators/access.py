@@ -15,27 +15,33 @@ READ_ALL, WRITE_ALL = "pg_read_all_data", "pg_write_all_data"
 
 
 def membership_reach(edges: DataFrame, logins: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every role a login reaches through memberships (login, granted, depth).
+    """Every role a login reaches through memberships (login, granted, depth: the fewest memberships on the way).
 
-    ``edges``: member, granted.  Each step extends only the pairs found in the
-    step before and drops what is known already, so cycles end the search.  It
-    takes as many steps as the role graph is deep; every step is written to the
-    shared folder.  With ``max_depth`` memberships further away are left out.
+    ``edges``: member, granted.  Paths between roles are doubled: a round joins the paths of up to n memberships with
+    themselves and the logins' paths with those, and keeps the shortest of each pair.  So it takes about log2 of the role
+    graph's depth rounds, whatever cycles it has; each round is written to the shared folder.  Logins travel only at the
+    start of a path, so that their number does not enter into the paths between roles.  Null members, repeated edges and
+    memberships in oneself do not count.  With ``max_depth`` memberships further away are left out.
     """
-    frontier = logins.select("login").join(edges.withColumnRenamed("member", "login"), "login").select("login", "granted")
-    frontier = cut_lineage(frontier.where(F.col("login") != F.col("granted")).distinct())
-    reached = frontier.withColumn("depth", F.lit(1))
-    step = edges.select(F.col("member").alias("granted"), F.col("granted").alias("next"))
-    depth = 1
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        found = frontier.join(step, "granted").select("login", F.col("next").alias("granted"))
-        frontier = cut_lineage(
-            found.where(F.col("login") != F.col("granted"))
-            .distinct()
-            .join(reached.select("login", "granted"), ["login", "granted"], "left_anti")
-        )
-        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    steps = edges.where("member <> granted").select("member", "granted").distinct()
+    one = F.lit(1).alias("depth")
+    start = logins.select(F.col("login").alias("member")).distinct().join(steps, "member").select(F.col("member").alias("login"), "granted", one)
+    reached = cut_lineage(start if max_depth is None or max_depth > 0 else start.limit(0))
+    inner = steps.join(steps.select(F.col("granted").alias("member")).distinct(), "member").select("member", "granted", one)
+    known, found = -1, reached.count()
+    while found > known:
+        between = cut_lineage(inner)
+        further = between.select(F.col("member").alias("granted"), F.col("granted").alias("to"), F.col("depth").alias("more"))
+
+        def longer(paths: DataFrame, first: str) -> DataFrame:
+            joined = paths.join(further, "granted").select(first, F.col("to").alias("granted"), (F.col("depth") + F.col("more")).alias("depth"))
+            both = paths.unionByName(joined.where(F.col(first) != F.col("granted")))
+            near = both if max_depth is None else both.where(F.col("depth") <= max_depth)
+            return near.groupBy(first, "granted").agg(F.min("depth").alias("depth"))
+
+        reached = cut_lineage(longer(reached, "login"))
+        inner = longer(between, "member")
+        known, found = found, reached.count()
     return reached
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window as W, functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from plumbline.operators.logs import (
     Thresholds,
@@ -92,6 +92,16 @@ def judge_windows(history: DataFrame, fresh: DataFrame, thresholds: Thresholds =
     return found.withColumn("source", F.expr("substring(source, instr(source, '\u001f') + 1)"))
 
 
+def start_count_stream(counts: DataFrame, append_counts: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Hand on the closed windows of each batch with the batch's id. ``trigger``: arguments of ``writeStream.trigger``."""
+    writer = counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return _triggered(writer, trigger).foreachBatch(append_counts).start()
+
+
+def _triggered(writer: DataStreamWriter, trigger: dict | None) -> DataStreamWriter:
+    return writer.trigger(**trigger) if trigger else writer
+
+
 def start_anomaly_stream(
     counts: DataFrame,
     read_history: Callable[[], DataFrame],
@@ -99,6 +109,7 @@ def start_anomaly_stream(
     write_anomalies: Callable[[DataFrame, int], None],
     checkpoint: str,
     thresholds: Thresholds = Thresholds(),
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Judge every closed window of a batch against the windows before it.
 
@@ -113,7 +124,7 @@ def start_anomaly_stream(
         write_anomalies(judge_windows(read_history(), fresh, thresholds), batch_id)
         append_counts(fresh, batch_id)
 
-    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(judge).start()
+    return start_count_stream(counts, judge, checkpoint, trigger)
 
 
 def start_last_login_stream(
@@ -121,16 +132,12 @@ def start_last_login_stream(
     read_stored: Callable[[], DataFrame],
     write_stored: Callable[[DataFrame, int], None],
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep a stored table of last logins up to date."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         write_stored(merge_last_login(read_stored(), batch), batch_id)
 
-    return (
-        stream_last_login(events)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(merge)
-        .start()
-    )
+    writer = stream_last_login(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return _triggered(writer, trigger).foreachBatch(merge).start()
