@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("contracts", "facts", "rules", "logs", "streams", "personal", "workload", "diffs", "findings", "scores", "money", "access")
+MODULES = ("contracts", "facts", "rules", "logs", "streams", "personal", "workload", "diffs", "findings", "scores", "pages", "money", "access")
 
 
 def registries():

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.operators.pages import Key, ordering
 from plumbline.sources.staging import cut_lineage
 from plumbline.functions.keys import dedup_key, severity_rank
 from plumbline.operators.rules.catalog import catalog
@@ -244,13 +245,15 @@ def merge_findings(state: DataFrame, observed: DataFrame, actions: DataFrame, no
 
 
 # --- queue, counts, alerts -------------------------------------------------------------------
+def queue_keys() -> list[Key]:
+    """The sort keys of the queue, all falling: severity, confidence, last seen, id."""
+    known = F.lower("severity").isin("critical", "high", "medium", "low")
+    rank = F.when(known, severity_rank(F.col("severity"))).otherwise(0)
+    return [(k, True) for k in (rank, F.col("confidence"), F.col("last_seen_at"), F.col("finding_id"))]
+
+
 def queue_order() -> list[Column]:
-    return [
-        F.desc(F.when(F.lower("severity").isin("critical", "high", "medium", "low"), severity_rank(F.col("severity"))).otherwise(0)),
-        F.desc("confidence"),
-        F.desc("last_seen_at"),
-        F.desc("finding_id"),
-    ]
+    return ordering(queue_keys())
 
 
 def finding_queue(findings: DataFrame, status: str = "", severity: str = "", rule_id: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
