@@ -255,7 +255,7 @@ def divergence_rule(spark, folder):
     return analysis.run_rule({"divergences": found}, "drift.environment_divergence")
 
 
-FACTS = """fx AS (SELECT environment_id, 'version' AS kind, 'postgres' AS name, server_version AS value FROM s_server UNION ALL SELECT environment_id, 'version', 'timescaledb', timescale_version FROM s_server WHERE timescale_version <> ''
+FACTS = """fx AS MATERIALIZED (SELECT environment_id, 'version' AS kind, 'postgres' AS name, server_version AS value FROM s_server UNION ALL SELECT environment_id, 'version', 'timescaledb', timescale_version FROM s_server WHERE timescale_version <> ''
  UNION ALL SELECT environment_id, 'extension', extension, string_agg(DISTINCT version, ',' ORDER BY version) FROM s_extension GROUP BY 1, 3 UNION ALL SELECT environment_id, 'guc', setting, value FROM s_setting WHERE setting <> 'other' AND value <> ''
  UNION ALL SELECT environment_id, 'hypertable', h, 'present' FROM hx UNION ALL SELECT environment_id, 'chunk_interval', h, chunk_interval FROM hx UNION ALL SELECT environment_id, 'policy', database_name || ' ' || policy_type || ' ' || schema_name || '.' || hypertable_name, config FROM s_policy
  UNION ALL SELECT environment_id, 'cagg', database_name || '.' || schema_name || '.' || view_name, 'lag=' || lag || ' realtime=' || (NOT materialized_only) || ' refresh=' || has_refresh_policy FROM s_cagg
@@ -264,7 +264,7 @@ FACTS = """fx AS (SELECT environment_id, 'version' AS kind, 'postgres' AS name,
 
 @REGISTRY.add(
     "dif12_compare_servers",
-    derive.ctes("s_server", "s_extension", "s_setting", "s_hypertable", "s_policy", "s_cagg", "f_finding_event") + f""", hx AS (SELECT *, database_name || '.' || schema_name || '.' || hypertable_name AS h FROM s_hypertable), {FACTS}, pp AS (SELECT environment_id AS l, 'env' || CAST(CAST(substr(environment_id, 4) AS BIGINT) + 1 AS VARCHAR) AS r FROM s_server)
+    derive.ctes("s_server", "s_extension", "s_setting", "s_hypertable", "s_policy", "s_cagg", "f_finding_event") + f""", hx AS MATERIALIZED (SELECT *, database_name || '.' || schema_name || '.' || hypertable_name AS h FROM s_hypertable), {FACTS}, pp AS (SELECT environment_id AS l, 'env' || CAST(CAST(substr(environment_id, 4) AS BIGINT) + 1 AS VARCHAR) AS r FROM s_server)
  SELECT l AS left_environment_id, r AS right_environment_id, kind, name, coalesce(a, '') AS left_value, coalesce(b, '') AS right_value, CASE WHEN a IS NULL THEN 'only_right' WHEN b IS NULL THEN 'only_left' ELSE 'drift' END AS status, name = 'shared_buffers' AND a IS NOT NULL AND b IS NOT NULL AS informational
  FROM (SELECT l, r, kind, name, value AS a FROM pp JOIN fx ON environment_id = l) x FULL JOIN (SELECT l, r, kind, name, value AS b FROM pp JOIN fx ON environment_id = r) y USING (l, r, kind, name)
  WHERE a IS DISTINCT FROM b AND NOT (kind = 'chunk_interval' AND (a IS NULL OR b IS NULL)) AND NOT (kind = 'critical' AND a IS NOT NULL AND b IS NOT NULL)""",
@@ -366,6 +366,23 @@ def hashes(spark, folder):
     return reconcile.reconcile_rows(lines, copy, ["l_linestatus", "part_of"], LINE_COLUMNS)
 
 
+COPIED = "SELECT * REPLACE (CASE WHEN l_orderkey % 97 = 0 AND l_linenumber = 2 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM lineitem WHERE NOT (l_orderkey % 101 = 0 AND l_linenumber = 1) UNION ALL SELECT * REPLACE (l_orderkey + 90000000 AS l_orderkey) FROM lineitem WHERE l_orderkey % 103 = 0"
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+
+
+@REGISTRY.add(
+    "dif17_differing_keys",
+    f"""WITH c AS ({COPIED}), o AS (SELECT l_orderkey, l_linenumber, list(l_quantity ORDER BY l_quantity) AS q FROM lineitem GROUP BY ALL), k AS (SELECT l_orderkey, l_linenumber, list(l_quantity ORDER BY l_quantity) AS q FROM c GROUP BY ALL)
+ SELECT l_orderkey, l_linenumber, CASE WHEN k.q IS NULL THEN 'only_origin' WHEN o.q IS NULL THEN 'only_copy' ELSE 'changed' END AS state FROM o FULL JOIN k USING (l_orderkey, l_linenumber) WHERE o.q IS DISTINCT FROM k.q""",
+)
+def differing(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    grown = F.when((F.col("l_orderkey") % 97 == 0) & (F.col("l_linenumber") == 2), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    kept = lines.where(~((F.col("l_orderkey") % 101 == 0) & (F.col("l_linenumber") == 1))).withColumn("l_quantity", grown)
+    added = lines.where(F.col("l_orderkey") % 103 == 0).withColumn("l_orderkey", F.col("l_orderkey") + 90000000)
+    return reconcile.differing_keys(lines, kept.unionByName(added), LINE_KEY, lines.columns)
+
+
 CHECKED = f"""rc AS (SELECT DISTINCT 'env' || (o_custkey % 5) AS environment_id, 'run1' AS run_id, 'drill' || o_orderkey AS drill_id, 'drill' AS kind, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'ok' END AS status, CAST(NULL AS VARCHAR) AS check_severity, '' AS checked_table FROM orders
  UNION ALL SELECT 'env0', 'run1', 'drill0', 'count', CASE WHEN abs(e.rows - coalesce(a.rows, 0)) > 1000 AND abs(e.rows - coalesce(a.rows, 0)) / e.rows > 0.005 THEN 'diverged' ELSE 'ok' END, 'medium', table_name FROM ({COUNTED}) e LEFT JOIN ({COUNTED_COPY}) a USING (table_name))"""
 DRILL = dict(kind="environment", key="environment_id", database="''", schema="''", name="''")

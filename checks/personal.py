@@ -16,8 +16,8 @@ COLUMN_SQL = ", ".join(pii.COLUMN)
 TABLE_SQL = ", ".join(pii.TABLE)
 ENTRIES = ", ".join(f"({i}, '{p}', '{c}')" for i, (p, c) in enumerate(pii.DICTIONARY))
 MATCH = f"""dict AS (SELECT * FROM (VALUES {ENTRIES}) d(pos, pattern, category)),
-named AS (SELECT *, trim(regexp_replace(lower(trim(column_name)), '[^a-z0-9]+', '_', 'g'), '_') AS norm FROM s_pii_column),
-matched AS (SELECT * EXCLUDE (category, confidence, norm), d.category FROM (SELECT n.* EXCLUDE (category), d.category, row_number() OVER (PARTITION BY {TABLE_SQL}, column_name ORDER BY (norm = pattern OR list_contains(string_split(norm, '_'), pattern)) DESC, length(pattern) DESC, pos) AS best
+named AS MATERIALIZED (SELECT *, trim(regexp_replace(lower(trim(column_name)), '[^a-z0-9]+', '_', 'g'), '_') AS norm FROM s_pii_column),
+matched AS MATERIALIZED (SELECT * EXCLUDE (category, confidence, norm), d.category FROM (SELECT n.* EXCLUDE (category), d.category, row_number() OVER (PARTITION BY {TABLE_SQL}, column_name ORDER BY (norm = pattern OR list_contains(string_split(norm, '_'), pattern)) DESC, length(pattern) DESC, pos) AS best
   FROM named n JOIN dict d ON contains(n.norm, d.pattern)) d WHERE best = 1)"""
 CLASSIFIED = MATCH + f""", ranked AS (SELECT DISTINCT {TABLE_SQL}, dense_rank() OVER (PARTITION BY environment_id, run_id ORDER BY database_name, schema_name, table_name) AS place FROM matched),
 classified AS (SELECT {COLUMN_SQL}, data_type, category, CASE WHEN regexp_matches(lower(data_type), CASE WHEN category IN ('cpf', 'rg', 'cep', 'telefone') THEN 'char|text|name|uuid|int|numeric|decimal|double|real' ELSE 'char|text|name|uuid' END) THEN 'media' ELSE 'baixa' END AS confidence,

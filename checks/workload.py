@@ -71,6 +71,21 @@ def append(spark, folder):
     return fresh.select("environment_id", "run_id", "table_name", "database_name", "schema_name")
 
 
+@REGISTRY.add("snk2_publish_snapshot", derive.ctes("f_table_snapshot") + """ SELECT DISTINCT environment_id, run_id, database_name, schema_name, table_name FROM f_table_snapshot WHERE run_id IN ('env0-199604', 'env0-199605')""")
+def publish(spark, folder):
+    """One writer dies before it publishes, one repeats its call, one comes too late with other rows."""
+    root, keys = scratch(spark, "snapshots"), ["environment_id", "run_id", "database_name", "schema_name", "table_name"]
+    tables = derive.view(spark, folder, "f_table_snapshot").select(*keys)
+    first, second = (tables.where(F.col("run_id") == run) for run in ("env0-199604", "env0-199605"))
+    snapshots.stage_runs(second.where("table_name LIKE '%1'"), root, "tables", keys)
+    snapshots.publish_snapshot(first, root, "tables", keys)
+    late = snapshots.stage_runs(second.where("table_name LIKE '%2'"), root, "tables", keys)
+    for _ in range(2):
+        snapshots.publish_snapshot(first.unionByName(second), root, "tables", keys)
+    snapshots.publish_runs(spark, root, "tables", late)
+    return snapshots.read_published(spark, root, "tables").select(*keys)
+
+
 STATEMENT = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SELECT a, 1.5 FROM Sales.Orders JOIN crm.people ON id = ' || CAST(user_id AS STRING) || ' -- note' WHEN 1 THEN 'UPDATE app.t' || CAST(user_id % 9 AS STRING) || ' SET x = ''it''''s'' /* c */ WHERE k=' || CAST(event_id AS STRING)
  WHEN 2 THEN 'insert into plain values (1,  2)' WHEN 3 THEN 'WITH q AS (select 1) SELECT * from q join app.t' || CAST(user_id % 9 AS STRING) ELSE 'delete from logs.rows where note = $tag$x 1$tag$' END AS query FROM events"""
 

@@ -51,7 +51,8 @@ def write_rank_index(rows: DataFrame, keys: Sequence[Key], path: str) -> None:
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", place, F.spark_partition_id().alias("part"))
     dealt.write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
-    sizes = rows.sparkSession.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    dealt.limit(0).drop("part").write.mode("overwrite").parquet(f"{path}/none")
+    sizes = rows.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over one row for each part
     counts = sizes.select("part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     counts.write.mode("overwrite").parquet(f"{path}/parts")
@@ -61,8 +62,10 @@ def page_at(spark: SparkSession, path: str, offset: int, limit: int) -> DataFram
     """Rows ``offset`` + 1 to ``offset + limit`` of a rank index with their ``position``; only the parts that hold them are read."""
     parts = spark.read.parquet(f"{path}/parts")
     held = parts.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).collect()
+    if not held:
+        return spark.read.parquet(f"{path}/none").withColumnRenamed("place", "position")
     rows = spark.read.parquet(f"{path}/rows").where(F.col("part").isin([r["part"] for r in held]))
-    before = F.create_map(*[F.lit(x) for r in held for x in (r["part"], r["before"])]) if held else F.create_map(F.lit(0), F.lit(0))
+    before = F.create_map(*[F.lit(x) for r in held for x in (r["part"], r["before"])])
     position = (before[F.col("part")] + F.col("place") + 1).alias("position")
     wanted = rows.select(*[c for c in rows.columns if c not in ("part", "place")], position)
     return wanted.where(F.col("position").between(offset + 1, offset + limit)).orderBy("position")

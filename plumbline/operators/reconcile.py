@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.sources.staging import cut_lineage
+
 #: Tolerated difference of row counts.
 TOLERATED_ROWS = 1000
 TOLERATED_SHARE = 0.005
+#: Bits of the key's hash that name a leaf of the hash tree, and bits of a step from a node to its children.
+LEAF_BITS, STEP_BITS = 16, 4
 
 
 def count_diverges(expected: Column, actual: Column) -> Column:
@@ -70,3 +74,57 @@ def reconcile_rows(origin: DataFrame, copy: DataFrame, by: Sequence[str], column
     return both.select(
         *by, "origin_hash", "copy_hash", F.when(same, "ok").otherwise("diverged").alias("status"), F.lit("high").alias("check_severity")
     )
+
+
+def _row_digests(rows: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``leaf``, the key, and the two halves of each row's MD5; null and text keys are hashed alike on both sides."""
+    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
+    name = F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in key])
+    leaf = F.shiftrightunsigned(name, 64 - LEAF_BITS).cast("int").alias("leaf")
+    half = lambda start: F.conv(F.substring("md5", start, 15), 16, 10).cast("bigint")
+    hashed = rows.select(*key, leaf, F.md5(text).alias("md5"))
+    return hashed.select(*key, "leaf", half(1).alias("low"), half(17).alias("high"))
+
+
+def _digest(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Count, sum and XOR of row hashes: digests of children add up to that of their node."""
+    total = F.sum(F.col("low").cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), total.alias("total"), F.bit_xor("high").alias("mixed"))
+
+
+def _unlike(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Nodes whose digests differ or that one side lacks."""
+    values = ["n", "total", "mixed"]
+    there = right.select(*[F.col(b).alias(f"o_{b}") for b in by], *[F.col(v).alias(f"o_{v}") for v in values])
+    on = [F.col(b).eqNullSafe(F.col(f"o_{b}")) for b in by]
+    differs = [~F.col(v).eqNullSafe(F.col(f"o_{v}")) for v in values]
+    both = left.join(there, on, "full").where(differs[0] | differs[1] | differs[2])
+    return both.select(*[F.coalesce(b, f"o_{b}").alias(b) for b in by], F.col("n").alias("origin_n"), F.col("o_n").alias("copy_n"))
+
+
+def differing_keys(origin: DataFrame, copy: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The keys whose rows differ between two copies: ``state`` is changed, only_origin or only_copy.
+
+    A hash tree lies over ranges of the key's hash. Each side is read once for the digests of the leaves (counts, sums and
+    XORs, partial aggregates); those of the nodes above add up from them. From the root only children of nodes that differ
+    are compared, and only rows of leaves that differ are matched key by key. Several rows of one key are compared as a set
+    with repetitions; null keys are a key. Equal copies give no row.
+    """
+    key = list(key)
+    sides = [_row_digests(rows, key, columns) for rows in (origin, copy)]
+    leaves = [cut_lineage(_digest(rows, ["leaf"])) for rows in sides]
+    open_nodes = None
+    for bits in range(STEP_BITS, LEAF_BITS + 1, STEP_BITS):
+        node = F.shiftright("leaf", LEAF_BITS - bits).alias("node")
+        levels = []
+        for own in leaves:
+            named = own.select(node, "n", "total", "mixed")
+            if open_nodes is not None:
+                parent = F.shiftright("node", STEP_BITS)
+                named = named.join(open_nodes, parent == F.col("parent"), "left_semi")
+            levels.append(named.groupBy("node").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("mixed").alias("mixed")))
+        open_nodes = cut_lineage(_unlike(*levels, ["node"]).select(F.col("node").alias("parent")))
+    within = [rows.join(open_nodes.select(F.col("parent").alias("leaf")), "leaf", "left_semi") for rows in sides]
+    found = _unlike(*[_digest(rows, key) for rows in within], key)
+    state = F.when(F.col("copy_n").isNull(), "only_origin").when(F.col("origin_n").isNull(), "only_copy").otherwise("changed")
+    return found.select(*key, state.alias("state"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -52,3 +53,50 @@ def append_snapshot(rows: DataFrame, root: str, table: str, keys: Sequence[str])
         arriving = rows.select(*PARTITIONS).distinct()
         fresh = new_rows(rows, stored.join(arriving, PARTITIONS, "left_semi"), keys)
     fresh.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+
+
+MANIFEST = "token string, environment_id string, run_id string, published_at timestamp"
+
+
+def stage_runs(rows: DataFrame, root: str, table: str, keys: Sequence[str], token: str | None = None) -> str:
+    """Write whole runs under a token of their own, each key once. Nobody sees them until the token is published."""
+    token = token or uuid.uuid4().hex
+    path = os.path.join(root, table)
+    spark = rows.sparkSession
+    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(os.path.join(path, "manifest"))
+    staged = rows.dropDuplicates(list(keys)).withColumn("token", F.lit(token))
+    staged.write.mode("append").partitionBy("token", *PARTITIONS).parquet(os.path.join(path, "data"))
+    return token
+
+
+def publish_runs(spark: SparkSession, root: str, table: str, token: str) -> None:
+    """Make the runs of a token visible, all at once: one file of the manifest appears."""
+    path = os.path.join(root, table)
+    data = spark.read.parquet(os.path.join(path, "data")).where(F.col("token") == token)
+    runs = data.select("token", *[F.col(c).cast("string").alias(c) for c in PARTITIONS]).distinct()
+    runs.coalesce(1).withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(os.path.join(path, "manifest"))
+
+
+def published_runs(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """``environment_id, run_id, token``: of several tokens of a run the one published first counts, so none is ever mixed."""
+    manifest = spark.read.schema(MANIFEST).parquet(os.path.join(root, table, "manifest"))
+    return manifest.groupBy(*PARTITIONS).agg(F.min_by("token", F.struct("published_at", "token")).alias("token"))
+
+
+def publish_snapshot(rows: DataFrame, root: str, table: str, keys: Sequence[str]) -> None:
+    """Append whole runs: staged first, then published by the manifest.
+
+    A job that dies in between leaves files that no reader looks at, and is simply repeated; runs that are published already
+    are left out, so repeating a finished call adds nothing. Of two writers of one run the first to publish wins.
+    """
+    spark = rows.sparkSession
+    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(os.path.join(root, table, "manifest"))
+    fresh = rows.join(published_runs(spark, root, table), PARTITIONS, "left_anti")
+    token = stage_runs(fresh, root, table, keys)
+    publish_runs(spark, root, table, token)
+
+
+def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of the published runs; folders of other tokens are pruned by the join."""
+    data = spark.read.parquet(os.path.join(root, table, "data"))
+    return data.join(published_runs(spark, root, table), ["token", *PARTITIONS], "left_semi").drop("token")
