@@ -10,6 +10,7 @@ from checks.logs import replace_chain
 from checks.rules import finding_sql
 from plumbline.functions import text
 from plumbline.operators import diff, reconcile
+from plumbline.operators.rules import environments
 from plumbline.operators.rules.base import DEFAULTS
 from plumbline.plans import analysis, derive
 
@@ -414,3 +415,34 @@ def restore_rule(rule_id, when, severity, title, evidence):
 
 restore_rule("backup.restore_failed", "kind = 'drill' AND status = 'failed'", "critical", "'Ensaio de restauração falhou'", {"drill_id": "drill_id"})
 restore_rule("backup.restore_divergence", "kind <> 'drill' AND status = 'diverged'", "CASE WHEN true THEN check_severity END", "'Divergência na restauração: ' || checked_table", {"drill_id": "drill_id", "table": "checked_table", "kind": "kind"})
+
+
+FLEET_VALUES = """v AS (SELECT environment_id, 'postgres' AS name, server_version AS value FROM s_server UNION ALL SELECT environment_id, 'timescaledb', timescale_version FROM s_server
+ UNION ALL SELECT environment_id, 'extension ' || extension, string_agg(DISTINCT version, ',' ORDER BY version) FROM s_extension WHERE extension <> '' GROUP BY ALL UNION ALL SELECT environment_id, 'setting ' || setting, value FROM s_setting WHERE setting <> 'other'),
+ cl AS (SELECT fleet, v.name, value, count(DISTINCT environment_id) AS members, min(environment_id) AS example FROM s_server JOIN v USING (environment_id) WHERE value <> '' GROUP BY ALL),
+ dc AS (SELECT *, count(*) OVER (PARTITION BY fleet, name) AS values_seen FROM cl QUALIFY values_seen > 1)"""
+
+
+def fleet_values(b):
+    servers = b["servers"]
+    versions = F.explode(F.array(F.struct(F.lit("postgres").alias("name"), F.col("server_version").alias("value")), F.struct(F.lit("timescaledb").alias("name"), F.col("timescale_version").alias("value"))))
+    found = servers.select("environment_id", versions.alias("v")).select("environment_id", "v.name", "v.value")
+    named = environments.extension_versions(b["extensions"]).withColumn("name", F.concat(F.lit("extension "), "name"))
+    settings = b["settings"].where(F.col("setting").isin(*environments.COMPARED_SETTINGS))
+    return found.unionByName(named).unionByName(settings.select("environment_id", F.concat(F.lit("setting "), "setting").alias("name"), "value"))
+
+
+@REGISTRY.add("config_drift_classes", derive.ctes("s_server", "s_extension", "s_setting") + f", {FLEET_VALUES} SELECT * FROM dc")
+def drift_classes(spark, folder):
+    b = DerivedBundle(spark, folder)
+    return environments.drift_classes(b["servers"], fleet_values(b))
+
+
+@REGISTRY.add(
+    "config_drift_pairs",
+    derive.ctes("s_server", "s_extension", "s_setting") + f", {FLEET_VALUES} SELECT dc.fleet, dc.name, o.value AS own, dc.value AS other, members, example FROM dc JOIN s_server s ON s.fleet = dc.fleet AND s.environment_id = 'env1' JOIN v o ON o.name = dc.name AND o.environment_id = 'env1' AND o.value <> dc.value",
+)
+def drift_pairs(spark, folder):
+    b = DerivedBundle(spark, folder)
+    values = fleet_values(b)
+    return environments.drift_pairs(environments.drift_classes(b["servers"], values), b["servers"], values, "env1")

@@ -44,6 +44,32 @@ def peers(servers: DataFrame) -> DataFrame:
     return here.join(there, "fleet").where(F.col("environment_id") != F.col("peer_environment_id"))
 
 
+def drift_classes(servers: DataFrame, values: DataFrame) -> DataFrame:
+    """Drift of whole fleets in one row for each value: ``fleet, name, value, members, example, values_seen``.
+
+    ``values``: environment_id, name, value; empty and null values are left out. Only names on which a fleet differs are kept. The rows
+    grow with the environments, not with their pairs; ``example`` is the first environment that has the value.
+    """
+    known = values.where(F.coalesce(F.col("value"), F.lit("")) != "")
+    seen = servers.select("fleet", "environment_id").distinct().join(known, "environment_id")
+    classes = seen.groupBy("fleet", "name", "value").agg(
+        F.count_distinct("environment_id").alias("members"), F.min("environment_id").alias("example")
+    )
+    spread = classes.groupBy("fleet", "name").agg(F.count(F.lit(1)).alias("values_seen")).where(F.col("values_seen") > 1)
+    return classes.join(spread, ["fleet", "name"])
+
+
+def drift_pairs(classes: DataFrame, servers: DataFrame, values: DataFrame, environment: str) -> DataFrame:
+    """The pairs of one environment with the classes of its fleet it is not in: ``fleet, name, own, other, members, example``.
+
+    ``servers`` and ``values`` as given to ``drift_classes``.
+    """
+    mine = values.where(F.col("environment_id") == environment).join(servers.select("fleet", "environment_id").distinct(), "environment_id")
+    return classes.join(mine.select("fleet", "name", F.col("value").alias("own")), ["fleet", "name"]).where(F.col("value") != F.col("own")).select(
+        "fleet", "name", "own", F.col("value").alias("other"), "members", "example"
+    )
+
+
 def _drift_rule(rule_id: str, severity: Column | str, informational: Column) -> RowRule:
     key = F.concat(F.col("peer_environment_id"), F.lit("|" + rule_id + "|"), F.col("name"))
     title = F.when(
