@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.intervals import interval_days
+from plumbline.operators.substrings import occurrences
 
 RUN = ["environment_id", "run_id"]
 HYPERTABLE = [*RUN, "database_name", "schema_name", "hypertable_name"]
@@ -64,8 +65,7 @@ def outside_reads(hypertables: DataFrame, dimensions: DataFrame, workload: DataF
     """Hypertables with whether a statement reads them without naming their time column.
 
     A statement reads a hypertable that it references or whose name is in its
-    text (without case).  Text is matched by equality: it is cut into pieces of
-    the lengths that names of its database have.
+    text (without case).
     """
     place = [*RUN, "database_name"]
     named = hypertables.select(*HYPERTABLE).join(
@@ -74,13 +74,8 @@ def outside_reads(hypertables: DataFrame, dimensions: DataFrame, workload: DataF
     used = workload.where("calls > 0").select(*place, F.lower("fingerprint_text").alias("text"), "referenced_objects")
     referenced = used.select(*place, "text", F.explode("referenced_objects").alias("object"))
     by_object = named.withColumn("object", F.concat_ws(".", "schema_name", "hypertable_name")).join(referenced, [*place, "object"])
-    lengths = named.groupBy(*place).agg(F.collect_set(F.length("hypertable_name")).alias("lengths"))
-    sized = used.select(*place, "text").distinct().join(lengths, place).select(*place, "text", F.explode("lengths").alias("n"))
-    fits = sized.where(F.length("text") >= F.col("n"))
-    pieces = fits.select(
-        *place, "text", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda p: F.substring("text", p, F.col("n")))).alias("piece")
-    )
-    by_text = named.withColumn("piece", F.lower("hypertable_name")).join(pieces.distinct(), [*place, "piece"])
+    called = named.withColumn("name", F.lower("hypertable_name"))
+    by_text = called.join(occurrences(called, used, place, "name", "text"), [*place, "name"])
     columns = [*HYPERTABLE, "time_column", "text"]
     hits = by_object.select(*columns).unionByName(by_text.select(*columns))
     outside = hits.where(~F.contains("text", "time_column")).select(*HYPERTABLE).distinct().withColumn("_outside", F.lit(True))

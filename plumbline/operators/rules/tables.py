@@ -18,6 +18,7 @@ from plumbline.operators.rules.base import (
     structural,
     table_key,
 )
+from plumbline.operators.substrings import occurrences
 
 FAMILY = Family()
 DAY_MICROS = 86_400_000_000
@@ -524,9 +525,7 @@ def sequence_default_mismatch(b: Bundle, s: Settings) -> DataFrame:
 def orphan_sequence(b: Bundle, s: Settings) -> DataFrame:
     """Unowned sequences whose name occurs in no ``nextval`` default of the database.
 
-    Names written in full are matched first.  What is left is searched as text:
-    the defaults are cut into pieces as long as the names still wanted in their
-    database, so containment becomes an equality join.
+    Names written in full are matched first; what is left is searched as text.
     """
     place = [*RUN, "database_name"]
     defaults = b["columns"].where(F.col("default_expr").contains("nextval(")).select(*place, "default_expr").distinct()
@@ -536,15 +535,9 @@ def orphan_sequence(b: Bundle, s: Settings) -> DataFrame:
     written = defaults.select(*place, F.explode(bare).alias("sequence_name"))
     free = b["sequences"].where(F.col("owned_by_table") == "")
     left = free.join(written, [*place, "sequence_name"], "left_anti")
-    lengths = left.select(*place, F.length("sequence_name").alias("n")).distinct()
-    pieces = (
-        defaults.join(lengths, place)
-        .where(F.length("default_expr") >= F.col("n"))
-        .select(*place, "default_expr", "n", F.explode(F.sequence(F.lit(1), F.length("default_expr") - F.col("n") + 1)).alias("at"))
-        .select(*place, F.substring("default_expr", F.col("at"), F.col("n")).alias("sequence_name"))
-    )
+    within = occurrences(left, defaults, place, "sequence_name", "default_expr")
     return match(
-        left.join(pieces, [*place, "sequence_name"], "left_anti"),
+        left.join(within, [*place, "sequence_name"], "left_anti"),
         structural(
             "integrity.orphan_sequence",
             "sequences",
