@@ -47,7 +47,7 @@ def probe_nulls(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _frequencies(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Totals of each column from its value counts: sampled, nonnull, values, maximum. One scan for all columns.
+    """Totals of each column from its value counts: sampled, nonnull, values. One scan for all columns.
 
     Every row is spread to its (column, value) pairs and counted once; a value
     that holds most rows is one partial count per task.
@@ -59,7 +59,6 @@ def _frequencies(table: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.sum("n").alias("sampled"),
         F.sum(F.when(known, F.col("n"))).alias("nonnull"),
         F.count_if(known).alias("values"),
-        F.max(F.when(known, F.col("n"))).alias("maximum"),
     )
     asked = table.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
     return asked.join(totals, "column_name", "left").na.fill(0)
@@ -76,10 +75,43 @@ def probe_duplicates(table: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _each(_frequencies(table, columns), "duplicate", F.col("nonnull") - F.col("values"))
 
 
+#: Counters of a sketch: a value with a half of a column's rows cannot drop out of it.
+COUNTERS = 64
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def frequent_values(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with, for each column, the value (as text) that alone can hold most of its rows; NULL where there are no values.
+
+    Every task keeps a fixed number of counters for each column and hands those on, so no value is shuffled.
+    """
+    texts = table.select(*[F.col(_quoted(c)).cast("string").alias(f"v{i}") for i, c in enumerate(columns)])
+    sketches = [F.expr(f"approx_top_k(v{i}, 1, {COUNTERS}) FILTER (WHERE v{i} IS NOT NULL)").alias(f"t{i}") for i in range(len(columns))]
+    return texts.agg(*sketches).select(*[F.get(f"t{i}", F.lit(0))["item"].alias(f"v{i}") for i in range(len(columns))])
+
+
 def probe_distribution(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns where one value holds at least 80% of 30 or more sampled rows."""
+    """Columns where one value holds at least 80% of 30 or more sampled rows.
+
+    Such a value is its column's frequent one; a second scan counts exactly those.
+    """
+    if not columns:
+        raise ValueError("name at least one column")
+    likely = frequent_values(table, columns)
+    totals = [F.count(F.lit(1)).alias("sampled")]
+    for i, name in enumerate(columns):
+        value = F.col(_quoted(name))
+        totals += [F.count(value).alias(f"k{i}"), F.count_if(value.cast("string") == likely.select(f"v{i}").scalar()).alias(f"n{i}")]
+    each = [
+        F.struct(F.lit(name).alias("column_name"), F.col(f"k{i}").alias("nonnull"), F.col(f"n{i}").alias("maximum"))
+        for i, name in enumerate(columns)
+    ]
+    found = table.agg(*totals).select("sampled", F.explode(F.array(*each)).alias("c")).select("sampled", "c.*")
     skewed = (F.col("sampled") >= 30) & (F.col("maximum") * 100 >= F.col("nonnull") * 80) & (F.col("nonnull") > 0)
-    return _each(_frequencies(table, columns).where(skewed), "distribution", F.col("maximum"))
+    return _each(found.where(skewed), "distribution", F.col("maximum"))
 
 
 def probe_date_range(table: DataFrame, ranges: Mapping[str, tuple[str, str]]) -> DataFrame:
