@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from checks.base import Registry
+from checks.base import Registry, scratch
 from checks.bundle import DerivedBundle
 from checks.rules import policies
 from plumbline.functions.keys import dedup_key
@@ -12,6 +14,7 @@ from plumbline.operators import findings as fnd
 from plumbline.operators.rules import catalog
 from plumbline.operators.rules.base import FINDING_COLUMNS
 from plumbline.plans import analysis, derive
+from plumbline.sources.findings_store import FindingStore
 
 REGISTRY = Registry()
 NOW = "2024-01-20 00:00:00"
@@ -108,6 +111,29 @@ def events(spark, folder):
     return merge(spark, folder).events
 
 
+def merged_store(spark, folder):
+    """The stored findings after a merge that brings news of one environment, then of the others, then of none."""
+    store = FindingStore(spark, f"findings_{uuid.uuid4().hex}", scratch(spark, "findings"), buckets=8)
+    store.create(derive.view(spark, folder, "f_state").drop("k"))
+    observed = derive.view(spark, folder, "f_observed").where("run_id = 'd20'").withColumn("rule_version", F.lit("1.0.0"))
+    actions = derive.view(spark, folder, "f_action").withColumn("evidence_sha256", F.sha2("signed_evidence", 256))
+    first = F.col("environment_id") == "env0"
+    store.merge(observed.where(first), actions, now())
+    store.merge(observed.where(~first), actions, now())
+    store.merge(observed.limit(0), actions, now())
+    return store
+
+
+@REGISTRY.add("fnd31_stored_merge", STATE_SQL)
+def stored_merge(spark, folder):
+    return merged_store(spark, folder).state().drop("title", "evidence", "confidence")
+
+
+@REGISTRY.add("fnd32_stored_events", REGISTRY.sql["fnd6_finding_events"])
+def stored_events(spark, folder):
+    return merged_store(spark, folder).events().drop("merged_at")
+
+
 RANK_SQL = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 QUEUE = f"{RANK_SQL} DESC, confidence DESC, last_seen_at DESC, finding_id DESC"
 
