@@ -265,7 +265,9 @@ def digest(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their own columns; texts that lose words are their kept words, joined by one space.
 
-    ``n_chars``, if there is such a column, follows the text.
+    ``n_chars``, if there is such a column, follows the text. Null texts, texts of fewer than 50 words and rows without doc_id
+    stay as they are; very long texts are searched whole; rows repeated with one doc_id all lose the same; a text that loses all
+    its words stays as an empty one; an empty table stays empty. Other columns may have any names.
     """
     schema = docs.schema
 
