@@ -76,7 +76,7 @@ class RowRule:
     object_type: Column | str
     object_key: Column
     title: Column | str
-    evidence: Mapping[str, Column]
+    evidence: Mapping[str, Column] | Column
     object_name: Column | None = None
     schema_name: Column | None = None
     confidence: Column | float | None = None
@@ -97,7 +97,10 @@ def finding_fields(df_columns: Sequence[str], rule: RowRule) -> list[Column]:
 
     title = _column(rule.title)
     rule_id = F.lit(rule.rule_id)
-    evidence = F.to_json(F.struct(*[c.alias(k) for k, c in rule.evidence.items()])) if rule.evidence else F.lit("{}")
+    if isinstance(rule.evidence, Column):  # JSON text already
+        evidence = rule.evidence
+    else:
+        evidence = F.to_json(F.struct(*[c.alias(k) for k, c in rule.evidence.items()])) if rule.evidence else F.lit("{}")
     seed = title if rule.dedup_title is None else _column(rule.dedup_title)
     key = rule.stored_key
     if key is None:

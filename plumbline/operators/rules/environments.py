@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.detectors import IDENTITY_CATEGORIES
-from plumbline.functions.keys import dotted, downgrade, ratio
+from plumbline.functions.keys import dedup_key, dotted, downgrade, ratio
 from plumbline.operators.rules.base import GIB, MIB, RUN, TABLE, Bundle, Family, RowRule, Settings, match, table_key
 
 FAMILY = Family()
@@ -28,20 +31,57 @@ def setting_number(value: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?:[tgmk]?b)$", "")).try_cast("double") * scale
 
 
-def peers(servers: DataFrame) -> DataFrame:
-    """Ordered pairs of environments of the same fleet.
+#: How many rows of one side a task pairs with the other side of their key.
+PAIR_BLOCK = 1024
+
+
+def side_by_side(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The join of two sides on few keys with many rows: the left side is dealt into blocks, the right side goes to each block of its key."""
+    blocks = left.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(*left.columns), F.col("blocks")).cast("int").alias("block")
+    dealt = left.join(blocks, on).select(*left.columns, block)
+    spread = right.join(blocks, on).select(*right.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return dealt.join(spread, [*on, "block"]).drop("block")
+
+
+def known_sides(servers: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of a fleet's environments that know a name, to be put side by side on ``fleet, name``.
 
     A fleet is the group of environments that are compared with each other; its
     size is what an operator runs side by side, not the number of all environments.
+    Only servers with a value enter. A pair without a run or a peer's name has no match;
+    a server that is listed n times counts n * n times in its pairs.
     """
-    here = servers.select("fleet", "environment_id", "run_id")
-    there = servers.select(
-        "fleet",
-        F.col("environment_id").alias("peer_environment_id"),
-        F.col("run_id").alias("peer_run_id"),
-        F.col("name").alias("peer_name"),
+    listed = servers.dropna(subset=["fleet", "environment_id", "run_id"])
+    often = F.explode(F.array_repeat(F.lit(0), (F.col("n") * F.col("n")).cast("int"))).alias("again")
+
+    def known(listed: DataFrame, *columns: str) -> DataFrame:
+        counted = listed.groupBy("fleet", "environment_id", "run_id", *columns).agg(F.count(F.lit(1)).alias("n"))
+        return counted.select("*", often).drop("n", "again").join(values, "environment_id")
+
+    peers = known(listed.withColumnRenamed("name", "peer_name").dropna(subset=["peer_name"]), "peer_name")
+    renamed = {"environment_id": "peer_environment_id", "run_id": "peer_run_id", "value": "right"}
+    return known(listed).withColumnRenamed("value", "left"), peers.withColumnsRenamed(renamed)
+
+
+def _drifting(servers: DataFrame, values: DataFrame, rule_id: str, severity: Column | str, informational: Column, differs: Column) -> DataFrame:
+    """Findings of the pairs that both know a name; what one side alone decides is made before the sides are paired."""
+    left, right = known_sides(servers, values.where(F.col("value") != ""))
+    own = F.to_json(F.struct("name", "left"))
+    peer = F.to_json(F.struct("right", "peer_environment_id", "peer_run_id", informational.alias("informational")))
+    key = _drift_key(rule_id)
+    left = left.withColumn("own_evidence", F.substring(own, F.lit(1), F.length(own) - 1)).withColumn("number", setting_number(F.col("left")))
+    right = (
+        right.withColumn("peer_evidence", F.concat(F.lit(","), F.substring(peer, F.lit(2), F.length(peer))))
+        .withColumn("peer_number", setting_number(F.col("right")))
+        .withColumn("key", key)
+        .withColumn("stored", dedup_key(F.lit(rule_id), key, F.col("name")))
     )
-    return here.join(there, "fleet").where(F.col("environment_id") != F.col("peer_environment_id"))
+    pairs = side_by_side(left, right, ["fleet", "name"]).where(
+        (F.col("environment_id") != F.col("peer_environment_id")) & (F.col("left") != F.col("right")) & differs
+    )
+    evidence = F.concat("own_evidence", "peer_evidence")
+    return match(pairs, replace(_drift_rule(rule_id, severity, evidence), object_key=F.col("key"), stored_key=F.col("stored")))
 
 
 def drift_classes(servers: DataFrame, values: DataFrame) -> DataFrame:
@@ -70,8 +110,11 @@ def drift_pairs(classes: DataFrame, servers: DataFrame, values: DataFrame, envir
     )
 
 
-def _drift_rule(rule_id: str, severity: Column | str, informational: Column) -> RowRule:
-    key = F.concat(F.col("peer_environment_id"), F.lit("|" + rule_id + "|"), F.col("name"))
+def _drift_key(rule_id: str) -> Column:
+    return F.concat(F.col("peer_environment_id"), F.lit("|" + rule_id + "|"), F.col("name"))
+
+
+def _drift_rule(rule_id: str, severity: Column | str, evidence: Mapping[str, Column] | Column) -> RowRule:
     title = F.when(
         F.col("peer_name") == "",
         F.concat(F.lit("Drift "), F.col("name"), F.lit(" vs "), F.col("peer_environment_id")),
@@ -84,16 +127,9 @@ def _drift_rule(rule_id: str, severity: Column | str, informational: Column) ->
         F.lit(True),
         severity,
         "environment",
-        key,
+        _drift_key(rule_id),
         title,
-        {
-            "name": F.col("name"),
-            "left": F.col("left"),
-            "right": F.col("right"),
-            "peer_environment_id": F.col("peer_environment_id"),
-            "peer_run_id": F.col("peer_run_id"),
-            "informational": informational,
-        },
+        evidence,
         F.lit(""),
         dedup_title=F.col("name"),
     )
@@ -111,20 +147,7 @@ def version_drift(b: Bundle, s: Settings) -> DataFrame:
     values = servers.select("environment_id", kinds.alias("v")).select(
         "environment_id", F.col("v.name").alias("name"), F.col("v.value").alias("value")
     )
-    pairs = _side_by_side(peers(servers), values, "inner")
-    differs = pairs.where((F.col("left") != "") & (F.col("right") != "") & (F.col("left") != F.col("right")))
-    return match(differs, _drift_rule("config.version_drift", "medium", F.lit(False)))
-
-
-def _side_by_side(pairs: DataFrame, values: DataFrame, how: str) -> DataFrame:
-    """``name, left, right`` of every pair; ``full`` keeps names known to one side only."""
-    left = pairs.join(values.withColumnRenamed("value", "left"), "environment_id")
-    right = pairs.join(
-        values.withColumnRenamed("environment_id", "peer_environment_id").withColumnRenamed("value", "right"),
-        "peer_environment_id",
-    )
-    keys = [*pairs.columns, "name"]
-    return left.join(right, keys, how)
+    return _drifting(servers, values, "config.version_drift", "medium", F.lit(False), F.lit(True))
 
 
 def extension_versions(extensions: DataFrame) -> DataFrame:
@@ -138,11 +161,38 @@ def extension_versions(extensions: DataFrame) -> DataFrame:
 
 @FAMILY.rule("config.extension_drift", "servers", "extensions")
 def extension_drift(b: Bundle, s: Settings) -> DataFrame:
-    both = _side_by_side(peers(b["servers"]), extension_versions(b["extensions"]), "full")
-    differs = both.where(~F.col("left").eqNullSafe(F.col("right")))
-    severity = F.when(F.col("one_sided"), "low").otherwise("medium")
-    shown = differs.withColumn("one_sided", F.col("left").isNull() | F.col("right").isNull()).na.fill("", ["left", "right"])
-    return match(shown, _drift_rule("config.extension_drift", severity, F.lit(False)))
+    """Each pair's names that one side or both know; only servers that know a name meet the whole fleet."""
+    servers = b["servers"].select("fleet", "environment_id", "run_id", "name").where(F.col("fleet").isNotNull() & F.col("environment_id").isNotNull())
+    values = extension_versions(b["extensions"])
+    left, right = known_sides(servers, values)
+    both = side_by_side(left, right, ["fleet", "name"]).where((F.col("environment_id") != F.col("peer_environment_id")) & (F.col("left") != F.col("right")))
+    known = values.groupBy("environment_id").agg(F.collect_set("name").alias("names"))
+    members = servers.join(known, "environment_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    peer = members.select(
+        "fleet",
+        F.col("environment_id").alias("peer_environment_id"),
+        F.col("run_id").alias("peer_run_id"),
+        F.col("name").alias("peer_name"),
+        F.col("names").alias("peer_names"),
+    )
+    mine = servers.drop("name").join(values, "environment_id").withColumnRenamed("value", "left")
+    theirs = servers.withColumnsRenamed({"environment_id": "peer_environment_id", "run_id": "peer_run_id", "name": "peer_name"}).join(
+        values.withColumnsRenamed({"environment_id": "peer_environment_id", "value": "right"}), "peer_environment_id"
+    )
+    other = F.col("environment_id") != F.col("peer_environment_id")
+    nameless = F.col("run_id").isNull() | F.col("peer_run_id").isNull() | F.col("peer_name").isNull()
+    only_left = side_by_side(mine, peer, ["fleet"]).where(other & (nameless | ~F.array_contains("peer_names", F.col("name"))))
+    only_right = side_by_side(theirs, members.drop("name").withColumnRenamed("names", "own_names"), ["fleet"]).where(
+        other & (nameless | ~F.array_contains("own_names", F.col("name")))
+    )
+    shown = ["environment_id", "run_id", "peer_environment_id", "peer_run_id", "peer_name", "name", "left", "right", "one_sided"]
+    differs = (
+        both.withColumn("one_sided", F.lit(False)).select(*shown)
+        .unionByName(only_left.withColumn("right", F.lit("")).withColumn("one_sided", F.lit(True)).select(*shown))
+        .unionByName(only_right.withColumn("left", F.lit("")).withColumn("one_sided", F.lit(True)).select(*shown))
+    )
+    evidence = {c: F.col(c) for c in ("name", "left", "right", "peer_environment_id", "peer_run_id")} | {"informational": F.lit(False)}
+    return match(differs, _drift_rule("config.extension_drift", F.when(F.col("one_sided"), "low").otherwise("medium"), evidence))
 
 
 @FAMILY.rule("config.guc_drift", "settings", "servers")
@@ -150,14 +200,12 @@ def setting_drift(b: Bundle, s: Settings) -> DataFrame:
     values = b["settings"].where(F.col("setting").isin(*COMPARED_SETTINGS)).select(
         "environment_id", F.col("setting").alias("name"), "value"
     )
-    both = _side_by_side(peers(b["servers"]), values, "inner")
-    left, right = F.col("left"), F.col("right")
     info = F.col("name") == "shared_buffers"
-    a, c = setting_number(left), setting_number(right)
+    a, c = F.col("number"), F.col("peer_number")
     tolerance = s.number("config.guc_drift", "numeric_tolerance", 0.0)
     close = (tolerance > 0) & (a != 0) & (c != 0) & (F.abs(a - c) / F.greatest(a, c) <= tolerance)
-    differs = both.where((left != "") & (right != "") & (left != right) & (info | ~F.coalesce(close, F.lit(False))))
-    return match(differs, _drift_rule("config.guc_drift", F.when(info, "info").otherwise("medium"), info))
+    differs = info | ~F.coalesce(close, F.lit(False))
+    return _drifting(b["servers"], values, "config.guc_drift", F.when(info, "info").otherwise("medium"), info, differs)
 
 
 @FAMILY.rows(
