@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.text import once
+
 _DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
 _CLOCK = r"([0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?)"
 _ISO = rf"^{_DATE}T{_CLOCK}(Z|[+-][0-9]{{2}}:[0-9]{{2}})$"
@@ -73,24 +75,27 @@ def parse_lines(
 ) -> DataFrame:
     """One row per line: status, ts, level, message and role_name.
 
+    A line is trimmed, read as JSON and its time parsed once each, also where the status is filtered.
+
     ``status`` is blank, invalid (no JSON object, or no readable time), parsed
     or, with ``max_bytes``, oversized.  The default fields are those of the PostgreSQL JSON log.
     """
-    text = F.trim(F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", ""))
+    kept = [c for c in lines.columns if c != "value"]
+    text = F.col("_text")
+    oversized = F.octet_length("value") > max_bytes if max_bytes else F.lit(False)
+    trimmed = F.trim(F.regexp_replace("value", r"^[ \t\r]+|[ \t\r]+$", ""))
+    raw = lines.select(*kept, oversized.alias("oversized"), once(trimmed).alias("_text"))
     fields = F.from_json(text, "map<string,string>")
-    raw = lines.withColumn("oversized", F.octet_length("value") > max_bytes if max_bytes else F.lit(False)).withColumn(
-        "fields", F.when(~F.col("oversized") & (text != ""), fields)
-    )
-    ts = parse_time_any(F.col("fields")[time_field])
+    read = raw.withColumn("fields", once(F.when(~F.col("oversized") & (text != ""), fields)))
+    stamp = read.withColumn("_time", once(F.trim(F.col("fields")[time_field])))
+    shaped = stamp.withColumn("ts", once(parse_time_any(F.col("_time"))))
     role = F.trim(F.col("fields")[role_field]) if role_field else F.lit("")
-    shaped = raw.withColumn("ts", ts)
     status = (
         F.when(F.col("oversized"), "oversized")
         .when(text == "", "blank")
         .when(F.col("fields").isNull() | F.col("ts").isNull(), "invalid")
         .otherwise("parsed")
     )
-    kept = [c for c in lines.columns if c != "value"]
     return shaped.select(
         *kept,
         status.alias("status"),
