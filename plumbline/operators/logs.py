@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions.keys import severity_rank
-from plumbline.functions.text import has_fixed_token, mask_message, template_id, template_pattern
+from plumbline.functions.text import has_fixed_token, mask_message, once, template_id, template_pattern
 
 OTHERS = "others"
 OTHERS_PATTERN = "outros"
@@ -40,9 +40,9 @@ class Thresholds:
 def template_events(events: DataFrame) -> DataFrame:
     """Events with template_id and template in place of the message.
 
-    Messages without any fixed word are dropped; they count nowhere.
+    Messages without any fixed word are dropped; they count nowhere.  A message is masked once, not again for each test of it.
     """
-    masked = events.withColumn("masked", mask_message(F.col("message")))
+    masked = events.withColumn("masked", once(mask_message(F.col("message"))))
     kept = masked.where((F.col("masked") != "") & has_fixed_token(F.col("masked")))
     return (
         kept.withColumn("template", template_pattern(F.col("masked")))

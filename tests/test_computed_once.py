@@ -13,3 +13,10 @@ def test_lines_are_read_as_json_once_also_when_filtered(spark):
     assert optimized(found).count("from_json(") == 1
     assert [(str(r["ts"]), r["level"], r["message"], r["role_name"]) for r in found.collect()] == [("2024-01-01 10:00:00.250000", "error", "m", "u")]
     assert sorted(r["status"] for r in source.parse_lines(lines).collect()) == ["blank", "invalid", "invalid", "invalid", "parsed"]
+
+
+def test_messages_are_masked_once_also_when_tested(spark):
+    events = spark.createDataFrame([("s", "login of a@b.com"), ("s", "12 34"), ("s", None)], "source string, message string")
+    found = logs.template_events(events)
+    assert optimized(found).count("a-z0-9._%+") == 1
+    assert [r["template"] for r in found.collect()] == ["login of <*>"]
