@@ -170,10 +170,8 @@ def normalize_type(data_type: Column) -> Column:
 
 def normalize_sql(definition: Column) -> Column:
     """Definition without comments and a trailing semicolon, squeezed and lower-cased."""
-    text = F.regexp_replace(definition, _BLOCK_COMMENT, " ")
-    text = F.regexp_replace(text, _LINE_COMMENT, " ")
-    text = F.regexp_replace(_squeeze(text), ";$", "")
-    return F.lower(F.trim(text))
+    text = _squeeze(_apply(definition, STRIP_STEPS[:2]))
+    return F.lower(F.trim(_apply(text, ((_has(";"), ";$", ""),))))
 
 
 def fingerprint(value: Column) -> Column:

@@ -20,7 +20,7 @@ TABLE = ["environment_id", "run_id", "database_name", "schema_name", "table_name
 
 
 def table_fingerprints(tables: DataFrame, columns: DataFrame, constraints: DataFrame, indexes: DataFrame) -> DataFrame:
-    """Structural hash of every table: columns by position, sorted constraints and indexes.
+    """Structural hash of every table: columns by position, sorted constraints and indexes, gathered in one grouping.
 
     ``columns``: position, column_name, data_type, nullable, default_expr.
     ``constraints`` and ``indexes``: definition.
@@ -33,17 +33,18 @@ def table_fingerprints(tables: DataFrame, columns: DataFrame, constraints: DataF
         F.col("nullable").alias("nullable"),
         default.alias("default"),
     )
-    shaped = columns.groupBy(*TABLE).agg(F.array_sort(F.collect_list(part)).alias("columns"))
-
-    def definitions(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*TABLE).agg(F.array_sort(F.collect_list(normalize_sql(F.col("definition")))).alias(name))
-
-    joined = (
-        tables.select(*TABLE)
-        .join(shaped, TABLE, "left")
-        .join(definitions(constraints, "constraints"), TABLE, "left")
-        .join(definitions(indexes, "indexes"), TABLE, "left")
+    definition = normalize_sql(F.col("definition"))
+    parts = (
+        columns.select(*TABLE, part.alias("column"))
+        .unionByName(constraints.select(*TABLE, definition.alias("constraint")), allowMissingColumns=True)
+        .unionByName(indexes.select(*TABLE, definition.alias("index")), allowMissingColumns=True)
+    )
+    keyed = ["_hash", *TABLE]  # a number first: rows are sorted by it, names are compared only where it is equal
+    hashed = F.xxhash64(*TABLE).alias("_hash")
+    shaped = parts.select(hashed, "*").groupBy(*keyed).agg(
+        *[F.array_sort(F.collect_list(kind)).alias(name) for kind, name in (("column", "columns"), ("constraint", "constraints"), ("index", "indexes"))]
     )
+    joined = tables.select(hashed, *TABLE).join(shaped, keyed, "left")
     payload = F.struct(
         normalize_name(F.col("schema_name")).alias("schema"),
         normalize_name(F.col("table_name")).alias("name"),

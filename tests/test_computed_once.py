@@ -1,4 +1,7 @@
-from plumbline.operators import logs
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import normalize_sql
+from plumbline.operators import diff, logs
 from plumbline.sources import logs as source
 
 
@@ -20,3 +23,21 @@ def test_messages_are_masked_once_also_when_tested(spark):
     found = logs.template_events(events)
     assert optimized(found).count("a-z0-9._%+") == 1
     assert [r["template"] for r in found.collect()] == ["login of <*>"]
+
+
+def test_parts_of_a_table_are_gathered_in_one_grouping(spark):
+    key = "environment_id string, run_id string, database_name string, schema_name string, table_name string"
+    tables = spark.createDataFrame([("e", "r", "d", "s", "T"), ("e", "r", "d", "s", "T"), ("e", "r", "d", "s", None), ("e", "r", "d", "s", "u")], key)
+    columns = spark.createDataFrame([("e", "r", "d", "s", "T", 2, "B", "int4", True, ""), ("e", "r", "d", "s", "T", 1, "a", "bool", None, "X")], key + ", position int, column_name string, data_type string, nullable boolean, default_expr string")
+    rules = spark.createDataFrame([("e", "r", "d", "s", "T", "P (a) ;"), ("e", "r", "d", "s", "T", None), ("e", "r", "d", "s", None, "x")], key + ", definition string")
+    found = diff.table_fingerprints(tables, columns, rules, rules.where("false"))
+    assert optimized(found).count("Join ") == 1
+    full = '{"schema":"s","name":"t","columns":[{"position":1,"name":"a","type":"boolean","default":"x"},{"position":2,"name":"b","type":"integer","nullable":true}],"constraints":["p (a)"],"indexes":[]}'
+    bare = '{"schema":"s",%s"columns":[],"constraints":[],"indexes":[]}'
+    want = spark.createDataFrame([("T", full), ("T", full), (None, bare % ""), ("u", bare % '"name":"u",')], "t string, p string").select("t", F.sha2("p", 256).alias("f"))
+    assert sorted((r["table_name"] or "", r["fingerprint"]) for r in found.collect()) == sorted((r["t"] or "", r["f"]) for r in want.collect())
+
+
+def test_definitions_lose_comments_and_one_semicolon(spark):
+    rows = spark.createDataFrame([("A /* x\n */ B--c\n ; ",), ("a;b;;",), (None,), ("  Plain ",)], "d string")
+    assert [r[0] for r in rows.select(normalize_sql(F.col("d"))).collect()] == ["a b", "a;b;", None, "plain"]
