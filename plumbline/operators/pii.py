@@ -204,45 +204,38 @@ def merge_content(classified: DataFrame, content: DataFrame) -> DataFrame:
 def pii_access(results: DataFrame, column_grants: DataFrame, table_grants: DataFrame, roles: DataFrame, rls_tables: DataFrame) -> DataFrame:
     """Who can read each personal-data column, and whether row security guards its table.
 
-    Column grants win over table grants; login roles are kept when any reader is one.
+    Column grants win over table grants; login roles are kept when any reader is one.  Readers are gathered once for each
+    table, not for each of its columns.
     ``column_grants``: column keys, account_name, privilege.  ``table_grants``:
     table keys, grantee, privileges (array).  ``roles``: environment_id, run_id,
     role_name, can_login.  ``rls_tables``: table keys.
     """
-    by_column = (
-        column_grants.where(F.col("privilege").ilike("%SELECT%"))
-        .select(*COLUMN, F.col("account_name").alias("reader"))
-        .withColumn("level", F.lit("nivel_coluna"))
-    )
-    can_read = F.exists("privileges", lambda p: F.upper(p).isin("SELECT", "ALL"))
-    keys = results.select(*COLUMN)
-    bare = keys.join(by_column.select(*COLUMN), COLUMN, "left_anti")
-    by_table = (
-        bare.join(table_grants.where(can_read).select(*TABLE, F.col("grantee").alias("reader")), TABLE)
-        .withColumn("level", F.lit("nivel_tabela"))
-        .select(*COLUMN, "reader", "level")
-    )
     logins = roles.where("can_login").select(*SCAN, F.col("role_name").alias("reader")).distinct().withColumn("login", F.lit(True))
-    readers = by_column.join(keys, COLUMN, "left_semi").unionByName(by_table).distinct()
-    readers = readers.join(logins, [*SCAN, "reader"], "left")
-    access = readers.groupBy(*COLUMN).agg(
-        F.count_if(F.col("login")).alias("login_readers"),
-        F.count(F.lit(1)).alias("all_readers"),
-        F.array_sort(F.collect_set(F.when(F.col("login"), F.col("reader")))).alias("login_names"),
-        F.array_sort(F.collect_set("reader")).alias("all_names"),
-        F.min("level").alias("access_level"),
-    )
+
+    def readers(grants: DataFrame, keys: list[str], reader: str, name: str) -> DataFrame:
+        """The distinct readers of each table or column, each with its login."""
+        known = grants.select(*keys, F.col(reader).alias("reader")).join(logins, [*SCAN, "reader"], "left")
+        return known.groupBy(*keys).agg(F.collect_set(F.struct("reader", "login")).alias(name))
+
+    by_column = readers(column_grants.where(F.col("privilege").ilike("%SELECT%")), COLUMN, "account_name", "of_column")
+    can_read = F.exists("privileges", lambda p: F.upper(p).isin("SELECT", "ALL"))
+    by_table = readers(table_grants.where(can_read), TABLE, "grantee", "of_table")
     guarded = rls_tables.select(*TABLE).distinct().withColumn("has_rls", F.lit(True))
-    some = F.col("login_readers") > 0
+    held = F.coalesce("of_column", F.when(F.col("column_name").isNotNull(), F.col("of_table")))
+    kept = F.when(F.exists("held", lambda r: r["login"]), F.filter("held", lambda r: r["login"])).otherwise(F.col("held"))
+    names = F.array_sort(F.filter(F.transform("kept", lambda r: r["reader"]), lambda x: x.isNotNull()))
     return (
         results.drop("access_level")
-        .join(access, COLUMN, "left")
+        .join(by_column, COLUMN, "left")
+        .join(by_table, TABLE, "left")
         .join(guarded, TABLE, "left")
-        .withColumn("read_accounts", F.coalesce(F.when(some, F.col("login_readers")).otherwise(F.col("all_readers")), F.lit(0)))
-        .withColumn("read_names", F.coalesce(F.when(some, F.col("login_names")).otherwise(F.col("all_names")), F.array().cast("array<string>")))
-        .withColumn("access_level", F.coalesce("access_level", F.lit("nivel_tabela")))
+        .withColumn("access_level", F.when(F.col("of_column").isNotNull(), "nivel_coluna").otherwise("nivel_tabela"))
         .withColumn("has_rls", F.coalesce("has_rls", F.lit(False)))
-        .drop("login_readers", "all_readers", "login_names", "all_names")
+        .withColumn("held", held)
+        .withColumn("kept", kept)
+        .withColumn("read_accounts", F.when(F.col("kept").isNotNull(), F.size("kept").cast("bigint")).otherwise(0))
+        .withColumn("read_names", F.coalesce(names, F.array().cast("array<string>")))
+        .drop("of_column", "of_table", "held", "kept")
     )
 
 

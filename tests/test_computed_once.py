@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import normalize_sql
-from plumbline.operators import diff, logs
+from plumbline.operators import diff, logs, pii
 from plumbline.sources import logs as source
 
 
@@ -41,3 +41,16 @@ def test_parts_of_a_table_are_gathered_in_one_grouping(spark):
 def test_definitions_lose_comments_and_one_semicolon(spark):
     rows = spark.createDataFrame([("A /* x\n */ B--c\n ; ",), ("a;b;;",), (None,), ("  Plain ",)], "d string")
     assert [r[0] for r in rows.select(normalize_sql(F.col("d"))).collect()] == ["a b", "a;b;", None, "plain"]
+
+
+def test_readers_are_gathered_by_table(spark):
+    key = "environment_id string, run_id string, database_name string, schema_name string, table_name string"
+    results = spark.createDataFrame([("e", "r", "d", "s", "t", c, "k") for c in ("a", "b", "c", None)], key + ", column_name string, category string")
+    columns = spark.createDataFrame([("e", "r", "d", "s", "t", "a", "x", "select"), ("e", "r", "d", "s", "t", "a", None, "select"), ("e", "r", "d", "s", "t", "b", "y", "update")], key + ", column_name string, account_name string, privilege string")
+    tables = spark.createDataFrame([("e", "r", "d", "s", "t", g, ["select"]) for g in ("x", "y", "y", "z")], key + ", grantee string, privileges array<string>")
+    roles = spark.createDataFrame([("e", "r", "y", True), ("e", "r", "y", True), ("e", "r", "x", False)], "environment_id string, run_id string, role_name string, can_login boolean")
+    found = pii.pii_access(results, columns, tables, roles, results.select(*pii.TABLE).where("false"))
+    assert optimized(found).count("Join ") == 4
+    got = {r["column_name"]: (r["read_accounts"], r["read_names"], r["access_level"], r["has_rls"]) for r in found.collect()}
+    by_table = (1, ["y"], "nivel_tabela", False)
+    assert got == {"a": (2, ["x"], "nivel_coluna", False), "b": by_table, "c": by_table, None: (0, [], "nivel_tabela", False)}
