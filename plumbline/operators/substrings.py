@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Length of the grams; shorter names are grams themselves.
-SIZE = 3
+#: Lengths of the grams: a name is cut into those of the greatest length it has, shorter names are grams themselves.
+SIZES = (0, 1, 2, 3, 4, 8, 16)
 
 
 def _grams(text: Column, size: Column) -> Column:
@@ -17,33 +17,40 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(size == 0, F.array(F.lit(""))).when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
 
 
+def _candidates(wanted: DataFrame, kept: DataFrame, place: list[str]) -> DataFrame:
+    """``place, _name, _id`` of the texts that hold a name's rarest gram."""
+    key = F.xxhash64(*place, "_gram").alias("_key")
+    sizes = wanted.select(*place, "_size").distinct()
+    postings = kept.join(sizes, place).select(*place, "_id", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
+    postings = postings.select(key, "_id")
+    held = postings.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    asked = wanted.select(*place, "_name", F.explode(_grams(F.col("_name"), F.col("_size"))).alias("_gram"))
+    rarest = (
+        asked.select(*place, "_name", key)
+        .join(held, "_key", "left")
+        .groupBy(*place, "_name")
+        .agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.bool_and(F.col("_n").isNotNull()).alias("_all"))
+        .where("_all")
+    )
+    return rarest.join(postings, "_key").select(*place, "_name", "_id")
+
+
 def occurrences(names: DataFrame, texts: DataFrame, place: Sequence[str], name: str, text: str) -> DataFrame:
     """``place, name, text`` for each distinct name that is part of a text of the same place.
 
-    Texts are cut into grams of one length (more only where a place has names shorter than that), counted for each place;
-    a name asks for the texts of its rarest gram and is compared with those alone.  A name with a gram that no text has is
-    never compared.  Texts travel under a hash and are read back for the comparison, which also settles equal hashes.
+    Texts are cut into grams of the few lengths that the names of their place ask for, counted for each place; a name asks
+    for the texts of its rarest gram and is compared with those alone.  Grams grow with the names, as many names that
+    differ in a few characters have the same short ones.  A name with a gram that no text has is never compared.  Grams
+    and texts travel as hashes; texts are read back for the comparison, which also settles equal hashes.
     Nulls in a place, name or text match nothing; an empty name is part of every text; repeated rows count once.
     """
     place = list(place)
     wanted = names.select(*place, F.col(name).alias("_name")).where(F.col("_name").isNotNull()).distinct()
-    wanted = wanted.withColumn("_size", F.least(F.length("_name"), F.lit(SIZE)))
+    wanted = wanted.withColumn("_size", F.greatest(*[F.when(F.length("_name") >= n, n) for n in SIZES]))
     kept = texts.select(*place, F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    kept = kept.withColumn("_id", F.xxhash64("_text"))
-
-    sizes = wanted.select(*place, "_size").distinct()
-    postings = kept.join(sizes, place).select(*place, "_id", F.explode(_grams(F.col("_text"), F.col("_size"))).alias("_gram"))
-    held = postings.groupBy(*place, "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    asked = wanted.select(*place, "_name", F.explode(_grams(F.col("_name"), F.col("_size"))).alias("_gram"))
-    rarest = (
-        asked.join(held, [*place, "_gram"], "left")
-        .groupBy(*place, "_name")
-        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all"))
-        .where("_all")
-    )
-    candidates = rarest.join(postings, [*place, "_gram"]).select(*place, "_name", "_id")
+    kept = kept.withColumn("_id", F.xxhash64(*place, "_text"))
     return (
-        candidates.join(kept, [*place, "_id"])
+        _candidates(wanted, kept, place).join(kept, [*place, "_id"])
         .where(F.contains("_text", "_name"))
         .select(*place, F.col("_name").alias(name), F.col("_text").alias(text))
         .distinct()
