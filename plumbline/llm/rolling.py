@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+#: Powers kept from call to call are of exponents below this.
+KEPT = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,18 +20,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(of: np.uint64, n: int) -> np.ndarray:
-    """The powers 0 to n of an odd number modulo 2**64."""
+    """The powers 0 to n of an odd number modulo 2**64, not to be written to."""
+    return _kept(int(of))[: n + 1] if n < KEPT else _powers(of, n)
+
+
+def _powers(of: np.uint64, n: int) -> np.ndarray:
     out = np.full(n + 1, of, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+@cache
+def _kept(of: int) -> np.ndarray:
+    out = _powers(np.uint64(of), KEPT - 1)
+    out.flags.writeable = False
+    return out
+
+
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a text."""
-    inside = np.zeros(len(data) + 2, dtype=np.int8)
-    inside[1:-1] = ~_BLANK[np.frombuffer(data, np.uint8)]
-    edges = np.diff(inside)
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    letters = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = (letters != 0x20) & (letters - np.uint8(9) > 4)  # 9 to 13 are blank; what is below 9 wraps around
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -41,12 +55,21 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((total[ends] - total[starts]) * back + (ends - starts).astype(np.uint64))
 
 
+def sums(hashes: np.ndarray) -> np.ndarray:
+    """The polynomial of the words before each place."""
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(BASE, len(hashes))[:-1], out=total[1:])
+    return total
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each window of so many words; none if there are fewer."""
-    n = len(hashes) - size + 1
+    return windows(sums(hashes), size)
+
+
+def windows(total: np.ndarray, size: int) -> np.ndarray:
+    """The same from ``sums``."""
+    n = len(total) - size
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    scale = powers(BASE, len(hashes))
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * scale[:-1], out=total[1:])
     return mix((total[size:] - total[:-size]) * powers(INVERSE, n - 1))

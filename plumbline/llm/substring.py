@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ from plumbline.llm.fm_index import FMIndex
 WINDOW = 50
 #: Words of a minimizer.
 RUN = 8
-#: Words of a document cut into passages at once.
+#: Words cut into passages at once.
 CHUNK = 1 << 19
+#: Bytes of texts hashed at once, unless one text has more.
+PART = 1 << 16
 #: Words of an index, about; a shard larger than that has several, none of which parts a minimizer's passages.
 INDEX_WORDS = 1 << 20
 #: A minimizer with more different passages than this, and than total / HOT_MOST, is hot: its windows are dealt by
@@ -43,29 +46,31 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(held[:-rest], held[rest:]) if rest else held
 
 
-def passages(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(minimizer, first window, windows)`` of a document's word hashes, chunk by chunk.
+def passages(total: np.ndarray, document: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(minimizer, first window, windows)`` of documents, chunk by chunk, from the sums of their words' hashes.
 
-    The minimizer of a window is its run with the smallest hash, the leftmost of equal ones.
+    ``document``: a number for the document of each word. The minimizer of a window is its run with the smallest hash, the
+    leftmost of equal ones.
     """
-    for start in range(0, max(1, len(hashes) - WINDOW + 1), CHUNK):
-        part = hashes[start : start + CHUNK + WINDOW - 1]
-        if len(part) < WINDOW:
+    runs = rolling.windows(total, RUN)
+    for start in range(0, max(1, len(document) - WINDOW + 1), CHUNK):
+        part = runs[start : start + CHUNK + WINDOW - RUN]
+        if len(part) <= WINDOW - RUN:
             return
-        runs = rolling.window_hashes(part, RUN)
-        places = np.arange(len(runs), dtype=np.uint64)
+        places = np.arange(len(part), dtype=np.uint64)
         low = np.uint64((1 << 20) - 1)
-        least = (sliding_min((runs & ~low) | places, WINDOW - RUN + 1) & low).astype(np.int64)
+        least = (sliding_min((part & ~low) | places, WINDOW - RUN + 1) & low).astype(np.int64)
+        of = document[start : start + len(least) + WINDOW - 1]
+        whole = np.flatnonzero(of[: len(least)] == of[WINDOW - 1 :])
+        least = least[whole]
         first = np.flatnonzero(np.diff(least, prepend=-1))
-        yield runs[least[first]], first + start, np.diff(np.append(first, len(least)))
+        yield part[least[first]], whole[first] + start, np.diff(np.append(first, len(least)))
 
 
-def content(hashes: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of the words of each passage."""
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * rolling.powers(rolling.INVERSE, len(hashes))[:-1], out=total[1:])
+def content(total: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the words of each passage, from the sums of the words' hashes."""
     length = n + WINDOW - 1
-    scale = rolling.powers(rolling.BASE, len(hashes))[first]
+    scale = rolling.powers(rolling.INVERSE, len(total))[first]
     return rolling.mix((total[first + length] - total[first]) * scale + length.astype(np.uint64))
 
 
@@ -74,9 +79,22 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), "text")
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return rolling.word_hashes(data, *rolling.words(data))
+def _parts(texts: pa.Array) -> Iterator[slice]:
+    """The texts of a batch in parts of at most ``PART`` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, done + PART, side="right")))
+        yield slice(start, stop)
+        start, done = stop, int(ends[stop - 1])
+
+
+def _words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the word hashes of texts in a row, and the words of each text."""
+    data = b" ".join([t or b"" for t in texts])
+    starts, ends = rolling.words(data)
+    bounds = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
+    return rolling.sums(rolling.word_hashes(data, starts, ends)), np.diff(np.searchsorted(starts, bounds))
 
 
 SEGMENTS = "anchor long, shard long, content long, doc_id long, uid long, first int, n int, single boolean"
@@ -94,25 +112,29 @@ def segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         for batch in rows:
             found: list[tuple] = []
             held = 0
-            for doc_id, uid, text in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                hashes = _hashes(text)
-                for anchor, first, n in passages(hashes):
+            ids, uids = (batch.column(k).to_numpy() for k in range(2))
+            texts = batch.column(2).cast(pa.binary())
+            for part in _parts(texts):
+                total, sizes = _words_of(texts[part].to_pylist())
+                document = np.repeat(np.arange(part.start, part.stop), sizes)
+                begins = np.cumsum(sizes) - sizes
+                for anchor, first, n in passages(total, document):
                     burning = np.zeros(len(anchor), dtype=bool)
                     if len(hot):
                         at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
                         burning = hot[at] == anchor
                     cool = ~burning
                     single = np.zeros(int(cool.sum()), dtype=bool)
-                    parts = [(anchor[cool], anchor[cool], content(hashes, first[cool], n[cool]), first[cool], n[cool], single)]
+                    kinds_of = [(anchor[cool], anchor[cool], content(total, first[cool], n[cool]), first[cool], n[cool], single)]
                     if burning.any():
                         times = n[burning]
                         begin = np.repeat(first[burning] - np.cumsum(times) + times, times) + np.arange(times.sum())
                         one = np.ones(len(begin), dtype=np.int64)
-                        value = content(hashes, begin, one)
-                        parts.append((np.repeat(anchor[burning], times), rolling.mix(value), value, begin, one, one.astype(bool)))
-                    for a, s, c, f, k, single in parts:
-                        ids = (np.full(len(a), doc_id, dtype=np.int64), np.full(len(a), uid, dtype=np.int64))
-                        found.append((a.view(np.int64), s.view(np.int64), c.view(np.int64), *ids, f, k, single))
+                        value = content(total, begin, one)
+                        kinds_of.append((np.repeat(anchor[burning], times), rolling.mix(value), value, begin, one, one.astype(bool)))
+                    for a, s, c, f, k, single in kinds_of:
+                        of = document[f]
+                        found.append((a.view(np.int64), s.view(np.int64), c.view(np.int64), ids[of], uids[of], f - begins[of - part.start], k, single))
                         held += len(a)
                 if held > 50_000:
                     yield pa.RecordBatch.from_arrays(_arrays(found, kinds), names)
@@ -140,6 +162,19 @@ def shared_segments(docs: DataFrame) -> DataFrame:
     return cut(segments(docs, burning).join(anchors.select("anchor"), "anchor", "left_semi").drop("anchor"))
 
 
+def _lists(column: pa.Array, *fields: str) -> Iterator[list[list] | None]:
+    """The values of fields of each row's list of structs, or null."""
+    flat = column.flatten()
+    values = [pc.struct_field(flat, f).to_pylist() for f in fields]
+    at = 0
+    for size in pc.list_value_length(column).to_pylist():
+        if size is None:
+            yield None
+        else:
+            yield [v[at : at + size] for v in values]
+            at += size
+
+
 def _words(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """``shard, content, owner, words``: the text of each passage, read where it occurs first."""
     by_row = firsts.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("shard", "content", "first", "n")).alias("wanted"))
@@ -148,12 +183,20 @@ def _words(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = ["shard", "content", "owner", "words"]
         for batch in rows:
-            for owner, text, wanted in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                w = (text or "").encode("utf-8", "surrogatepass").split()
-                found = [
-                    (x["shard"], x["content"], owner, b" ".join(w[x["first"] : x["first"] + x["n"] + WINDOW - 1])) for x in wanted
-                ]
-                columns = zip(*found, strict=True)
+            wanted = _lists(batch.column(2), "shard", "content", "first", "n")
+            columns: list[list] = [[], [], [], []]
+            for owner, text, (shard, contents, first, n) in zip(
+                batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), wanted, strict=True
+            ):
+                w = (text or b"").split()
+                columns[0] += shard
+                columns[1] += contents
+                columns[2] += [owner] * len(shard)
+                columns[3] += [b" ".join(w[f : f + k + WINDOW - 1]) for f, k in zip(first, n, strict=True)]
+                if len(columns[0]) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    columns = [[], [], [], []]
+            if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     rows = _documents(docs).join(by_row, ["doc_id", "uid"]).select("doc_id", "text", "wanted")
@@ -167,20 +210,22 @@ def search_shards(units: DataFrame) -> DataFrame:
     """
 
     def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
-        texts = []
-        for row in held:
-            texts.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in row[3].split(b" ")], dtype=np.int64))
+        split = pc.split_pattern(pa.array([row[3] for row in held], pa.binary()), " ")
+        numbers = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+        texts = np.split(numbers, split.offsets.to_numpy()[1:-1])
         index = FMIndex(texts, np.array([row[2] for row in held], dtype=np.int64), WINDOW)
-        columns: list[list[int]] = [[], [], [], [], []]
-        for row, owners in zip(held, index.least_owners(texts), strict=True):
-            starts = np.flatnonzero(np.diff(owners, prepend=owners[0] - 1))
-            lengths = np.diff(np.append(starts, len(owners)))
-            for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-                for column, value in zip(columns, (row[0], row[1], s, n, int(owners[s])), strict=True):
-                    column.append(value)
+        found = index.least_owners(texts)
+        sizes = np.array([len(owners) for owners in found])
+        owners, of = np.concatenate(found), np.repeat(np.arange(len(held)), sizes)
+        new = np.ones(len(owners), dtype=bool)
+        new[1:] = (owners[1:] != owners[:-1]) | (of[1:] != of[:-1])
+        starts = np.flatnonzero(new)
+        of_run = of[starts]
+        shard, contents = (np.array([row[k] for row in held], dtype=np.int64)[of_run] for k in range(2))
+        skip = starts - (np.cumsum(sizes) - sizes)[of_run]
+        columns = [shard, contents, skip, np.diff(np.append(starts, len(owners))), owners[starts]]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        arrays = [pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, ["shard", "content", "skip", "n", "owner"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +272,19 @@ def removal(docs: DataFrame) -> DataFrame:
     return rows.join(runs, ["d", "u"], "left").select("row", "runs")
 
 
-def kept_words(text: str | None, runs: list[dict] | None) -> tuple[list[bytes], int]:
+def kept_words(text: bytes | None, runs: list[list[int]] | None) -> tuple[list[bytes], int]:
     """The words left of a text, and how many were removed."""
-    w = (text or "").encode("utf-8", "surrogatepass").split()
+    w = (text or b"").split()
     if not runs:
         return w, 0
-    edge = np.zeros(len(w) + 1, dtype=np.int64)
-    np.add.at(edge, [r["first"] for r in runs], 1)
-    np.add.at(edge, [r["last"] + WINDOW for r in runs], -1)
-    keep = np.cumsum(edge)[:-1] == 0
-    return [x for x, k in zip(w, keep.tolist(), strict=True) if k], int(len(w) - keep.sum())
+    kept: list[bytes] = []
+    done = 0
+    for first, last in sorted(zip(*runs, strict=True)):
+        if first > done:
+            kept += w[done:first]
+        done = max(done, last + WINDOW)
+    kept += w[done:]
+    return kept, len(w) - len(kept)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -250,7 +298,8 @@ def digest(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             found = []
-            for name, text, runs in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for name, text, runs in zip(batch.column(0).to_pylist(), texts, _lists(batch.column(2), "first", "last"), strict=True):
                 words, gone = kept_words(text, runs)
                 found.append((name, len(words) + gone, gone, hashlib.sha256(b" ".join(words)).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -274,13 +323,14 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             names = batch.schema.names[:-1]
-            runs = batch.column(len(names)).to_pylist()
+            runs = list(_lists(batch.column(len(names)), "first", "last"))
             columns = dict(zip(names, batch.columns, strict=False))
-            old = columns["text"].to_pylist()
-            new = [b" ".join(kept_words(t, r)[0]).decode("utf-8", "surrogatepass") if r else t for t, r in zip(old, runs, strict=True)]
-            columns["text"] = pa.array(new, columns["text"].type)
+            old = columns["text"].cast(pa.binary()).to_pylist()
+            new = pa.array([b" ".join(kept_words(t, r)[0]) if r else t for t, r in zip(old, runs, strict=True)], pa.binary())
+            columns["text"] = new.cast(columns["text"].type)
             if "n_chars" in columns:
-                n = [len(t) if r else x for t, r, x in zip(new, runs, columns["n_chars"].to_pylist(), strict=True)]
+                sizes = pc.utf8_length(columns["text"]).to_pylist()
+                n = [size if r else x for size, r, x in zip(sizes, runs, columns["n_chars"].to_pylist(), strict=True)]
                 columns["n_chars"] = pa.array(n, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 

@@ -6,10 +6,12 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
-from plumbline.llm import containment, rolling, similar, simhash, substring
+from plumbline.llm import containment, fm_index, rolling, similar, simhash, substring
 from plumbline.llm.components import components
 from plumbline.llm.fm_index import FMIndex
 
@@ -256,6 +258,73 @@ def test_index_finds_the_least_owner(width, symbols):
         assert found.tolist() == [least[tuple(t[i : i + width])] for i in range(len(t) - width + 1)]
 
 
+def test_index_asks_for_two_ranks_a_word_and_level(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, 101, 80) for _ in range(50)]
+    index = FMIndex(texts, np.arange(50), 50)
+    asked = []
+    rank = fm_index.Bits.rank
+    monkeypatch.setattr(fm_index.Bits, "rank", lambda self, at: (asked.append(at.size), rank(self, at))[1])
+    index.least_owners(texts)
+    assert sum(asked) == 2 * 50 * 80 * 7
+
+
+@pytest.mark.parametrize("limit", [1 << 10, 1 << 30])
+def test_pairs_are_ordered_by_both_numbers(limit):
+    """Also where a pair and its place don't fit a number."""
+    rng = np.random.default_rng(5)
+    high, low = rng.integers(0, 9, (2, 500))
+    order, ranks = fm_index.ordered(high, low, limit)
+    assert order.tolist() == sorted(range(500), key=lambda i: (high[i], low[i]))
+    kinds = sorted(set(zip(high.tolist(), low.tolist(), strict=True)))
+    assert ranks.tolist() == [kinds.index((a, b)) for a, b in zip(high, low, strict=True)]
+
+
+class Batches:
+    """Stands for documents and gives what is mapped over their batches."""
+
+    def select(self, *_):
+        return self
+
+    filter = select
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("part", [1, 1 << 12, 1 << 30])
+def test_short_texts_are_hashed_together(spark, monkeypatch, part):
+    """Passages are those of each text by itself, wherever parts of a batch begin."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "bb", "\u00e9", "w\u4e00"]) + str(rng.randint(0, 9)) for _ in range(rng.choice([0, 3, 49, 50, 51, 300]))) for _ in range(200)]
+    texts += [None, "", " \t\n", texts[5], " " + texts[5] + "\r\n"]
+    calls = []
+    hashed = rolling.word_hashes
+    monkeypatch.setattr(rolling, "word_hashes", lambda *a: (calls.append(1), hashed(*a))[1])
+    monkeypatch.setattr(substring, "PART", part, raising=False)
+
+    def found(numbers, hot):
+        ids = pa.array(numbers, pa.int64())
+        batch = pa.RecordBatch.from_arrays([ids, pc.add(ids, 1000), pa.array([texts[i] for i in numbers], pa.string())], ["doc_id", "uid", "text"])
+        run = substring.segments(Batches(), hot)
+        return [tuple(r.values()) for b in run(iter([batch])) for r in b.to_pylist()]
+
+    for hot in (np.zeros(0, dtype=np.uint64), None):
+        if hot is None:
+            hot = np.unique(np.array([r[0] for r in alone], dtype=np.int64).view(np.uint64)[::3])
+        alone = [r for i in range(len(texts)) for r in found([i], hot)]
+        calls.clear()
+        assert sorted(found(range(len(texts)), hot)) == sorted(alone)
+        if part == 1 << 30:
+            assert len(calls) == 1
+    assert all(r[4] == r[3] + 1000 for r in alone)
+    assert any(r[7] for r in alone) and not all(r[7] for r in alone)
+    covered = collections.Counter()
+    for r in alone:
+        covered[r[3]] += r[6]
+    assert dict(covered) == {i: n - 49 for i, n in enumerate(len((t or "").split()) for t in texts) if n >= 50}
+
+
 def test_word_hashes_depend_on_the_word_alone():
     data = b"alpha beta alpha\tgamma  beta\nab ba a"
     starts, ends = rolling.words(data)
