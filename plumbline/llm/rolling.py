@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Powers kept from call to call are of exponents below this.
+#: Powers with smaller exponents are kept in a table.
 KEPT = 1 << 17
 
 
@@ -19,24 +17,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Tables(dict):
+    """The first powers of each number asked for; a task that it is sent to gets it empty."""
+
+    def __missing__(self, of: int) -> np.ndarray:
+        self[of] = _powers(of, KEPT - 1)
+        self[of].flags.writeable = False
+        return self[of]
+
+    def __reduce__(self) -> tuple:
+        return Tables, ()
+
+
+TABLES = Tables()
+
+
 def powers(of: np.uint64, n: int) -> np.ndarray:
     """The powers 0 to n of an odd number modulo 2**64, not to be written to."""
-    return _kept(int(of))[: n + 1] if n < KEPT else _powers(of, n)
+    return TABLES[int(of)][: n + 1] if n < KEPT else _powers(int(of), n)
 
 
-def _powers(of: np.uint64, n: int) -> np.ndarray:
+def _powers(of: int, n: int) -> np.ndarray:
     out = np.full(n + 1, of, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-@cache
-def _kept(of: int) -> np.ndarray:
-    out = _powers(np.uint64(of), KEPT - 1)
-    out.flags.writeable = False
-    return out
-
-
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a text."""
     letters = np.frombuffer(data, np.uint8)

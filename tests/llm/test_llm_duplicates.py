@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 import numpy as np
@@ -10,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import xxhash
+from pyspark import cloudpickle
 
 from plumbline.llm import containment, fm_index, rolling, similar, simhash, substring
 from plumbline.llm.components import components
@@ -325,6 +329,21 @@ def test_short_texts_are_hashed_together(spark, monkeypatch, part):
     assert dict(covered) == {i: n - 49 for i, n in enumerate(len((t or "").split()) for t in texts) if n >= 50}
 
 
+def test_passages_are_found_where_the_package_is_missing(spark, tmp_path):
+    """Tasks bring the code along; nothing in it may be found by its module's name."""
+    assert rolling.powers(rolling.BASE, 3).tolist() == [pow(int(rolling.BASE), k, 1 << 64) for k in range(4)]
+    run = cloudpickle.dumps(substring.segments(Batches(), np.zeros(0, dtype=np.uint64)))
+    assert len(run) < 200_000  # without the tables of powers of this process
+    code = """import pickle, sys, pyarrow as pa
+run = pickle.load(sys.stdin.buffer)
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([" ".join(map(str, range(60)))])], ["doc_id", "uid", "text"])
+print(sum(sum(b.column(6).to_pylist()) for b in run(iter([batch]))))
+"""
+    bare = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=run, capture_output=True, cwd=tmp_path, env=bare, timeout=100)
+    assert done.stdout.split() == [b"11"], done.stderr[-500:]
+
+
 def test_word_hashes_depend_on_the_word_alone():
     data = b"alpha beta alpha\tgamma  beta\nab ba a"
     starts, ends = rolling.words(data)
